@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, mixing, quality, simhash, toxicity, url_filter, warc
+from . import chat, decontam, exact_dedup, lm, mixing, quality, simhash, toxicity, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "errors")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -55,7 +59,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_simhash, op5_exact_dedup, op6_decontamination, op8_url_filter, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_simhash, op5_exact_dedup, op6_decontamination, op7_lm, op8_url_filter, op9_quality, op10_chat)}
 
 
 _MIXING = r"""
