@@ -3,7 +3,7 @@
 import pytest
 
 import oracle
-from conftest import DATA
+from oracle import DATA
 from tidelex.plans import catalog
 
 
