@@ -73,7 +73,9 @@ def parse(data: bytes, at: int) -> tuple[int, dict]:
         k, colon, v = line.partition(b":")
         if not colon or not re.fullmatch(rb"[!#-'*+\-.0-9A-Z^-z|~]+", k):
             raise Bad("bad header line")
-        fields[k.decode().lower()] = v.strip().decode("utf-8", "replace")
+        if (name := k.decode().lower()) in fields and name != "warc-concurrent-to":
+            raise Bad("header field repeated")  # as where a header cut short runs into the next record's
+        fields[name] = v.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,18}", fields.get("content-length", "")) or "warc-type" not in fields:
         raise Bad("no length or type")
     end = i + int(fields["content-length"])
