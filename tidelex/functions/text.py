@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letter classes of the two languages that words and dictionary entries are made of, and tokens of any script.
 WORD = "[a-záéíóúüñàèìòùâêîôûäëïöü]+"
@@ -14,7 +18,7 @@ SENTENCE_GAP = r"(?<=[.!?])\s+"
 
 def sentences(text: Column) -> Column:
     """Pieces between whitespace that follows a full stop, exclamation or question mark; stripped, none empty."""
-    return F.filter(F.transform(F.split(text, SENTENCE_GAP, -1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), SENTENCE_GAP, -1), lambda s: s != "")
 
 
 def tokens(text: Column) -> Column:
@@ -53,3 +57,19 @@ def trim_around(sentence: Column, targets: Column, window: int = 5) -> Column:
     at = F.array_min(F.filter(F.transform(targets, lambda t: F.array_position(bare, t)), lambda i: i > 0)).cast("int")
     low = F.greatest(at - window, F.lit(1))
     return F.when(at.isNotNull(), F.array_join(F.slice(parts, low, at + window - low + 1), " "))
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@F.pandas_udf(SPANS)
+def token_spans(text: pd.Series) -> pd.Series:
+    """All tokens of the lower-cased text with their character positions, which no built-in function gives."""
+    of = re.compile(r"[^\W\d_]+")
+    return text.map(lambda t: [{"token": m[0], "start": m.start(), "end": m.end()} for m in of.finditer((t or "").lower())])
+
+
+def focal_span(sentence: Column, focal: Column, prefix: str = "passage: ") -> Column:
+    """Where the focal word first stands, as any substring, in the prefixed lower-cased sentence; null if nowhere."""
+    at = F.instr(F.lower(F.concat(F.lit(prefix), sentence)), focal)
+    return F.when(at > 0, F.struct((at - 1).cast("long").alias("start"), (at - 1 + F.length(focal)).cast("long").alias("end")))

@@ -26,7 +26,10 @@ def sentence_rows(arts: DataFrame) -> DataFrame:
 
 def sized(rows: DataFrame, low: int = 5, high: int = 100) -> DataFrame:
     """Sentences of low to high distinct words, with these words."""
-    return rows.withColumn("words", words(F.col("sentence"))).where(F.size("words").between(low, high))
+    # The test goes inside a generator, as a filter would be pushed down and find the words twice.
+    found = rows.withColumn("words", words(F.col("sentence")))
+    fits = F.when(F.size("words").between(low, high), F.array("words"))
+    return found.select(*rows.columns, F.explode(fits).alias("words"))
 
 
 def concept_hits(rows: DataFrame, word_concept: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ def latest(rows: DataFrame, order: Column) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(order.desc()))).where("rn = 1").drop("rn")
 
 
+def scroll(points: DataFrame, max_per_lang: int) -> DataFrame:
+    """At most max_per_lang rows of each concept and language, by id."""
+    n = F.row_number().over(Window.partitionBy("concept_id", "lang").orderBy("id"))
+    return points.withColumn("rn", n).where(F.col("rn") <= max_per_lang).drop("rn")
+
+
 def balance(rows: DataFrame, ratio: float, key: Column) -> DataFrame:
     """rows(concept_id, lang, ...) with each concept's languages brought to ratio (English share): only the side above its
     target is cut, in the order of key, and only where both languages have rows."""

@@ -203,3 +203,19 @@ def kmeans_best(rows: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), seed: int =
         return pd.DataFrame({"concept_id": [key[0]], "k": [best[0]], "silhouette": [best[1]], "davies_bouldin": [best[2]]})
 
     return rows.groupBy("concept_id").applyInPandas(run, "concept_id string, k long, silhouette double, davies_bouldin double")
+
+
+def plane(rows: DataFrame) -> DataFrame:
+    """rows(concept_id, id, x) of capped concepts -> (concept_id, id, u, v): the two main components of each concept, signs fixed by the
+    largest loading. It stands in for a non-linear projection."""
+
+    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id")
+        x = np.array(df.x.tolist(), float)
+        _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        axes = axes[:2] if len(axes) > 1 else np.r_[axes, np.zeros_like(axes)]
+        axes = axes * np.where(axes[np.arange(2), np.abs(axes).argmax(1)] < 0, -1.0, 1.0)[:, None]
+        at = (x - x.mean(0)) @ axes.T
+        return pd.DataFrame({"concept_id": key[0], "id": df.id.to_numpy(), "u": at[:, 0], "v": at[:, 1]})
+
+    return rows.groupBy("concept_id").applyInPandas(run, "concept_id string, id long, u double, v double")

@@ -11,10 +11,13 @@ from ..functions.vector import cosine_distance, dot, norm, relu, unit
 def pairs(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """rows(concept_id, id, lang, x) of capped concepts -> pairs within a concept with their rounded cosine distance: a < b, or
     all ordered pairs a <> b."""
-    a = rows.select("concept_id", F.col("id").alias("a"), F.col("lang").alias("lang_a"), F.col("x").alias("xa"))
-    b = rows.select("concept_id", F.col("id").alias("b"), F.col("lang").alias("lang_b"), F.col("x").alias("xb"))
-    j = a.join(b, "concept_id").where("a <> b" if ordered else "a < b")
-    return j.select("concept_id", "a", "b", "lang_a", "lang_b", F.round(cosine_distance(F.col("xa"), F.col("xb")), 6).alias("dist"))
+    own = lambda k: rows.select("concept_id", F.col("id").alias(k), F.col("lang").alias(f"lang_{k}"), F.col("x").alias(f"x{k}"), norm(F.col("x")).alias(f"n{k}"))
+    far = F.lit(1.0) - dot(F.col("xa"), F.col("xb")) / (F.col("na") * F.col("nb") + F.lit(1e-8))
+    j = own("a").join(own("b"), "concept_id").where("a < b").select("concept_id", "a", "b", "lang_a", "lang_b", F.round(far, 6).alias("dist"))
+    if not ordered:
+        return j
+    ways = F.array(F.struct("a", "b", "lang_a", "lang_b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lang_b").alias("lang_a"), F.col("lang_a").alias("lang_b")))
+    return j.select("concept_id", "dist", F.inline(ways)).select("concept_id", "a", "b", "lang_a", "lang_b", "dist")
 
 
 def dynamic_margin(dist: DataFrame, floor: float, scale: float) -> DataFrame:

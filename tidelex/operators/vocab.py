@@ -122,3 +122,40 @@ def demand_marks(need: DataFrame, marks: tuple[float, ...] = (0.8, 0.9, 0.95, 0.
     run = need.withColumns({"cum": F.sum("demand").over(order), "n": F.count(F.lit(1)).over(order), "total": F.sum("demand").over(Window.partitionBy())})
     each = run.withColumn("mark", F.explode(F.array(*[F.lit(float(m)) for m in marks])))
     return each.where(F.col("cum") >= F.col("mark") * F.col("total")).groupBy("mark").agg(F.min("n").alias("concepts"))
+
+
+def chosen(vocab: DataFrame, spec: str, trained: DataFrame | None = None) -> DataFrame:
+    """Concepts by "a:b" (numbers from a up to, not including, b) or a comma list of numbers or ids, less those that are trained."""
+    number = F.substring("concept_id", 3, 20).cast("long")
+    if ":" in spec:
+        low, high = spec.split(":")
+        out = vocab.where((number >= int(low or 0)) & (number < int(high) if high else F.lit(True)))
+    else:
+        wanted = [int(x.removeprefix("C-")) for x in spec.split(",")]
+        out = vocab.where(number.isin(wanted))
+    return out if trained is None else out.join(trained, "concept_id", "left_anti")
+
+
+def best_supplied(supplied: DataFrame, least: int, most: int) -> DataFrame:
+    """The most concepts with the largest smaller count of the two languages, of those with least or more."""
+    m = supplied.withColumn("supplied", F.least("en_n", "es_n")).where(F.col("supplied") >= least)
+    return m.orderBy(F.desc("supplied"), "concept_id").limit(most).select("concept_id", "supplied")
+
+
+def content_concepts(vocab: DataFrame, stop: tuple[str, ...], least_chars: int = 4) -> DataFrame:
+    """Concepts with a word, of either language, of least_chars or more outside the stop list."""
+    ok = lambda w: (F.length(w) >= least_chars) & ~w.isin(*stop)
+    return vocab.where(F.exists("en", ok) | F.exists("es", ok))
+
+
+def attach_orphans(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, component): unplaced words that join the part of their first translation, English ones first, then Spanish ones, which
+    may join through an English word just attached; pairs of equal spelling don't count."""
+    first = top_translations(pairs, 1).where("src <> tgt")
+    out = None
+    for direction, own, other in (("en-es", "en:", "es:"), ("es-en", "es:", "en:")):
+        placed = parts if out is None else parts.unionByName(out)
+        orphans = first.where(F.col("dir") == direction).select(F.concat(F.lit(own), "src").alias("node"), F.concat(F.lit(other), "tgt").alias("to")).join(parts, "node", "left_anti")
+        got = orphans.join(placed.withColumnRenamed("node", "to"), "to").select("node", "component")
+        out = got if out is None else out.unionByName(got)
+    return out

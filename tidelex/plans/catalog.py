@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import lexical_index
 from ..functions.stem import stem_of
-from ..functions.text import ENTRY, TOKEN, WORD, tokens, valid_entry, words
+from ..functions.text import ENTRY, TOKEN, WORD, focal_span, token_spans, tokens, valid_entry, words
+from ..functions.vector import dot
 from ..operators import corpus, encode, graph, sample, search, train, vectors, vocab
-from ..sources.store import shared_dir
+from ..sources.store import missing_translations, shared_dir
 from ..streaming import ingest
 from .base import Base
 from .registry import translated
-from .sql import STOP_ES, sql
+from .sql import STOP, STOP_ES, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -423,13 +424,17 @@ _sql["translate_bm25"] = sql("", "dpost", "qterm", "dict").rstrip() + """, esp A
 _QC = "qc AS (SELECT DISTINCT q.qid, m.concept_id FROM qterm q JOIN wc m ON m.lang = 'en' AND m.word = q.term)"
 
 
-@query()
-def coverage(b: Base) -> DataFrame:
+def coverage_of(b: Base) -> DataFrame:
     q = encode.matches(b.query_tokens.withColumn("lang", F.lit("en")), b.word_concept).select(F.col("id").alias("qid"), "concept_id").distinct()
     d = encode.matches(_rows(b), b.word_concept).select("id", "concept_id").distinct()
     return search.covered(q, b.gold, d)
 
 
+@query()
+def coverage(b: Base) -> DataFrame:
+    return coverage_of(b)
+
+
 _sql["coverage"] = sql("", "qterm", "wc", "gold", "art").rstrip() + ", " + _QC + ", " + _MATCH + ", dc AS (SELECT DISTINCT id, concept_id FROM rows JOIN wc ON wc.lang = rows.lang AND wc.word = rows.token) SELECT DISTINCT qc.qid FROM qc JOIN gold USING (qid) JOIN dc ON dc.id = gold.id AND dc.concept_id = qc.concept_id"
 
 
@@ -578,6 +583,104 @@ def sense_buckets(b: Base) -> DataFrame:
     return b.sents.groupBy("lang", F.when(one, name).otherwise(F.concat(F.lit("other_"), "lang")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Further views ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT concept_id, count(*) AS n FROM latest GROUP BY 1", "latest")
+def facet_counts(b: Base) -> DataFrame:
+    return b.latest.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, concept_id, lang FROM latest QUALIFY row_number() OVER (PARTITION BY concept_id, lang ORDER BY id) <= 8", "latest")
+def concept_scroll(b: Base) -> DataFrame:
+    return sample.scroll(b.latest, 8).select("id", "concept_id", "lang")
+
+
+@query("SELECT concept_id, size FROM concept WHERE substr(concept_id, 3)::INT >= 10 AND substr(concept_id, 3)::INT < 40 AND concept_id NOT IN ('C-00012', 'C-00020')", "concept")
+def concept_selection(b: Base) -> DataFrame:
+    done = b.values([("C-00012",), ("C-00020",)], "concept_id string")
+    return vocab.chosen(b.vocab, "10:40", done).select("concept_id", "size")
+
+
+@query("SELECT concept_id, least(en_n, es_n) AS supplied FROM supply WHERE least(en_n, es_n) >= 5 ORDER BY supplied DESC, concept_id LIMIT 25", "supply")
+def best_supplied(b: Base) -> DataFrame:
+    return vocab.best_supplied(vocab.supply(b.vocab, b.counts), 5, 25)
+
+
+@query(f"SELECT concept_id FROM concept WHERE len(list_filter(list_concat(en, es), lambda w: length(w) >= 4 AND w NOT IN ({STOP}, {STOP_ES}))) > 0", "concept")
+def content_concepts(b: Base) -> DataFrame:
+    return vocab.content_concepts(b.vocab, encode.STOPWORDS["en"] + encode.STOPWORDS["es"]).select("concept_id")
+
+
+_PLACED = "placed AS (FROM part WHERE node NOT LIKE '%a'), one AS (SELECT dir, src, tgt FROM top WHERE rank = 1 AND src <> tgt), a AS (SELECT 'en:' || src AS node, p.component FROM one JOIN placed p ON p.node = 'es:' || tgt WHERE dir = 'en-es' AND 'en:' || src NOT IN (SELECT node FROM placed)), z AS (SELECT 'es:' || src AS node, p.component FROM one JOIN (FROM placed UNION ALL FROM a) p ON p.node = 'en:' || tgt WHERE dir = 'es-en' AND 'es:' || src NOT IN (SELECT node FROM placed))"
+
+
+@query()
+def attach_orphans(b: Base) -> DataFrame:
+    return vocab.attach_orphans(b.dictionary, b.parts.where(~F.col("node").endswith("a")))
+
+
+_sql["attach_orphans"] = sql("", "part", "top").rstrip() + ", " + _PLACED + " SELECT node, component FROM a UNION ALL SELECT node, component FROM z"
+
+
+@query("SELECT id, concept_id, CASE WHEN k > 0 THEN k - 1 END AS start, CASE WHEN k > 0 THEN k - 1 + length(word) END AS stop FROM (SELECT *, strpos(lower('passage: ' || sentence), word) AS k FROM points)", "points")
+def focal_offsets(b: Base) -> DataFrame:
+    s = b.points.withColumn("span", focal_span(F.col("sentence"), F.col("word")))
+    return s.select("id", "concept_id", F.col("span.start").alias("start"), F.col("span.end").alias("stop"))
+
+
+@query("SELECT vec_id, round(n, 6) AS squared FROM (SELECT vec_id, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM embeddings) WHERE n >= 0.5")
+def live_vectors(b: Base) -> DataFrame:
+    v = b.table("embeddings").withColumn("n", dot(F.col("embedding"), F.col("embedding")))
+    return v.where("n >= 0.5").select("vec_id", F.round("n", 6).alias("squared"))
+
+
+@query("SELECT sha256(text) AS key, any_value(text) AS text FROM documents WHERE lang = 'es' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'es' AND doc_id % 2 = 0) GROUP BY 1")
+def translation_misses(b: Base) -> DataFrame:
+    es = b.docs.where("lang = 'es'")
+    cache = es.where("doc_id % 2 = 0").select(F.lit("m").alias("model"), F.lit("es").alias("src"), F.lit("en").alias("tgt"), F.sha2("text", 256).alias("key"))
+    return missing_translations(es, cache, "m", "es", "en").select("key", "text")
+
+
+@query("SELECT round(abs(avg(ndcg10) - round(avg(ndcg10), 6)), 5) AS gap, count(*) AS n FROM metric", "metric")
+def metric_recompute(b: Base) -> DataFrame:
+    reported = F.round(F.avg("ndcg10"), 6)
+    return b.per_query.agg(F.round(F.abs(F.avg("ndcg10") - reported), 5).alias("gap"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT depth, 1.5::DOUBLE + 0.5::DOUBLE * depth AS linear, 1.5::DOUBLE * 2.0::DOUBLE ** depth AS exponential FROM (SELECT unnest(range(0, 8)) AS depth)")
+def resolution_schedules(b: Base) -> DataFrame:
+    d = b.spark.range(8).select(F.col("id").alias("depth"))
+    return d.select("depth", (F.lit(1.5) + F.lit(0.5) * F.col("depth")).alias("linear"), (F.lit(1.5) * F.pow(F.lit(2.0), F.col("depth"))).alias("exponential"))
+
+
+@query()
+def gold_only_coverage(b: Base) -> DataFrame:
+    """Items of which a relevant document holds any concept."""
+    d = encode.matches(_rows(b), b.word_concept).select("id").distinct()
+    return b.gold.join(d, "id", "left_semi").select("qid").distinct()
+
+
+_sql["gold_only_coverage"] = sql("", "wc", "gold", "art").rstrip() + ", " + _MATCH + " SELECT DISTINCT qid FROM gold WHERE id IN (SELECT id FROM rows JOIN wc ON wc.lang = rows.lang AND wc.word = rows.token)"
+
+
+@query()
+def covered_view(b: Base) -> DataFrame:
+    """The split files' items that are covered, in their order."""
+    q = b.table("benchmark").select(F.col("item_id").alias("qid"), F.lit("eng-eng").alias("pair"))
+    return search.hash_split(q, 10, 10, "42").join(coverage_of(b), "qid", "left_semi").select("pair", "split", "ord", "qid")
+
+
+_sql["covered_view"] = _sql["coverage"].replace(" SELECT DISTINCT qc.qid FROM", ", cov AS (SELECT DISTINCT qc.qid FROM", 1) + """) SELECT pair, split, ord, qid FROM (
+  SELECT pair, qid, CASE WHEN n <= 10 THEN 'dev' WHEN n <= 20 THEN 'validation' ELSE 'test' END AS split, CASE WHEN n <= 10 THEN n WHEN n <= 20 THEN n - 10 ELSE n - 20 END AS ord FROM (
+  SELECT 'eng-eng' AS pair, item_id AS qid, row_number() OVER (ORDER BY sha256('42::eng-eng::' || item_id::VARCHAR), item_id) AS n FROM benchmark)) WHERE qid IN (SELECT qid FROM cov)"""
+
+
+@query("SELECT concept_id, lang, count(*) AS n, round(avg(rank), 6) AS mean_rank FROM capped GROUP BY 1, 2", "capped")
+def cap_report(b: Base) -> DataFrame:
+    return sample.capped(b.hits).groupBy("concept_id", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"))
+
+
 # Iterative and learned: no SQL ----------------------------------------------------------------------------------------
 
 
@@ -596,6 +699,27 @@ def kmeans_best_k(b: Base) -> DataFrame:
     return train.kmeans_best(b.vec)
 
 
+@query()
+def concept_plane(b: Base) -> DataFrame:
+    return train.plane(b.vec)
+
+
+@query()
+def token_positions(b: Base) -> DataFrame:
+    return b.arts.select("doc_id", F.explode(token_spans("text")).alias("s")).select("doc_id", "s.token", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+
+
+@query()
+def schedule_verdict(b: Base) -> DataFrame:
+    """Modularity of Louvain parts by the step at which resolution rises for parts that are too large."""
+    out = None
+    for step in (0.5, 1.5):
+        parts = graph.louvain_parts(b.edges, b.parts, most=3, step=step).select("node", F.col("part").alias("component"))
+        m = graph.modularity(b.edges, parts).withColumn("step", F.lit(step))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 @query()
 def stream_ingest(b: Base) -> DataFrame:
     at = f"{shared_dir(b.spark)}/stream-{uuid.uuid4().hex}"

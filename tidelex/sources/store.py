@@ -122,6 +122,22 @@ def write_splits(folder: str, splits: dict[str, list[str]], seed: int, force: bo
     return out
 
 
+def missing_translations(texts: DataFrame, cache: DataFrame, model: str, src: str, tgt: str) -> DataFrame:
+    """texts(text) that the cache (model, src, tgt, key, translation) doesn't hold, once each, with their content key."""
+    keyed = texts.select("text", F.sha2("text", 256).alias("key")).dropDuplicates(["key"])
+    return keyed.join(cache.where((F.col("model") == model) & (F.col("src") == src) & (F.col("tgt") == tgt)), "key", "left_anti")
+
+
+def export_model(folder: str, vocab: DataFrame, heads: DataFrame, config: dict, card: str) -> None:
+    """A publishable folder: vocabulary and heads as Parquet, configuration as JSON, and a card. Vectors and local paths stay out."""
+    vocab.write.mode("errorifexists").parquet(f"{folder}/vocabulary")
+    heads.select("concept_id", "weights").write.mode("errorifexists").parquet(f"{folder}/heads")
+    with open(f"{folder}/config.json", "w") as f:
+        json.dump(config, f, indent=1, sort_keys=True)
+    with open(f"{folder}/README.md", "w") as f:
+        f.write(card)
+
+
 def stamp() -> str:
     return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H%M%SZ")
 
