@@ -47,7 +47,7 @@ def maximal_segments(left: list[float], right: list[float]) -> list[tuple[int, i
     return [(s[2], s[3]) for s in stack]
 
 
-def feature_scores(toxic: np.ndarray, clean: np.ndarray, prior_share: float = 0.05, z_min: float = 4.0, delta_min: float = 2.0) -> np.ndarray:
+def feature_scores(toxic: np.ndarray, clean: np.ndarray, prior_share: float = 0.1, z_min: float = 3.0, delta_min: float = 2.0) -> np.ndarray:
     """The significant and large log-odds of each feature bucket, 0 elsewhere."""
     n1, n0 = float(toxic.sum()), float(clean.sum())
     both = (toxic + clean).astype(float)
@@ -145,7 +145,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(b[0]), float(max(b[1], 0.0))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 16_000, prior_share: float = 0.05, z_min: float = 4.0, delta_min: float = 2.0, drift: float = 0.1) -> dict:
+def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 16_000, prior_share: float = 0.1, z_min: float = 3.0, delta_min: float = 2.0, drift: float = 0.1) -> dict:
     """The model, from at most max_train_rows labelled rows (half of each class), of which whole texts are read.
     What is broadcast and collected is bounded by max_train_rows and the number of buckets."""
     ids, sizes = labelled_sample(docs, labels, "toxic", max_train_rows // 2)
