@@ -290,6 +290,29 @@ def test_filter_reads_counts_back():
     assert 8 * len(small) <= 200_064 and max(cut) > 1
 
 
+def test_filter_leaves_no_pair_out():
+    """A shard's answers know every n-gram of every learning document, however many there are, and nothing is pruned."""
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 62, 120_000, dtype=np.uint64)
+    before = np.r_[np.uint64(lm.BEGIN), h[:-1]]
+    yes, dev = np.ones(len(h), bool), np.arange(len(h)) < 3000
+    blobs = list(lm._asked(7, h, before, yes, dev, 1))
+    t = lm.pa.table({"kind": [x[1] for x in blobs], "block": [x[2] for x in blobs], "blob": [x[3] for x in blobs]})
+    got = {r["kind"]: r["blob"] for r in lm.reducer(1, 9.0, 5)((lm.pa.scalar(0),), t).to_pylist()}
+    level, dev_level = lm.unpack(got[lm.PAIRS])
+    assert len(level) == len(h) and (level > 0).all() and 117_000 <= (lm.unpack(got[lm.TOKENS])[1] > 0).sum()
+    assert (dev_level > 0).sum() < 300  # dev pairs are only hidden from the slice that lambdas are learned by
+    stats = lm.json.loads(got[lm.STATS])
+    assert stats["least"] == [1, 1] and sum(stats["pair"][0]) == len(h) and sum(stats["rest"][0]) == len(h) - 3000
+
+
+def test_lm_score_does_not_depend_on_the_blocks(spark):
+    d = docs(spark)
+    a, b = (sorted((r.doc_id, r.n_tokens, r.score) for r in lm.scored(d, **p).collect()) for p in ({"shards": 3}, {"shards": 3, "block_tokens": 300}))
+    assert [x[:2] for x in a] == [x[:2] for x in b]
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], rel=1e-6)
+
+
 def test_lm_odd_rows(spark, odd, none):
     got = lm.scored(odd).collect()
     rows = [(r.doc_id, r.text) for r in odd.collect()]

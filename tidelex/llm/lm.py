@@ -1,22 +1,25 @@
 """Bigram language model in a log-frequency Bloom filter (operator 7).
 
-Counting. Mappers number words by a 64-bit hash and work in blocks of up to block_tokens tokens. A block sends, to the shard of
-each token, its count and the documents that hold it, and to the shard of each word pair its count, packed in
-binary blobs. Tokens that are frequent in a block (block_tokens / 4096 or more times, so 4096 of them at most) keep their
-documents with the block and only ask the shard for their count; so no shard gets a row for each document of a
-frequent word. Shards add up exact counts over all blocks, and give each document's share of the base score.
+Counting. Mappers number words by a 64-bit hash and work in blocks of up to block_tokens tokens. A block sends, to the shard
+of each token and of each word pair, its count there, packed in binary blobs; pairs of documents that aren't for learning go
+along with count 0, as questions. Shards add up exact counts over all blocks.
 
 Model. Each shard puts its n-grams in its own slice of the filter, as (n-gram, level) for all levels up to
 1 + floor(log2 count): all tokens, and word pairs seen pair_min times or more. A slice takes bits_per_entry bits an
-entry; the sum of slices is bounded by max_bits, above which the least counts are left out first. A count is
+entry, and nothing is left out: the filter grows with the corpus. It is never gathered: slices stay with their shards, which
+answer each block with the counts and levels of what it sent. A count is
 read by probing level after level until one is missing; it then stands for the mean count of its level. The word's
 probability given the one before is lambda(level of the one before) * pair / before + (1 - lambda) * unigram; an
 unseen word has the Good-Turing mass of the words seen once. The lambdas come from expectation maximisation over
-about 1 in dev_part learning documents, whose word pairs aren't counted.
+about 1 in dev_part learning documents, whose pairs are read from a second slice that has the other documents' pairs only; scores
+are read from the one that has all.
+
+Scoring. A second run over the same blocks joins the answers. A token's probability depends on three levels only, so a
+document becomes a histogram of them, which is scored once the lambdas are known.
 
 Learning rows: crc32 of the id modulo 7 is not 2. Defined results: null and empty texts are the end token only; with no
 learning rows no word is known (N = V = 0) and both scores are 0. Repeated rows are scored, and counted, each for itself. The
-rows of docs must come in a fixed order (files do); extra columns are ignored. Memory: a block, or a shard's blobs."""
+rows of docs must come in a fixed order (files do); extra columns are ignored. Memory: a block, or a shard's blobs and slice."""
 
 from __future__ import annotations
 
@@ -33,8 +36,9 @@ from .textvec import hash_text, mix, tokens
 
 END = hash_text("\n\n")
 BEGIN = hash_text("\n")
-TOKENS, PAIRS, OWN, PART, COUNTS, SLICE, STATS = range(7)
+TOKENS, PAIRS, FIRST, OWN, STATS = range(5)
 LEVELS = 48
+UNBOUNDED = 1 << 62
 BINS = np.r_[-np.inf, np.arange(-24, 24.25, 0.25)]
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -89,44 +93,36 @@ def token_stream(column: pa.Array, rows: np.ndarray) -> Iterator[tuple[np.ndarra
         yield rows[row], h, before
 
 
-def _block(key: int, docs: np.ndarray, ids: list, held: np.ndarray, row: np.ndarray, h: np.ndarray, before: np.ndarray, learn: np.ndarray, pairs: np.ndarray, shards: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """The blobs of a block. row: numbers in docs; learn and pairs: by row, whether tokens and pairs count."""
-    order = np.argsort(h, kind="stable")
-    hs, rs = h[order], row[order]
-    new = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-    own = hs[new]
-    ones = np.add.reduceat(learn[rs].astype(np.int64), new)
-    total = np.diff(np.r_[new, len(hs)])
-    often = total >= max(2, len(h) // 4096)
-    # (token, document) pairs with how often: rows are sorted within a token, as the sort is stable.
-    edge = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (rs[1:] != rs[:-1])])
-    tf, doc = np.diff(np.r_[edge, len(hs)]), rs[edge]
-    size = np.diff(np.r_[np.searchsorted(edge, new), len(edge)])
-    owner = np.repeat(np.arange(len(own)), size)
-    s = shard_of(own, shards)
-    cuts = np.searchsorted(s, np.arange(shards + 1))
-    doc_cuts = np.r_[0, np.cumsum(size)][cuts]
+def _asked(key: int, h: np.ndarray, before: np.ndarray, learn: np.ndarray, dev: np.ndarray, shards: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The blobs of a block for the shards. learn and dev: by token, whether it counts, and is of a dev document."""
+    own, of = np.unique(h, return_inverse=True)
+    n = np.bincount(of, learn, len(own)).astype(np.uint32)
+    cuts = np.searchsorted(shard_of(own, shards), np.arange(shards + 1))
+    for k in range(shards):
+        a, b = cuts[k], cuts[k + 1]
+        if a < b:
+            yield k, TOKENS, key, pack(pack_sorted(own[a:b]), n[a:b])
+    p, of = np.unique(pair_hash(before, h), return_inverse=True)
+    n, n_dev = (np.bincount(of, x, len(p)).astype(np.uint32) for x in (learn, learn & dev))
+    cuts = np.searchsorted(shard_of(p, shards), np.arange(shards + 1))
     for k in range(shards):
         a, b = cuts[k], cuts[k + 1]
-        if a == b:
-            continue
-        few = ~often[owner[doc_cuts[k] : doc_cuts[k + 1]]]
-        d = slice(doc_cuts[k], doc_cuts[k + 1])
-        yield k, TOKENS, key, pack(pack_sorted(own[a:b]), ones[a:b].astype(np.uint32), np.where(often[a:b], 0, size[a:b]).astype(np.uint16), often[a:b], doc[d][few].astype(np.uint16), tf[d][few].astype(np.uint16), docs)
-    keep = often[owner]
-    yield -1 - key, OWN, key, pack(own[often], size[often], doc[keep].astype(np.uint16), tf[keep].astype(np.uint32), docs, np.array([x is not None for x in ids]), np.array([x or 0 for x in ids], np.int64), held, np.bincount(row, minlength=len(docs)))
-    p = pair_hash(before, h)[pairs[row]]
-    if len(p):
-        p, n = np.unique(p, return_counts=True)
-        cuts = np.searchsorted(shard_of(p, shards), np.arange(shards + 1))
-        for k in range(shards):
-            a, b = cuts[k], cuts[k + 1]
-            if a < b:  # 40 bits within a shard do for a filter
-                yield k, PAIRS, key, pack(pack_sorted(p[a:b] >> np.uint64(24))[: 6 * (b - a)], n[a:b].astype(np.uint32))
-
-
-def mapper(shards: int, block_tokens: int, dev_part: int):
-    """Batches (row key, doc_id, learning, dev, text) -> (key, kind, block, blob)."""
+        if a < b:  # 40 bits within a shard do for a filter
+            yield k, PAIRS, key, pack(pack_sorted(p[a:b] >> np.uint64(24))[: 6 * (b - a)], n[a:b], n_dev[a:b])
+    if before[0] != np.uint64(BEGIN):  # a document goes on here: its last token is in the block before
+        yield int(shard_of(before[:1], shards)[0]), FIRST, key, pack(before[:1])
+
+
+def _kept(key: int, docs: np.ndarray, ids: list, held: np.ndarray, dev: np.ndarray, row: np.ndarray, h: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """The blob of a block for itself. row: numbers in docs."""
+    own, of = np.unique(h, return_inverse=True)
+    planes = of.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.ravel()
+    yield key, OWN, 0, pack(pack_sorted(own), planes, docs, np.array([x is not None for x in ids]), np.array([x or 0 for x in ids], np.int64), held, dev, np.bincount(row, minlength=len(docs)), before[:1])
+
+
+def mapper(shards: int, block_tokens: int, ask: bool):
+    """Batches (row key, doc_id, learning, dev, text) -> (key, kind, block, blob): what blocks ask the shards, or what they keep for
+    themselves, with the block as key. Both runs cut the same blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -141,7 +137,9 @@ def mapper(shards: int, block_tokens: int, dev_part: int):
             row, h, before = (np.concatenate(held[k]) for k in ("row", "h", "before"))
             base = docs[0]
             place = np.searchsorted(docs - base, row - base)
-            for x in _block(int(base) * 4096 + int(sum(held["cuts"])) % 4096, docs, held["ids"], ~learn, place, h, before, learn, learn & ~dev, shards):
+            block = int(base) * 4096 + int(sum(held["cuts"])) % 4096
+            out = _asked(block, h, before, learn[place], dev[place], shards) if ask else _kept(block, docs, held["ids"], ~learn, learn & dev, place, h, before)
+            for x in out:
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, kinds, strict=True)], ["key", "kind", "block", "blob"])
 
         held["cuts"] = [0]
@@ -203,84 +201,113 @@ def build_slice(grams: list[tuple[np.ndarray, np.ndarray]], bits_per_entry: floa
     return np.packbits(on), least
 
 
-def add_pairs(blobs: list[list[np.ndarray]], pair_min: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the pairs that all blobs hold pair_min times or more. Hash and count share a number, which is sorted
-    in place: 40 bits of hash, and 24 of count, which no block exceeds."""
-    if not blobs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    x = np.concatenate([unpack_sorted(np.r_[h, np.zeros(2 * len(n), np.uint8)]) << np.uint64(24) | n for h, n in blobs])
-    x.sort()
-    new = np.flatnonzero(np.r_[True, x[1:] >> np.uint64(24) != x[:-1] >> np.uint64(24)])
-    c = np.add.reduceat((x & np.uint64(0xFFFFFF)).astype(np.int64), new)
-    return x[new][c >= pair_min] & ~np.uint64(0xFFFFFF), c[c >= pair_min]
+def add_pairs(hashes: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(distinct hashes, their places by blob, their summed counts of each kind) of blobs' sorted hashes and counts."""
+    p = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    at, total = [], [np.zeros(len(p), np.int64) for _ in range(2)]
+    for h, cs in zip(hashes, counts, strict=True):
+        i = np.searchsorted(p, h)
+        at.append(i.astype(np.int32))
+        for t, c in zip(total, cs, strict=True):
+            np.add.at(t, i, c.astype(np.int64))
+    return p, at, total
 
 
-def reducer(pair_min: int, bits_per_entry: float, most_bits: int, probes: int):
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("x", pa.float64()), ("n", pa.int64()), ("blob", pa.binary())])
+def reducer(pair_min: int, bits_per_entry: float, probes: int):
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binary())])
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         k = key[0].as_py()
-        if k < 0:  # what a block keeps for itself goes through
-            return pa.table([pa.array([OWN] * len(t), pa.int32()), t.column("block"), pa.nulls(len(t), pa.float64()), pa.nulls(len(t), pa.int64()), t.column("blob")], schema=schema)
-        kinds, blocks = t.column("kind").to_numpy(), t.column("block").to_numpy()
-        blobs = t.column("blob")
-        p, c2 = add_pairs([unpack(blobs[int(j)].as_py()) for j in np.flatnonzero(kinds == PAIRS)], pair_min)
-        own = [unpack(blobs[int(i)].as_py()) for i in np.flatnonzero(kinds == TOKENS)]
-        at = blocks[kinds == TOKENS]
-        h = [unpack_sorted(x[0]) for x in own]
+        kinds, blocks, blobs = t.column("kind").to_numpy(), t.column("block").to_numpy(), t.column("blob")
+        of = lambda kind: [unpack(blobs[int(j)].as_py()) for j in np.flatnonzero(kinds == kind)]
+        own, h = of(TOKENS), []
+        for x in own:
+            h.append(unpack_sorted(x[0]))
         words, inverse = np.unique(np.concatenate(h), return_inverse=True) if h else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         counts = np.bincount(inverse, np.concatenate([x[1] for x in own]) if own else None, len(words)).astype(np.int64)
-        logs = np.log10(counts + 1.0)
-        out: dict[str, list] = {c: [] for c in schema.names}
-
-        def put(kind, keys, x=None, n=None, blob=None):
-            m = len(keys)
-            for c, v in zip(schema.names, ([kind] * m, keys, x if x is not None else [None] * m, n if n is not None else [None] * m, blob if blob is not None else [None] * m), strict=True):
-                out[c].append(pa.array(v, schema.field(c).type))
-
+        asked = of(PAIRS)
+        p, places, (all_n, dev_n) = add_pairs([unpack_sorted(np.r_[x[0], np.zeros(2 * len(x[1]), np.uint8)]) << np.uint64(24) for x in asked], [x[1:] for x in asked])
+        del asked
+        seen, out = counts > 0, []
+
+        def slice_of(n: np.ndarray) -> tuple[Model, dict]:
+            """The slice of all tokens and of the pairs by these counts, as a model, and its statistics."""
+            grams = [(words[seen], counts[seen]), (p[n >= pair_min], n[n >= pair_min])]
+            bits, least = build_slice(grams, bits_per_entry, UNBOUNDED, probes)
+            stats: dict = {"least": least, "once": int((counts == 1).sum())}
+            for name, (_, c) in zip(("token", "pair"), grams, strict=True):
+                v = count_levels(c)
+                stats[name] = [np.bincount(v, minlength=LEVELS).tolist(), np.bincount(v, c, LEVELS).tolist(), 0, 0]
+            return Model([bits.tobytes()], [stats], probes), stats
+
+        # Dev documents' pairs by the slice without them; it is gone before the whole one is made.
+        model, stats = slice_of(all_n - dev_n)
+        dev_level, of_dev = np.zeros(len(p), np.uint8), dev_n > 0
+        dev_level[of_dev] = model.levels(p[of_dev])
+        rest = stats["pair"]
+        del model
+        model, stats = slice_of(all_n)
+        level, pair_level = model.levels(words).astype(np.uint8), model.levels(p).astype(np.uint8)
         i = 0
-        for x, b in zip(own, at.tolist(), strict=True):
-            _, ones, size, often, doc, tf, docs = x
-            mine = inverse[i : i + len(ones)]
-            i += len(ones)
-            w = np.repeat(mine, size)
-            logsum = np.bincount(doc, tf * logs[w], len(docs))
-            known = np.bincount(doc, tf * (counts[w] > 0), len(docs)).astype(np.int64)
-            some = np.bincount(doc, minlength=len(docs)) > 0
-            put(PART, docs[some], logsum[some], known[some])
-            if often.any():
-                put(COUNTS, [b], blob=[pack(words[mine[often]], counts[mine[often]])])
-        seen = counts > 0
-        grams = [(words[seen], counts[seen]), (p, c2)]
-        bits, least = build_slice(grams, bits_per_entry, most_bits, probes)
-        stats: dict = {"least": least, "once": int((counts == 1).sum())}
-        for name, (_, c), m in zip(("token", "pair"), grams, least, strict=True):
-            v = count_levels(c)
-            stats[name] = [np.bincount(v[c >= m], minlength=LEVELS).tolist(), np.bincount(v[c >= m], c[c >= m], LEVELS).tolist(), int((c < m).sum()), int(c[c < m].sum())]
-        put(SLICE, [k], blob=[bits.tobytes()])
-        put(STATS, [k], blob=[json.dumps(stats).encode()])
-        return pa.table([pa.chunked_array(v, schema.field(c).type) for c, v in out.items()], schema=schema)
+        for b, x in zip(blocks[kinds == TOKENS].tolist(), h, strict=True):
+            mine = inverse[i : i + len(x)]
+            i += len(x)
+            out.append((b, TOKENS, k, pack(counts[mine], level[mine])))
+        for b, at in zip(blocks[kinds == PAIRS].tolist(), places, strict=True):
+            out.append((b, PAIRS, k, pack(pair_level[at], dev_level[at])))
+        for b, (x,) in zip(blocks[kinds == FIRST].tolist(), of(FIRST), strict=True):
+            out.append((b, FIRST, k, pack(model.levels(x).astype(np.uint8))))
+        out.append((k, STATS, k, json.dumps(stats | {"rest": rest}).encode()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+LEVELLED = "row long, doc_id long, held_out boolean, n_tokens long, x double, n long, codes array<int>, times array<int>"
+
+
+def histogram(place: np.ndarray, code: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """By place from 0 to n - 1: the codes there and how often each."""
+    both, times = np.unique(place * CODES + code, return_counts=True)
+    offsets = pa.array(np.searchsorted(both, np.arange(n + 1) * CODES), pa.int32())
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (both % CODES, times))
+
+
 def assemble(key: tuple, t: pa.Table) -> pa.Table:
-    """What a block kept and the counts it asked for -> rows of its documents."""
-    own, h, c = None, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob"), strict=True):
-        if kind == OWN:
-            own = unpack(blob.as_py())
-        else:
-            a, b = unpack(blob.as_py())
-            h.append(a), c.append(b)
-    word, size, doc, tf, docs, has_id, ids, held, n = own
-    h, c = np.concatenate(h), np.concatenate(c)
-    order = np.argsort(h)
-    counts = np.repeat(c[order][np.searchsorted(h[order], word)] if len(word) else np.zeros(0, np.int64), size)
-    return pa.table({
-        "row": docs, "doc_id": pa.array(ids, mask=~has_id), "held_out": pa.array(held), "n_tokens": pa.array(n, pa.int64()),
-        "x": np.bincount(doc, tf * np.log10(counts + 1.0), len(docs)).astype(np.float64), "n": np.bincount(doc, tf * (counts > 0), len(docs)).astype(np.int64),
-    })
+    """What a block kept and the shards' answers -> rows of its documents, and one without number for its dev documents."""
+    got: dict[int, list] = {TOKENS: [], PAIRS: [], FIRST: [], OWN: []}
+    for kind, part, blob in sorted(zip(t.column("kind").to_pylist(), t.column("part").to_pylist(), t.column("blob"), strict=True), key=lambda x: x[:2]):
+        got[kind].append(unpack(blob.as_py()))
+    own, planes, docs, has_id, ids, held, dev, n, start = got[OWN][0]
+    own, of = unpack_sorted(own), np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    counts, level = (np.concatenate([x[i] for x in got[TOKENS]]) for i in range(2))
+    pair_level, dev_level = (np.concatenate([x[i] for x in got[PAIRS]]) for i in range(2))
+    place, h = np.repeat(np.arange(len(docs)), n), own[of]
+    new = np.r_[start[0] == np.uint64(BEGIN), place[1:] != place[:-1]]
+    before = np.r_[start, h[:-1]]
+    before[new] = np.uint64(BEGIN)
+    _, at = np.unique(pair_hash(before, h), return_inverse=True)
+    mine = level[of].astype(np.int64)
+    ahead = np.r_[got[FIRST][0][0].astype(np.int64) if got[FIRST] else np.zeros(1, np.int64), mine[:-1]]
+    ahead[new] = LEVELS
+    code = lambda levels: code_of(mine, ahead, np.where((mine > 0) & (ahead > 0), levels[at], 0))
+    logs, c = np.log10(counts + 1.0)[of], counts[of]
+    codes, times = histogram(place, code(pair_level), len(docs))
+    learned = dev[place]
+    dev_codes, dev_times = histogram(np.zeros(int(learned.sum()), np.int64), code(dev_level)[learned], 1)
+    cols = [
+        pa.array(np.r_[docs, 0], mask=np.r_[np.zeros(len(docs), bool), True]), pa.array(np.r_[ids, 0], mask=np.r_[~has_id, True]), pa.array([*held.tolist(), None], pa.bool_()), pa.array(np.r_[n, 0], pa.int64()),
+        pa.array(np.r_[np.bincount(place, logs, len(docs)), 0.0]), pa.array(np.r_[np.bincount(place, c > 0, len(docs)), 0].astype(np.int64)), pa.concat_arrays([codes, dev_codes]), pa.concat_arrays([times, dev_times]),
+    ]
+    return pa.table(cols, names=["row", "doc_id", "held_out", "n_tokens", "x", "n", "codes", "times"])
+
+
+CODES = LEVELS * (LEVELS + 1) * LEVELS
+
+
+def code_of(own: np.ndarray, ahead: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """One number for the levels of a token, of the one before, and of their pair."""
+    return (own * (LEVELS + 1) + ahead) * LEVELS + pair
 
 
 class Model:
@@ -317,27 +344,15 @@ class Model:
             out[live] = level
         return out
 
-    def parts(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(level of the word before, probability by word pair, by the word alone) of each token."""
-        words, where = np.unique(np.r_[h, before], return_inverse=True)
-        level = self.levels(words)[where]
-        own, ahead = level[: len(h)], level[len(h) :]
-        ahead = np.where(before == np.uint64(BEGIN), LEVELS, ahead)
+    def chances(self, code: np.ndarray, pair_mean: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(level of the word before, probability by word pair, by the word alone) for each code."""
+        own, ahead, pair = code // ((LEVELS + 1) * LEVELS), code // LEVELS % (LEVELS + 1), code % LEVELS
         alone = np.where(own > 0, (1 - self.unseen) * self.token_mean[own] / max(self.n, 1), self.missing)
-        pairs, where = np.unique((pair_hash(before, h) >> np.uint64(24)) << np.uint64(24), return_inverse=True)
-        pair = np.where((own > 0) & (ahead > 0), self.levels(pairs)[where], 0)
         times = np.where(ahead == LEVELS, self.token_mean[count_levels(np.array([self.ends]))[0]] if self.ends else 1.0, self.token_mean[np.minimum(ahead, LEVELS - 1)])
-        return ahead, np.minimum(self.pair_mean[pair] / np.maximum(times, 1), 1.0), alone
+        return ahead, np.minimum((self.pair_mean if pair_mean is None else pair_mean)[pair] / np.maximum(times, 1), 1.0), alone
 
     ends = 0
 
-    @classmethod
-    def of(cls, state: dict) -> Model:
-        """The model with that state: broadcasts carry plain data."""
-        m = cls.__new__(cls)
-        m.__dict__.update(state)
-        return m
-
 
 def learn_lambdas(hist: np.ndarray, rounds: int = 50) -> np.ndarray:
     """By level of the word before: the weight of the pair's probability, given a histogram of log2(pair / alone)."""
@@ -350,7 +365,7 @@ def learn_lambdas(hist: np.ndarray, rounds: int = 50) -> np.ndarray:
     return np.clip(lam, 1e-4, 0.99)
 
 
-def scored(docs: DataFrame, *, folds: int = 7, shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 500_000, pair_min: int = 2, bits_per_entry: float = 9.0, max_bits: int = 1 << 29, probes: int = 5, dev_part: int = 40) -> DataFrame:
+def scored(docs: DataFrame, *, folds: int = 7, shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 500_000, pair_min: int = 1, bits_per_entry: float = 9.0, probes: int = 5, dev_part: int = 40) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     held = fold(F.col("doc_id"), folds) == 2
@@ -360,48 +375,37 @@ def scored(docs: DataFrame, *, folds: int = 7, shards: int | None = None, shard_
     if shards is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         shards = max(12, -(-size // shard_bytes))
-    sent = rows.mapInArrow(mapper(shards, block_tokens, dev_part), "key long, kind int, block long, blob binary")
-    got = written(sent.groupBy("key").applyInArrow(reducer(pair_min, bits_per_entry, max_bits // shards, probes), "kind int, key long, x double, n long, blob binary"), "counts")
-    # The filter comes in a fixed number of parts, one at a time.
-    small = {(r["kind"], r["key"]): bytes(r["blob"]) for r in got.where(F.col("kind").isin(SLICE, STATS)).select("kind", "key", "blob").coalesce(16).toLocalIterator()}
-    empty = (np.zeros(8, np.uint8).tobytes(), json.dumps({"least": [1, 1], "once": 0, "token": [[0] * LEVELS, [0] * LEVELS, 0, 0], "pair": [[0] * LEVELS, [0] * LEVELS, 0, 0]}).encode())
-    model = Model([small.get((SLICE, k), empty[0]) for k in range(shards)], [json.loads(small.get((STATS, k), empty[1])) for k in range(shards)], probes)
-    del small
+    sent = rows.mapInArrow(mapper(shards, block_tokens, True), "key long, kind int, block long, blob binary")
+    got = written(sent.groupBy("key").applyInArrow(reducer(pair_min, bits_per_entry, probes), "key long, kind int, part long, blob binary"), "counts")
+    none = [[0] * LEVELS, [0] * LEVELS, 0, 0]
+    stats = [json.loads(bytes(r["blob"])) for r in got.where(F.col("kind") == STATS).select("blob").collect()] or [{"once": 0, "token": none, "pair": none, "rest": none}]
+    model = Model([bytes(8)], stats, 0)
     model.ends = rows.where("learn").count()
-    shared = sc.broadcast(dict(vars(model)))
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hist = Model.of(shared.value), np.zeros((LEVELS + 1, len(BINS)), np.int64)
-        for b in batches:
-            for _, h, before in token_stream(b.column(0), np.arange(len(b))):
-                ahead, pair, alone = m.parts(h, before)
-                with np.errstate(divide="ignore"):
-                    k = np.where(pair > 0, np.clip(np.floor((np.log2(pair / alone) + 24) * 4), 0, len(BINS) - 2) + 1, 0).astype(np.int64)
-                np.add.at(hist, (ahead, k), 1)
-        a, b = np.nonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hist[a, b])], ["a", "b", "n"])
+    kept = rows.mapInArrow(mapper(shards, block_tokens, False), "key long, kind int, part long, blob binary")
+    levels = written(got.where(F.col("kind") != STATS).unionByName(kept).groupBy("key").applyInArrow(assemble, LEVELLED), "levels")
 
+    each = levels.where("row is null").select(F.explode(F.arrays_zip("codes", "times")).alias("c"))
+    dev = np.array([tuple(r) for r in each.groupBy("c.codes").agg(F.sum("c.times")).collect()], np.int64).reshape(-1, 2)
+    total, mass = (np.sum([s["rest"][i] for s in stats], axis=0) for i in range(2))
     hist = np.zeros((LEVELS + 1, len(BINS)))
-    for r in rows.where("learn and dev").select("text").mapInArrow(histogram, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        hist[r["a"], r["b"]] = r["n"]
+    ahead, pair, alone = model.chances(dev[:, 0], np.r_[0.0, (mass / np.maximum(total, 1))[1:]])
+    with np.errstate(divide="ignore"):
+        k = np.where(pair > 0, np.clip(np.floor((np.log2(pair / alone) + 24) * 4), 0, len(BINS) - 2) + 1, 0).astype(np.int64)
+    np.add.at(hist, (ahead, k), dev[:, 1])
     lambdas = learn_lambdas(hist)
+    ahead, pair, alone = model.chances(np.arange(CODES))
+    lam = lambdas[ahead]
+    with np.errstate(divide="ignore"):  # levels that no token has
+        logs = sc.broadcast(np.log10(lam * pair + (1 - lam) * alone) if model.n else np.zeros(CODES))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model.of(shared.value)
         for b in batches:
-            total = np.zeros(len(b))
-            if m.n:
-                for row, h, before in token_stream(b.column(1), np.arange(len(b))):
-                    ahead, pair, alone = m.parts(h, before)
-                    lam = lambdas[ahead]
-                    total += np.bincount(row, np.log10(lam * pair + (1 - lam) * alone), len(total))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total)], ["row", "score"])
-
-    scores = rows.select("row", "text").mapInArrow(score, "row long, score double")
-    own = got.where(F.col("kind").isin(OWN, COUNTS)).groupBy("key").applyInArrow(assemble, "row long, doc_id long, held_out boolean, n_tokens long, x double, n long")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"))]
-    parts = own.unionByName(got.where(F.col("kind") == PART).select(F.col("key").alias("row"), *none, "x", "n"))
-    base = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n").alias("n_known"), F.sum("x").alias("x"))
-    out = base.join(scores, "row")
+            codes, times = b.column(5), b.column(6)
+            row = np.repeat(np.arange(len(b)), codes.value_lengths().to_numpy())
+            got = np.bincount(row, logs.value[codes.flatten().to_numpy()] * times.flatten().to_numpy(), len(b))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column(7), pa.array(got.astype(np.float64))], ["row", "doc_id", "held_out", "n_tokens", "x", "n", "score"])
+
+    parts = levels.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "x", "codes", "times", "n").mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, x double, n long, score double")
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n").alias("n_known"), F.sum("x").alias("x"), F.sum("score").alias("score"))
     below = float(np.log10(model.n + model.types + 1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), (F.col("x") - F.col("n_tokens") * F.lit(below)).alias("base_score"), "score")
