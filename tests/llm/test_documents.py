@@ -190,6 +190,21 @@ def test_simhash_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def test_null_and_repeated_ids_keep_unrelated_texts(spark):
+    """Different texts under null or equal ids are rows of their own, and don't connect what is near each of them."""
+    rng = random.Random(4)
+    text = [" ".join(f"{rng.choice('abcdefg')}{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (7, text[4]), (5, text[0]), (900, text[1]), (None, text[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = [brute_fingerprint(t) for t in text]
+    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(fp) for b in fp[:i])
+    least = {0: 5, 1: 900, 2: None, 3: 7, 4: 7, 5: None}
+    got = [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(d).collect()]
+    assert sorted(got, key=repr) == sorted(((i, f"{fp[text.index(t)]:016x}", least[text.index(t)]) for i, t in rows), key=repr)
+    kept = [(r.doc_id, text.index(r.text)) for r in simhash.keep_first(d).collect()]
+    assert sorted(kept, key=repr) == sorted(((least[k], k) for k in range(6)), key=repr)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -3,16 +3,16 @@
 Fingerprints: ASCII-lower-cased words, 4-word shingles with repeats, joined by a space; a bit is set if over half of the
 shingles' XXH64 hashes (seed 42) have it. Fewer words: one shingle of all words; none: fingerprint zero.
 
-Links: distinct fingerprints only, each carrying its least doc_id, so copies cost nothing. Two fingerprints within
+Links: distinct fingerprints only, which are the nodes of the graph, so copies cost nothing and ids may be null or repeated. Two fingerprints within
 the error budget agree on some blocks of the 64 bits (budget + r blocks, r agree), so each goes to the buckets of its
 block combinations; r grows with the number of fingerprints so that buckets stay small. In a bucket the sorted
 fingerprints are a binary trie: pairs of nodes go down together, one bit a level, their differing bits add up and
 pairs over the budget, or of leaves that are connected already, are pruned. A bucket gives a spanning forest of its
 links, never all pairs. A bucket above max_bucket is split into parts, and all pairs of parts are joined as tasks
-of their own. Components come from the forests' edges by star contraction.
+of their own. Components come from the forests' edges by star contraction; a component's id is its least doc_id, found afterwards.
 
 Defined results: null texts count as empty; all texts without words link to each other; a null doc_id counts as
-larger than any other; repeated rows are returned as often as they come. Extra columns are ignored."""
+larger than any other, and the id of a component without any doc_id is null; repeated rows are returned as often as they come. Extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-LAST = (1 << 63) - 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -58,14 +57,14 @@ def fingerprint(text: bytes, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """docs(id, text) -> (id, fp): fp holds the 64 bits as a long."""
+    """docs(id, key, text) -> (id, key, fp): fp holds the 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "fp"])
+            got = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(got, np.uint64).view(np.int64))], ["id", "key", "fp"])
 
-    return docs.mapInArrow(run, "id long, fp long")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key binary, fp long")
 
 
 def blocks(n: int, budget: int, per_bucket: int) -> tuple[int, list[tuple[int, int]]]:
@@ -193,51 +192,55 @@ def _expand(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(reps: DataFrame, budget: int = 4, per_bucket: int = 512, max_bucket: int = 4096) -> DataFrame:
-    """reps(fp, rep) of distinct fingerprints -> (a, b): edges between reps that connect all that are within budget."""
+    """reps(fp) of distinct fingerprints -> (a, b): edges between them that connect all that are within budget."""
     agree, parts = blocks(reps.count(), budget, per_bucket)
-    keyed = reps.select("fp", "rep", F.explode(block_keys(F.col("fp"), agree, parts)).alias("k")).select("fp", "rep", "k.combo", "k.bits")
+    keyed = reps.select("fp", F.explode(block_keys(F.col("fp"), agree, parts)).alias("k")).select("fp", "k.combo", "k.bits")
     big = keyed.groupBy("combo", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     keyed = keyed.join(big, ["combo", "bits"])
     pieces = F.ceil(F.col("n") / F.lit(float(max_bucket))).cast("int")
     keyed = keyed.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
     # A bucket of p pieces makes p * (p + 1) / 2 tasks; each fingerprint takes part in p of them.
     spread = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "combo", "bits", "fp", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
+        "combo", "bits", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
     )
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(fp)
-        rep, own = t.column("rep").to_numpy()[order], t.column("own").to_numpy()[order]
+        fp, own = fp[order], t.column("own").to_numpy()[order]
         i, j = key[2].as_py(), key[3].as_py()
-        e = trie_join(fp[order], budget, None if i == j else (own == j).astype(np.int8))
-        return pa.table({"a": rep[e[:, 0]], "b": rep[e[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        e = trie_join(fp, budget, None if i == j else (own == j).astype(np.int8))
+        fp = fp.view(np.int64)
+        return pa.table({"a": fp[e[:, 0]], "b": fp[e[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return spread.groupBy("combo", "bits", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, size: int = 4, budget: int = 4, **params) -> DataFrame:
-    """docs(id, text) -> (id, fp, component)."""
-    each = cut(fingerprints(docs.select(F.coalesce("id", F.lit(LAST)).alias("id"), "text"), size))
-    reps = each.groupBy("fp").agg(F.min("id").alias("rep"))
-    found = components(links(cut(reps), budget, **params))
-    top = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return each.join(top, "fp")
+def classes(each: DataFrame, budget: int = 4, **params) -> DataFrame:
+    """each(id, key, fp) -> (fp, part, first): by distinct fingerprint its component, named by the least fingerprint, and the
+    component's first (last, id, key): the least id, null ids last, then the least key."""
+    reps = cut(each.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")))
+    found = components(links(reps.select("fp"), budget, **params))
+    top = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part"), "first")
+    return top.select("fp", "part").join(top.groupBy("part").agg(F.min("first").alias("first")), "part")
 
 
-def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 4, **params) -> DataFrame:
     """Per document: doc_id, fingerprint, component_id."""
-    out = classes(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), **params)
-    back = lambda c: F.when(F.col(c) < LAST, F.col(c))
-    return out.select(back("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), back("component").alias("component_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.lit(None).cast("binary").alias("key"), F.col("text").cast("string").alias("text"))
+    each = cut(fingerprints(rows, size))
+    out = each.join(classes(each, **params), "fp")
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, **params) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with its own columns; of rows that share
-    this doc_id one stays."""
+def keep_first(docs: DataFrame, *, size: int = 4, **params) -> DataFrame:
+    """One document of each component, one with the least doc_id, with its own columns; of rows that share this doc_id
+    within the component, one stays. Rows are told apart by doc_id and the text's SHA-256."""
     own = docs.columns
-    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    stay = classes(base.select("id", "text"), **params).where("id = component").select("id").distinct()
-    out = base.drop("text").join(stay, "id")
-    one = Window.partitionBy("id").orderBy(*[F.xxhash64(f"c{i}") for i in range(len(own))])
+    text = F.col("text").cast("string")
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col("doc_id").cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)).alias("key"))
+    each = cut(fingerprints(base, size))
+    stay = classes(each, **params).select("first").distinct().select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
+    out = base.drop("text").join(stay, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    one = Window.partitionBy("id", "key").orderBy(*[F.xxhash64(f"c{i}") for i in range(len(own))])
     return out.withColumn("i", F.row_number().over(one)).where("i = 1").select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
