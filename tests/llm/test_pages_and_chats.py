@@ -65,6 +65,50 @@ def test_salvage_recovers_what_is_whole(pack, seed):
     assert covered == sum(len(parts[i]) for i in hurt)
 
 
+def ids_and_gaps(data):
+    out = list(warc.salvage(data))
+    return [x["fields"]["warc-record-id"] for k, _, x in out if k == "record"], [(at, x[0]) for k, at, x in out if k == "gap"]
+
+
+def test_one_stream_loses_only_its_bad_records():
+    parts = [warc.record(i, f"http://h/{i}", random.Random(i).randbytes(3000).hex().encode(), None) + b"\r\n\r\n" for i in range(30)]
+    name = lambda i: f"<{warc.NAME}{i}>"
+    hurt = [bytes([*p[:-20], p[-20] ^ 1, *p[-19:]]) if i in (3, 4, 20) else p for i, p in enumerate(parts)]
+    whole = gzip.compress(b"".join(hurt))
+    for data in (whole, parts[0] + whole, whole + gzip.compress(parts[0])):
+        ids, gaps = ids_and_gaps(data)
+        more = [name(0)]
+        want = [name(i) for i in range(30) if i not in (3, 4, 20)]
+        assert ids == (more + want if data.endswith(whole) and len(data) > len(whole) else want + more * (len(data) > len(whole)))
+        assert gaps == [(len(parts[0]) if data.startswith(b"WARC") else 0, len(whole))]
+    good = gzip.compress(b"".join(parts))
+    cut = good[: len(good) * 2 // 3]
+    ids, gaps = ids_and_gaps(cut)
+    assert ids == [name(i) for i in range(len(ids))] and 18 <= len(ids) < 22 and gaps == [(0, len(cut))]
+    stored = gzip.compress(b"".join(parts), 0)
+    ids, gaps = ids_and_gaps(stored[:-8] + b"\0" * 8)
+    assert ids == [name(i) for i in range(30)] and gaps == [(0, len(stored))]
+    ids, gaps = ids_and_gaps(cut + gzip.compress(parts[29]))
+    assert ids[-1] == name(29) and len(ids) >= 19 and gaps == [(0, len(cut))]
+
+
+def foreign(block, digest_of, kind="application/http; msgtype=response", block_digest=None):
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <{warc.NAME}1>\r\nWARC-Payload-Digest: sha1:{warc.sha1_32(digest_of)}\r\n"
+    if block_digest is not None:
+        head += f"WARC-Block-Digest: sha1:{hashlib.sha1(block_digest).hexdigest()}\r\n"
+    return f"{head}Content-Type: {kind}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_payload_digest_of_http_is_of_the_body():
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<html>body</html>"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<html\r\n3;x=y\r\n>ab\r\n0\r\n\r\n"
+    for block, body in ((http, b"<html>body</html>"), (chunked, b"<html>ab"), (chunked, chunked.split(b"\r\n\r\n", 1)[1])):
+        assert warc.parse(foreign(block, body, block_digest=block), 0)[1]["payload"] == body
+    for bad in (foreign(http, b"else"), foreign(http, b"<html>body</html>", block_digest=b"else"), foreign(http, b"<html>body</html>", "text/html")):
+        with pytest.raises(warc.Bad, match="digest differs"):
+            warc.parse(bad, 0)
+
+
 def test_gaps_are_logged_by_the_reader(spark, tmp_path):
     parts = made()
     (tmp_path / "a.warc").write_bytes(parts[0] + b"garbage" + parts[1])

@@ -5,9 +5,12 @@ payloads of min_revisit bytes or more (equal by SHA-256 and length). A row of th
 separator is the records' own CRLF CRLF, so the files are plain WARC 1.1 on any file system that Spark writes to.
 
 Reading: every file is walked from its start, as gzip members or as bare records. A record passes if its version
-line, header lines, Content-Length, payload digest and end are in order. After a failed check the reader searches for the
+line, header lines, Content-Length, digests and end are in order. A payload digest is of the block, or of the body where
+that is an HTTP message; a block digest is of the block. After a failed check the reader searches for the
 next place at which a gzip member inflates or a version line begins a valid record, goes on there, and logs the bytes
-between as a quarantined gap (file, offset, length, reason).
+between as a quarantined gap (file, offset, length, reason). What a member gave, whole or not, is walked in the same way; records in
+it have the member's offset, and if any part of it is bad the member is logged as a gap that names the inflated bytes, though its good
+records are read. Deflated data after an error can't be inflated.
 
 Defined results: null html is an empty payload; a null url has no target header; pages with the same id are written and read
 each for itself, and all rows with the largest id of equal payloads are responses; a null page_id counts as smaller than any other and is read back as null. An empty table gives no files
@@ -39,7 +42,7 @@ def sha1_32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, http: bool = False) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A record without the two line ends that close it."""
     name = "" if page_id is None else str(page_id)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{NAME}{name}>", "WARC-Date: 2020-01-01T00:00:00Z"]
@@ -57,6 +60,28 @@ class Bad(ValueError):
     """A failed check."""
 
 
+def http_bodies(block: bytes) -> Iterator[bytes]:
+    """What a payload digest of an HTTP message may be of: its body as it stands, and with its chunks joined."""
+    m = re.search(rb"\r?\n\r?\n", block)
+    body = block[m.end() :] if m else b""
+    yield body
+    if m and re.search(rb"(?im)^transfer-encoding:.*chunked", block[: m.start()]):
+        out, i = [], 0
+        while c := re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n").match(body, i):
+            n = int(c[1], 16)
+            if not n:
+                yield b"".join(out)
+                return
+            out.append(body[c.end() : c.end() + n])
+            i = c.end() + n + (2 if body.startswith(CRLF, c.end() + n) else 1)
+
+
+def same_sha1(digest: str, data: bytes) -> bool:
+    """Whether a digest is of the data, in base 32 or hex; those of other kinds can't be checked and pass."""
+    kind, _, value = digest.partition(":")
+    return kind.lower() != "sha1" or value.upper() in (sha1_32(data), hashlib.sha1(data).hexdigest().upper())
+
+
 def parse(data: bytes, at: int) -> tuple[int, dict]:
     """The record that begins at at, and where it ends; raises Bad."""
     if not (m := VERSION.match(data, at)):
@@ -81,53 +106,96 @@ def parse(data: bytes, at: int) -> tuple[int, dict]:
     end = i + int(fields["content-length"])
     if data[end : end + 4] != CRLF + CRLF:
         raise Bad("no record end at the stated length")
-    payload = data[i:end]
+    block = payload = data[i:end]
+    if not same_sha1(fields.get("warc-block-digest", ""), block):
+        raise Bad("block digest differs")
     digest = fields.get("warc-payload-digest", "")
-    if fields["warc-type"] != "revisit" and digest.lower().startswith("sha1:") and digest[5:].upper() != sha1_32(payload):
-        raise Bad("payload digest differs")
+    bodies = [*http_bodies(block)] if fields.get("content-type", "").lower().startswith("application/http") else [block]
+    payload = bodies[0]
+    # The digest of a revisit is of another record's payload, that of a segment of the whole.
+    if fields["warc-type"] != "revisit" and "warc-segment-number" not in fields:
+        payload = next((x for x in [*bodies, block] if same_sha1(digest, x)), None)
+        if payload is None:
+            raise Bad("payload digest differs")
     return end + 4, {"fields": fields, "payload": payload}
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes]:
-    """The gzip member that begins at at, and where it ends; raises Bad."""
-    d, out, i = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof and i < len(data):
-            out.append(d.decompress(data[i : i + 16_384]))
-            i += 16_384
-    except zlib.error as e:
-        raise Bad("member: " + re.sub(r"[^ -~]", "", str(e))) from None
+def inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """The gzip member that begins at at: where it ends, what it gives, and why that isn't all of it, if so."""
+    d, out, i, step = zlib.decompressobj(31), [], at, 16_384
+    while not d.eof and i < len(data):
+        try:
+            out.append(d.decompress(data[i : i + step]))
+        except zlib.error as e:
+            if step == 1:
+                return i, b"".join(out), "member: " + re.sub(r"[^ -~]", "", str(e))
+            # Once more up to here, then byte by byte, for what comes before the error.
+            d, step = zlib.decompressobj(31), 1
+            for j in range(at, i, 16_384):
+                d.decompress(data[j : min(j + 16_384, i)])
+            continue
+        i += step
     if not d.eof:
-        raise Bad("member cut short")
-    return min(i, len(data)) - len(d.unused_data), b"".join(out)
+        return len(data), b"".join(out), "member cut short"
+    return min(i, len(data)) - len(d.unused_data), b"".join(out), ""
+
+
+def reach(data: bytes, at: int, size: int) -> int:
+    """Up to where the member that begins at at has to be read for its first size bytes, but for the last of them, which
+    keeps the member's end, and its check, out."""
+    d, i, left = zlib.decompressobj(31), at, size - 1
+    while left and i < len(data):
+        left -= len(d.decompress(data[i : i + 16_384], left))
+        i += 16_384
+    return min(i, len(data)) - len(d.unconsumed_tail)
+
+
+def walk(data: bytes) -> tuple[list[tuple[int, dict]], list[tuple[int, int, str]]]:
+    """([(end, record)], [(start, end, reason)]) of bare records and of what is between them."""
+    at, got, bad = 0, [], []
+    while at < len(data):
+        try:
+            end, r = parse(data, at)
+            got.append((end, r))
+        except Bad as e:
+            line = VERSION.search(data, at + 1)
+            end = line.start() if line else len(data)
+            if bad and bad[-1][1] == at:
+                bad[-1] = (bad[-1][0], end, bad[-1][2])
+            else:
+                bad.append((at, end, str(e)))
+        at = end
+    return got, bad
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, object]]:
     """('record', offset, record) and ('gap', offset, (length, reason)) in file order; offsets are of the file."""
     at, bad, reason, n = 0, None, "", len(data)
     while at < n:
-        try:
-            if data.startswith(GZIP, at):
-                end, plain = inflate(data, at)
-                got, i = [], 0
-                while i < len(plain):
-                    i, r = parse(plain, i)
-                    got.append(r)
-            else:
+        packed, broken = data.startswith(GZIP, at), ""
+        if packed:
+            end, plain, broken = inflate(data, at)
+            got, parts = walk(plain)
+            why = [broken] * bool(broken) + [f"inflated bytes {a} to {b}: {x}" for a, b, x in parts]
+        else:
+            try:
                 end, r = parse(data, at)
-                got = [r]
-        except Bad as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            member, line = data.find(GZIP, at + 1), VERSION.search(data, at + 1)
-            at = min(member if member >= 0 else n, line.start() if line else n)
-            continue
-        if bad is not None:
+                got, why = [(end, r)], []
+            except Bad as e:
+                broken, got, why = str(e), [], [str(e)]
+        if bad is not None and (got or not why):
             yield "gap", bad, (at - bad, reason)
             bad = None
-        for r in got:
+        if why and bad is None:
+            bad, reason = at, "; ".join(why[:20])
+        for _, r in got:
             yield "record", at, r
-        at = end
+        if not broken:  # a whole member holds no more than was read, even where parts of it are bad
+            at = end
+            continue
+        start = max(at + 1, reach(data, at, got[-1][0])) if got else at + 1
+        member, line = data.find(GZIP, start), VERSION.search(data, start)
+        at = min(member if member >= 0 else n, line.start() if line else n)
     if bad is not None:
         yield "gap", bad, (n - bad, reason)
 
