@@ -3,14 +3,15 @@
 Items and texts are lower-cased, with single spaces for ASCII whitespace. An item of m characters may be found with up to
 k = floor(m * error_rate) edits (insertions, deletions, substitutions). It is split into k + 1 pieces, of which any such
 occurrence holds one unchanged; an automaton finds all pieces of all items in one pass over a text, and each
-place so found is verified by Myers' bit-parallel distance over the window that the item could take.
+place so found is verified by Myers' bit-parallel distance, first of the short runs of pieces around it, each with an
+error budget of its own, and last of the whole item, over the window that it could take.
 
 The benchmark is taken in blocks of at most block_chars characters, one pass over the documents each, so what
 is sent to the workers is bounded whatever the benchmark's size.
 
 Defined results: null and empty texts have no hits; null and empty items are skipped; an item under min_chars must
 stand unchanged between spaces; repeated items are reported each, repeated rows each for itself, and of several places
-in a text the one with the fewest edits, then the first. Memory: one text and the automaton of a block."""
+in a text the one with the fewest edits, then the first. Memory: one text, the automaton of a block, and the last verdicts on runs."""
 
 from __future__ import annotations
 
@@ -60,31 +61,68 @@ def best_end(at: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
     return best
 
 
+class Node:
+    """A run of an item's pieces, which may hold one edit less than it has pieces, and the run it is half of."""
+
+    def __init__(self, pattern: str, cuts: list[int], low: int, high: int, parent: Node | None):
+        self.start, self.stop, self.most, self.parent = cuts[low], cuts[high], high - low - 1, parent
+        self.masks = masks(pattern[self.start : self.stop]) if self.most else {}
+
+    def leaves(self, pattern: str, cuts: list[int], low: int, high: int) -> Iterator[Node]:
+        if high - low == 1:
+            yield self
+            return
+        mid = (low + high) // 2
+        for a, b in ((low, mid), (mid, high)):
+            yield from Node(pattern, cuts, a, b, self).leaves(pattern, cuts, a, b)
+
+
 class Matcher:
-    """Finds (item id, edits, start of the window in the simplified text) of a block's items."""
+    """Finds (item id, edits, start of the window in the simplified text) of a block's items.
+
+    Where a piece stands, the runs of pieces that it is part of are tried from the shortest on: of the halves of a run
+    that occurs within its edits one does so within its own, so a place that holds the item passes all of them, and most others
+    fail at the first, of two pieces and one edit."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
-        self.items = []
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int, most_seen: int = 200_000):
+        self.items, self.seen, self.most_seen = [], {}, most_seen
+        pieces: dict[str, list[tuple[int, Node]]] = defaultdict(list)
         for item_id, text in items:
             n, m = len(self.items), len(text)
             k = int(m * error_rate) if m >= min_chars else 0
             pattern = text if m >= min_chars else f" {text} "
+            cuts = [len(pattern) * j // (k + 1) for j in range(k + 2)]
             self.items.append((item_id, pattern, k, masks(pattern)))
-            for j in range(k + 1):
-                a, b = len(pattern) * j // (k + 1), len(pattern) * (j + 1) // (k + 1)
-                pieces[pattern[a:b]].append((n, a))
+            for leaf in Node(pattern, cuts, 0, k + 1, None).leaves(pattern, cuts, 0, k + 1):
+                pieces[pattern[leaf.start : leaf.stop]].append((n, leaf))
         self.find = ahocorasick.Automaton()
         for p, where in pieces.items():
             self.find.add_word(p, (len(p), where))
         self.find.make_automaton()
 
+    def holds(self, line: str, leaf: Node, at: int) -> bool:
+        """Whether all runs below the whole item occur around its piece at that place."""
+        node = leaf.parent
+        while node is not None and node.parent is not None:
+            low = at - (leaf.start - node.start) - node.most
+            window = line[max(0, low) : at + (node.stop - leaf.start) + node.most]
+            ok = self.seen.get((node, window))
+            if ok is None:
+                if len(self.seen) >= self.most_seen:
+                    self.seen.clear()
+                ok = self.seen[node, window] = best_end(node.masks, node.stop - node.start, window, node.most) is not None
+            if not ok:
+                return False
+            node = node.parent
+        return True
+
     def hits(self, text: str) -> list[tuple[int, int, int]]:
         line = f" {simplified(text)} "
         places: dict[int, list[int]] = defaultdict(list)
         for end, (size, where) in self.find.iter(line):
-            for n, offset in where:
-                places[n].append(end + 1 - size - offset)
+            for n, leaf in where:
+                if self.holds(line, leaf, end + 1 - size):
+                    places[n].append(end + 1 - size - leaf.start)
         out = []
         for n, starts in places.items():
             item_id, pattern, k, at = self.items[n]
@@ -124,7 +162,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[i
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, min_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.1, min_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
     """A row for each document and item found in it: doc_id, item_id, errors, at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, errors long, at long"
@@ -143,7 +181,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, min
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.08, min_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, error_rate: float = 0.1, min_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
     """The documents in which no item is found, with their own columns."""
     own = docs.columns
     out = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
