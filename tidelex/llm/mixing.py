@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS
+from .common import WORDS, written
 
 
 def words(text: Column) -> Column:
@@ -66,7 +66,8 @@ def copies(docs: DataFrame, id_col: str, size: Column, source: Column, tie: Colu
         "none": F.col("source").isNull(),
         "tie": tie,
     }).drop("source")
-    cell = rows.groupBy("none", "key", "band", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    # The cells are written, as four relations stand on them: else the texts' words were counted for each.
+    cell = written(rows.groupBy("none", "key", "band", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")), "cells")
     band = cell.groupBy("none", "key", "band").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     source_sizes = band.groupBy("none", "key").agg(F.sum("s").alias("source_size")).select(F.when(~F.col("none"), F.col("key")).alias("source"), "source_size")
     goal = targets(source_sizes, weights, most).select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "target")
