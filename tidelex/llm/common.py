@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one only where the session names none and runs on this machine alone."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelex-"))
         at = sc.getCheckpointDir()
     return at
@@ -56,9 +58,9 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have, by adding underscores."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that df doesn't have and that isn't one of the others, by adding underscores."""
+    taken = {c.lower() for c in (*df.columns, *others)}
     while name.lower() in taken:
         name += "_"
     return name

@@ -4,23 +4,26 @@ Token scores are log-odds of words and word beginnings between toxic and clean l
 counts times prior_share), kept where they are significant, less a constant drift, so that clean text has a negative
 mean. A linear scan finds all maximal-scoring segments of each text. Their scores follow an extreme-value law with
 parameters lambda and K; a text's evidence is the sum of the log10 significance of its segments, and a logistic
-curve on the labelled rows turns it into the score.
+curve on the labelled rows turns it into the score. lambda, K and the curve are cross-fitted: each half of the sample is scanned with
+the log-odds of the other half, so that they don't rest on rows that chose the tokens.
 
 Defined results: null and empty texts, and texts without a toxic passage, get the curve's value at no evidence. With
-no labels, or labels of one class, the score is the share of toxic labels (0 without any) for all texts. Repeated
+no labels, or labels of one class, or of texts of one class only, the score is the share of toxic labels (0 without any) for all texts. Repeated
 rows are scored each for itself. Columns of the input stay; the operator's own names are free to clash (they get
 underscores). Memory: chunks of 1 MB and the toxic tokens of one text."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, labelled_sample
+from .common import fold, free_name, labelled_sample, written
 from .textvec import word_features
 
 BUCKET_BITS = 20
@@ -79,18 +82,19 @@ def _buckets(h: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+    """(text, label, half) -> (bucket, half, toxic, clean) counts of a task."""
+    got = np.zeros((2, 2, 1 << BUCKET_BITS), np.int32)
     for b in batches:
-        label = np.asarray(b.column(1).to_numpy(zero_copy_only=False), np.int64)
+        label, half = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (1, 2))
         for rows, hashes, has in word_features(b.column(0), PREFIXES):
-            y = label[rows]
+            y, part = label[rows], half[rows]
             for h, ok in zip(hashes, has, strict=True):
-                for v in (0, 1):
-                    got[v] += np.bincount(_buckets(h[ok & (y == v)]), minlength=1 << BUCKET_BITS)
-    at = np.flatnonzero(got.any(axis=0))
-    for i in range(0, len(at), 1 << 16):
-        k = at[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(got[1][k]), pa.array(got[0][k])], ["k", "toxic", "clean"])
+                np.add.at(got, (part[ok], y[ok], _buckets(h[ok])), 1)
+    for part in (0, 1):
+        at = np.flatnonzero(got[part].any(axis=0))
+        for i in range(0, len(at), 1 << 16):
+            k = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), part)), pa.array(got[part, 1, k].astype(np.int64)), pa.array(got[part, 0, k].astype(np.int64))], ["k", "half", "toxic", "clean"])
 
 
 def scan(column: pa.Array, scores: np.ndarray, drift: float) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float]]], dict[int, list[float]]]:
@@ -147,47 +151,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 
 def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 16_000, prior_share: float = 0.1, z_min: float = 3.0, delta_min: float = 2.0, drift: float = 0.1) -> dict:
     """The model, from at most max_train_rows labelled rows (half of each class), of which whole texts are read.
-    What is broadcast and collected is bounded by max_train_rows and the number of buckets."""
+    What is broadcast and collected is bounded by max_train_rows, their toxic passages and the number of buckets."""
     ids, sizes = labelled_sample(docs, labels, "toxic", max_train_rows // 2)
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     model = {"scores": None, "drift": drift, "lam": 1.0, "k": 1.0, "a": 0.0, "b": 0.0, "prior": n1 / (n0 + n1) if n0 + n1 else 0.0}
     if not n0 or not n1:
         return model
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "y")
-    got = rows.mapInArrow(_counts, "k long, toxic long, clean long").groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    toxic, clean = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
-    at = got.column("k").to_numpy()
-    toxic[at], clean[at] = got.column("toxic").to_numpy(), got.column("clean").to_numpy()
-    s = feature_scores(toxic, clean, prior_share, z_min, delta_min).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(s)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    rows = written(rows.select("text", "y", half.alias("half")), "sample")  # read twice from here on, not from all documents
+    got = rows.mapInArrow(_counts, "k long, half long, toxic long, clean long").groupBy("k", "half").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    n = np.zeros((2, 2, 1 << BUCKET_BITS))
+    k, part = got.column("k").to_numpy(), got.column("half").to_numpy()
+    n[part, 1, k], n[part, 0, k] = got.column("toxic").to_numpy(), got.column("clean").to_numpy()
+    whole = feature_scores(*n.sum(axis=0)[::-1], prior_share, z_min, delta_min).astype(np.float32)
+    # What each half is scanned with is learned on the other.
+    across = np.stack([feature_scores(n[1 - v, 1], n[1 - v, 0], prior_share, z_min, delta_min) for v in (0, 1)]).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(across)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = pa.list_(pa.float64())
+        """By row: its label, tokens and segment scores; and by task the clean and toxic rows' positive token scores with their counts."""
+        plus: Counter = Counter()
+        names = ["y", "n", "s", "score", "times"]
+        lists, no = pa.list_(pa.float64()), lambda m, t: pa.nulls(m, t)
         for b in batches:
-            n, found, plus = scan(b.column(0), shared.value, drift)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n), pa.array([[x[2] for x in found.get(i, ())] for i in range(len(n))], lists), pa.array([plus.get(i, []) for i in range(len(n))], lists)], ["y", "n", "s", "plus"])
-
-    each = rows.mapInArrow(segments, "y int, n long, s array<double>, plus array<double>").collect()
-    plus = {v: np.array([x for r in each if r["y"] == v for x in r["plus"]]) for v in (0, 1)}
+            label, part = (np.asarray(b.column(i).to_numpy(zero_copy_only=False), np.int64) for i in (1, 2))
+            for v in (0, 1):
+                mine = np.flatnonzero(part == v)
+                n, found, hits = scan(b.column(0).take(pa.array(mine)), shared.value[v], drift)
+                for i, scores in hits.items():
+                    plus.update((int(label[mine[i]]), round(x, 3)) for x in scores)
+                yield pa.RecordBatch.from_arrays([pa.array(label[mine], pa.int32()), pa.array(n), pa.array([[x[2] for x in found.get(i, ())] for i in range(len(n))], lists), no(len(n), pa.float64()), no(len(n), pa.int64())], names)
+        if plus:
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in plus], pa.int32()), no(len(plus), pa.int64()), no(len(plus), lists), pa.array([x for _, x in plus], pa.float64()), pa.array(list(plus.values()), pa.int64())], names)
+
+    out = written(rows.mapInArrow(segments, "y int, n long, s array<double>, score double, times long"), "segments")
+    each = out.where("n is not null").select("y", "n", "s").collect()
+    plus = [(r["y"], r["score"], r["times"]) for r in out.where("n is null").groupBy("y", "score").agg(F.sum("times").alias("times")).collect()]
     n_clean = max(sum(r["n"] for r in each if r["y"] == 0), 1)
+    seen = {v: sum(t for y, _, t in plus if y == v) for v in (0, 1)}
     # The clean law of token scores; toxic tokens count a little there, as none may have been seen in clean text.
-    values = np.r_[plus[0], plus[1], -drift]
-    p0 = np.r_[np.ones(len(plus[0])), np.full(len(plus[1]), 1.0 / max(len(plus[1]), 1)), n_clean - len(plus[0])]
+    values = np.array([x for _, x, _ in plus] + [-drift])
+    p0 = np.array([t / (seen[1] if y else 1) for y, _, t in plus] + [n_clean - seen[0]], float)
     lam = solve_lambda(values, p0 / p0.sum())
-    one = np.sort(np.r_[[x for r in each if r["y"] == 0 for x in r["s"]], np.median(plus[1]) if len(plus[1]) else 1.0])
+    toxic_scores = np.repeat([x for y, x, _ in plus if y], [t for y, _, t in plus if y])
+    one = np.sort(np.r_[[x for r in each if r["y"] == 0 for x in r["s"]], np.median(toxic_scores) if len(toxic_scores) else 1.0])
     # Half of the clean segments score their median or more: K follows from that count.
     k = (len(one) / 2) * float(np.exp(min(lam * one[len(one) // 2], 600.0))) / n_clean
     x = np.array([evidence([(0, 0, v) for v in r["s"]], r["n"], lam, k) for r in each])
     y = np.array([r["y"] for r in each], float)
     w = np.where(y > 0, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1))
-    a, b = _logistic(x, y, w * len(y) / w.sum()) if 0 < y.sum() < len(y) else (0.0, 0.0)
-    return model | {"scores": s, "lam": lam, "k": k, "a": a, "b": b}
+    a, b = _logistic(x, y, w * len(y) / w.sum()) if 0 < y.sum() < len(y) else (float(np.log(n1 / n0)), 0.0)
+    return model | {"scores": whole, "lam": lam, "k": k, "a": a, "b": b}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", score_col: str = "score", segments_col: str = "segments") -> DataFrame:
     """df with the score of each row's whole text and its toxic passages (token positions, significance)."""
-    from pyspark.sql import types as T
-
+    score_col = free_name(df, score_col)
+    segments_col = free_name(df, segments_col, score_col)
     schema = T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(segments_col, T._parse_datatype_string(SEGMENT))])
     at, kind = df.columns.index(text), pa.list_(pa.struct([("first_token", pa.int64()), ("last_token", pa.int64()), ("score", pa.float64()), ("log10_e", pa.float64())]))
     names = schema.names
