@@ -1,12 +1,13 @@
-"""English (Porter2) stemming over distinct tokens."""
+"""English (Porter2) stemming."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql.functions import arrow_udf
 
 V = "aeiouy"
 #: Fixed values of the public Porter2 definition.
@@ -88,6 +89,10 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@pandas_udf(StringType())
-def stem_of(token: pd.Series) -> pd.Series:
-    return token.map(stem)
+@arrow_udf("array<string>")
+def stems_of(tokens: pa.Array) -> pa.Array:
+    """The stem of each token, found once for each distinct token of a batch."""
+    flat = tokens.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), stems, mask=pc.is_null(tokens) if tokens.null_count else None)

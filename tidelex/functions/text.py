@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,11 +32,6 @@ def valid_entry(word: Column) -> Column:
     return (F.length(word) >= 2) & word.rlike(ENTRY)
 
 
-def alnum_tokens(text: Column) -> Column:
-    """Tokens of lower-cased text in which all but word characters became spaces."""
-    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\w\s]|_", " ")), r"\s+"), lambda t: t != "")
-
-
 def row_uuid(lang: Column, focal: Column, sentence: Column) -> Column:
     """The first 16 bytes of a SHA-256 over lang:focal:sentence, in UUID form."""
     h = F.sha2(F.concat_ws(":", lang, focal, sentence), 256)
@@ -65,7 +58,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.Stru
 @F.pandas_udf(SPANS)
 def token_spans(text: pd.Series) -> pd.Series:
     """All tokens of the lower-cased text with their character positions, which no built-in function gives."""
-    of = re.compile(r"[^\W\d_]+")
+    import regex
+
+    of = regex.compile(TOKEN)
     return text.map(lambda t: [{"token": m[0], "start": m.start(), "end": m.end()} for m in of.finditer((t or "").lower())])
 
 
@@ -73,3 +68,24 @@ def focal_span(sentence: Column, focal: Column, prefix: str = "passage: ") -> Co
     """Where the focal word first stands, as any substring, in the prefixed lower-cased sentence; null if nowhere."""
     at = F.instr(F.lower(F.concat(F.lit(prefix), sentence)), focal)
     return F.when(at > 0, F.struct((at - 1).cast("long").alias("start"), (at - 1 + F.length(focal)).cast("long").alias("end")))
+
+
+def label_of(en: Column, es: Column, most: int = 24) -> Column:
+    """The first English and the first Spanish word, cut to most characters each."""
+    return F.concat_ws(" / ", F.substring(F.get(en, F.lit(0)), 1, most), F.substring(F.get(es, F.lit(0)), 1, most))
+
+
+def highlighted(sentence: Column, word: Column) -> Column:
+    """The sentence with the word, wherever it stands as a whole one in any case, between asterisks."""
+    return F.regexp_replace(sentence, F.concat(F.lit(r"(?i)(?<!\p{L})("), word, F.lit(r")(?!\p{L})")), F.lit("*$1*"))
+
+
+#: Fixed value of RFC 4122: the name space of DNS names.
+NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+
+
+def name_uuid(name: Column, namespace: str = NAMESPACE) -> Column:
+    """The version 5 UUID of a name: its SHA-1 after the name space, with version and variant bits set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    variant = F.lower(F.conv((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3) + 8).cast("string"), 10, 16))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

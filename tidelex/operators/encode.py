@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.hashing import lexical_index
+from ..functions.stem import stems_of
+from ..functions.text import token_spans, tokens
 from ..functions.vector import head, norm
+from .vectors import pooled
 
 EPSILON = 1e-6
 
@@ -29,14 +33,13 @@ def bm25(tf: Column, length: Column, p: Bm25 = Bm25()) -> Column:
     return tf * F.lit(p.k + 1) / (tf + F.lit(p.k) * (F.lit(1 - p.b) + F.lit(p.b) * length / F.lit(p.avg_len)))
 
 
-def idf(n_docs: Column, df: Column) -> Column:
-    return F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
-
-
-def token_rows(docs: DataFrame, stop: tuple[str, ...] = STOPWORDS["en"], p: Bm25 = Bm25()) -> DataFrame:
-    """docs(id, text) -> (id, length, token): a row for each kept token; length counts all kept tokens."""
-    kept = F.filter(tokens(F.col("text")), lambda t: ~t.isin(*stop) & (F.length(t) <= p.max_token))
-    return docs.select("id", kept.alias("t")).select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("token"))
+def token_rows(docs: DataFrame, stop: tuple[str, ...] = STOPWORDS["en"], p: Bm25 = Bm25(), stems: Callable[[Column], Column] | None = stems_of, tokenise: Callable[[Column], Column] = tokens) -> DataFrame:
+    """docs(id, text) -> (id, length, token, term): a row for each kept token, with its stem as the term (itself without stems); length counts
+    all kept tokens."""
+    kept = F.filter(F.coalesce(tokenise(F.col("text")), F.array().cast("array<string>")), lambda t: ~t.isin(*stop) & (F.length(t) <= p.max_token))
+    listed = docs.select("id", kept.alias("token"))
+    listed = listed.withColumn("term", F.col("token") if stems is None else stems("token"))
+    return listed.select("id", F.size("token").cast("long").alias("length"), F.inline(F.arrays_zip("token", "term")))
 
 
 def matches(rows: DataFrame, word_concept: DataFrame, lemmas: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
@@ -53,16 +56,46 @@ def matches(rows: DataFrame, word_concept: DataFrame, lemmas: DataFrame | None =
 
 
 def backbone_doc(rows: DataFrame, carve: DataFrame | None = None, p: Bm25 = Bm25()) -> DataFrame:
-    """(id, token, weight): BM25 weights of the tokens outside carve(id, token); these still count in the length."""
+    """(id, term, weight): BM25 weights of the stems of the tokens outside carve(id, token); these still count in the length."""
     kept = rows if carve is None else rows.join(carve, ["id", "token"], "left_anti")
-    tf = kept.groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.select("id", "token", F.round(bm25(F.col("tf").cast("double"), F.col("length"), p), 6).alias("weight"))
+    tf = kept.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return tf.select("id", "term", F.round(bm25(F.col("tf").cast("double"), F.col("length"), p), 6).alias("weight"))
 
 
 def backbone_query(rows: DataFrame, carve: DataFrame | None = None) -> DataFrame:
-    """(id, token, weight): 1 for each distinct token outside carve."""
+    """(id, term, weight): 1 for each distinct stem of the tokens outside carve."""
     kept = rows if carve is None else rows.join(carve, ["id", "token"], "left_anti")
-    return kept.select("id", "token").distinct().withColumn("weight", F.lit(1.0))
+    return kept.select("id", "term").distinct().withColumn("weight", F.lit(1.0))
+
+
+def lexical_vectors(rows: DataFrame, word_concept: DataFrame, is_query: bool, cross_weight: float = 1.0, p: Bm25 = Bm25()) -> DataFrame:
+    """rows(id, lang, length, token, term) -> (id, term, weight): the whole sparse vector in lexical mode. Concept words are carved out of
+    the backbone ("t:" terms, times cross_weight), and their concepts ("c:" terms) weigh by their occurrences."""
+    found = matches(rows, word_concept)
+    carve = found.select("id", "token").distinct()
+    words = backbone_query(rows, carve) if is_query else backbone_doc(rows, carve, p)
+    n = found.groupBy("id", "length", "concept_id").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.lit(1.0) if is_query else F.round(bm25(F.col("tf").cast("double"), F.col("length"), p), 6)
+    return words.select("id", F.concat(F.lit("t:"), "term").alias("term"), (F.col("weight") * F.lit(cross_weight)).alias("weight")).unionByName(
+        n.select("id", F.concat(F.lit("c:"), "concept_id").alias("term"), weight.alias("weight"))
+    )
+
+
+def encode_sparse(rows: DataFrame, word_concept: DataFrame, is_query: bool, backbone_weight: float = 1.0, learned: DataFrame | None = None, p: Bm25 = Bm25()) -> DataFrame:
+    """rows(id, lang, length, token, term) -> (id, idx, value): backbone terms at their hashed indices, concepts at their own. Without learned,
+    a concept has one term; with learned(id, concept_id, x, weights), pooled vectors and heads, it has the head's values times the
+    weight of the words that it stands for, or 1 in queries."""
+    v = lexical_vectors(rows, word_concept, is_query, backbone_weight, p)
+    words = v.where(F.col("term").startswith("t:")).select("id", F.expr("substring(term, 3)").alias("term"), "weight").withColumn("idx", lexical_index("term"))
+    # Terms that share an index keep one weight, the largest term's: no sum.
+    backbone = words.groupBy("id", "idx").agg(F.max_by("weight", "term").alias("value"))
+    blocks = v.where(F.col("term").startswith("c:")).select("id", F.expr("substring(term, 3)").alias("concept_id"), "weight")
+    if learned is None:
+        concepts = blocks.select("id", concept_index(F.col("concept_id")).alias("idx"), F.col("weight").alias("value"))
+    else:
+        y = blocks.join(learned, ["id", "concept_id"])
+        concepts = learned_blocks(y.select("id", "concept_id", "x", "weight"), learned.select("concept_id", "weights").dropDuplicates(["concept_id"]))
+    return backbone.unionByName(concepts)
 
 
 def concept_index(concept_id: Column) -> Column:
@@ -93,3 +126,32 @@ def packed(postings: DataFrame) -> DataFrame:
     """postings(id, idx, weight) -> (id, indices, values), sorted by index, in 32-bit floats."""
     p = postings.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("weight").cast("float").alias("weight")))).alias("p"))
     return p.select("id", F.col("p")["idx"].alias("indices"), F.col("p")["weight"].alias("values"))
+
+
+def sentence_vectors(points: DataFrame, provider, prefix: str = "passage: ") -> DataFrame:
+    """points(id, lang, sentence) -> (id, lang, x): each sentence, with the prefix, is embedded once, and all rows that hold it share the vector."""
+    texts = points.select(F.concat(F.lit(prefix), "sentence").alias("text"))
+    return points.withColumn("text", F.concat(F.lit(prefix), "sentence")).join(provider.embed(texts), "text").select("id", "lang", "x")
+
+
+def pooling_of(mode: str, pooling: str) -> str:
+    """The pooling of an embedding mode: a remote service embeds whole sentences only."""
+    if mode not in ("local", "remote") or pooling not in ("sentence", "token"):
+        raise ValueError(f"unknown mode or pooling: {mode}, {pooling}")
+    if mode == "remote" and pooling != "sentence":
+        raise ValueError("a remote service gives sentence vectors only")
+    return pooling
+
+
+def concept_vectors(docs: DataFrame, word_concept: DataFrame, provider, prefix: str = "query: ", heads: DataFrame | None = None) -> DataFrame:
+    """docs(id, lang, text) -> (id, concept_id, x): the vectors of the tokens that stand for a concept, each occurrence pooled, then all. Spans are of the
+    prefixed text. With heads only their concepts; those of surface forms alone, as training inputs have to be."""
+    spans = docs.select("id", "lang", F.explode(token_spans(F.col("text"))).alias("s")).select("id", "lang", "s.token", (F.col("s.start") + len(prefix)).alias("start"), (F.col("s.end") + len(prefix)).alias("end"))
+    found = matches(spans, word_concept, heads=heads)
+    # A row is keyed by document and concept: its tokens are those of its spans.
+    key = F.concat_ws("\x1f", F.col("id").cast("string"), "concept_id")
+    x = provider.embed(found.select(F.col("token").alias("text"))).withColumnRenamed("text", "token")
+    rows = found.join(x, "token").select(key.alias("id"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("x").cast("array<double>").alias("x"))
+    where = found.select(key.alias("id"), F.col("start").alias("occ"), "start", "end")
+    back = F.split("id", "\x1f")
+    return pooled(rows, where).select(F.get(back, F.lit(0)).cast(docs.schema["id"].dataType).alias("id"), F.get(back, F.lit(1)).alias("concept_id"), "x")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import shared_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage, kept in the folder that all executors share."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
@@ -20,14 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     """links(u, v) -> (node, component): the least node of each connected component, by minimum labels with a jump
     along labels in each round, until none changes."""
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = _cut(both)
+    both = cut(both)
     label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node")
-    label = _cut(label)
+    label = cut(label)
     while True:
         near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         step = label.join(near, label.node == near.u).select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jump = step.join(label.select(F.col("node").alias("next"), F.col("label").alias("far")), "next").select("node", F.least("next", "far").alias("label"), "old")
-        jump = _cut(jump)
+        jump = cut(jump)
         if jump.where("label <> old").isEmpty():
             return jump.select("node", F.col("label").alias("component"))
         label = jump.select("node", "label")
@@ -53,7 +55,7 @@ def edge_recall(links: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def density(links: DataFrame, parts: DataFrame) -> DataFrame:
-    """Per part: nodes, edges inside, and edges over the possible pairs of its two languages' words."""
+    """Per part with both languages: nodes, edges inside, and edges over the possible pairs of its two languages' words."""
     n = parts.groupBy("component").agg(F.count_if(F.col("node").startswith("en:")).alias("n_en"), F.count_if(F.col("node").startswith("es:")).alias("n_es"))
     p = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))
     inner = links.join(p("u"), "u").join(p("v"), "v").where("pu = pv").groupBy(F.col("pu").alias("component")).agg(F.count(F.lit(1)).alias("inner_edges"))
@@ -61,6 +63,18 @@ def density(links: DataFrame, parts: DataFrame) -> DataFrame:
     return both.where("n_en > 0 and n_es > 0").withColumn("density", F.round(F.col("inner_edges") / (F.col("n_en") * F.col("n_es")).cast("double"), 6))
 
 
+def density_stats(links: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: mean, median and 10th percentile (linear between values) of the density of parts with both languages."""
+    at = lambda q: F.round(F.percentile("density", F.lit(q)), 6)
+    return density(links, parts).agg(F.count(F.lit(1)).alias("parts"), F.round(F.avg("density"), 6).alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"))
+
+
+def recall_of(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: held(u, v) whose ends are both placed, and the share of them in one part."""
+    p = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))
+    return held.join(p("u"), "u").join(p("v"), "v").agg(F.count(F.lit(1)).alias("evaluated"), F.round(F.avg((F.col("pu") == F.col("pv")).cast("int")), 6).alias("recall"))
+
+
 def held_out(links: DataFrame, tenths: int = 1) -> DataFrame:
     """links with held: about that many tenths, by a hash of the ends."""
     h = F.conv(F.substring(F.sha1(F.concat_ws("|", "u", "v")), 1, 8), 16, 10).cast("long")
@@ -108,36 +122,159 @@ def louvain(n: int, ends: np.ndarray, weight: np.ndarray, gamma: float, total: f
         weight, n = np.bincount(at.ravel(), weight[a != b]), len(names)
 
 
-def communities(ends: np.ndarray, weight: np.ndarray, n: int, gamma: float, total: float, most: int, step: float, seed: int) -> np.ndarray:
-    """Louvain parts; those above most nodes are divided again at a raised resolution, on themselves alone, until that has no effect."""
-    label = louvain(n, ends, weight, gamma, total, seed)
-    out, free = np.zeros(n, np.int64), 0
-    for c in range(label.max() + 1):
+def communities(ends: np.ndarray, weight: np.ndarray, n: int, gamma: float, total: float, most: int, schedule: Callable[[float], float], seed: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, depth at which it was made, whether it is above most nodes all the same) of each node. Louvain parts above most nodes are divided
+    again at the schedule's next resolution, on themselves alone, until that has no effect."""
+    label = louvain(n, ends, weight, gamma, float(weight.sum()) if depth else total, seed)
+    sizes = np.bincount(label)
+    deep = np.full(n, depth)
+    if depth and len(sizes) == 1:
+        return label, deep, np.full(n, n > most)
+    out, stuck, free = label.copy(), np.zeros(n, bool), len(sizes)
+    for c in np.flatnonzero(sizes > most).tolist():
         mine = np.flatnonzero(label == c)
         inner = (label[ends] == c).all(axis=1)
-        if len(mine) > most and inner.any():
-            place = np.full(n, -1)
-            place[mine] = np.arange(len(mine))
-            again = communities(place[ends[inner]], weight[inner], len(mine), gamma + step, float(weight[inner].sum()), most, step, seed) if gamma < 40 else np.zeros(len(mine), np.int64)
-            out[mine] = again + free
-            free += int(again.max()) + 1
-        else:
-            out[mine] = free
-            free += 1
-    return out
+        place = np.full(n, -1)
+        place[mine] = np.arange(len(mine))
+        again, deep[mine], stuck[mine] = communities(place[ends[inner]], weight[inner], len(mine), schedule(gamma), total, most, schedule, seed, depth + 1)
+        out[mine] = again + free
+        free += int(again.max()) + 1
+    return np.unique(out, return_inverse=True)[1], deep, stuck
+
+
+def linear(step: float) -> Callable[[float], float]:
+    return lambda gamma: gamma + step
+
+
+def exponential(factor: float) -> Callable[[float], float]:
+    return lambda gamma: gamma * factor
+
+
+PARTS = "node string, component string, part string, depth long, stuck boolean"
+
 
+def louvain_parts(
+    links: DataFrame, parts: DataFrame, gamma: float = 1.5, most: int = 20, schedule: Callable[[float], float] = linear(0.5), seed: int = 42, bundle_edges: int = 50_000, large_edges: int = 2_000_000
+) -> DataFrame:
+    """(node, component, part, depth, stuck): communities within each connected component. Components are done in bundles of about bundle_edges edges, a
+    task each. One above large_edges is first cut into communities by rounds of joins over all executors, and each of these is
+    a bundle's graph of its own from then on."""
+    n, total = links.agg(F.count(F.lit(1)), F.sum("weight")).first()
+    total = float(total or 1.0)
+    e = links.join(parts.select(F.col("node").alias("u"), "component"), "u").select("u", "v", F.col("weight").cast("double").alias("weight"), "component")
+    large = e.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > large_edges).select("component") if n > large_edges else None
+    out = None
+    if large is not None and not large.isEmpty():
+        big = cut(e.join(large, "component", "left_semi"))
+        e = e.join(large, "component", "left_anti")
+        moved = cut(moved_parts(big.select("u", "v", "weight"), gamma, total))
+        own = big.select("component", F.explode(F.array("u", "v")).alias("node")).distinct().join(moved, "node")
+        size = Window.partitionBy("part")
+        own = own.withColumn("n", F.count(F.lit(1)).over(size))
+        out = own.where(F.col("n") <= most).select("node", "component", F.min("node").over(size).alias("part"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("stuck"))
+        p = lambda c: own.where(F.col("n") > most).select(F.col("node").alias(c), F.col("part").alias(f"p{c}"))
+        inner = big.join(p("u"), "u").join(p("v"), "v").where("pu = pv").select("u", "v", "weight", "component", F.col("pu").alias("own"))
+        out = out.unionByName(_in_bundles(inner, n, bundle_edges, gamma, total, most, schedule, seed, 1))
+    rest = _in_bundles(e.withColumn("own", F.lit("")), n, bundle_edges, gamma, total, most, schedule, seed, 0)
+    return rest if out is None else out.unionByName(rest)
 
-def louvain_parts(links: DataFrame, parts: DataFrame, gamma: float = 1.5, most: int = 20, step: float = 0.5, seed: int = 42) -> DataFrame:
-    """(node, component, part): communities within each connected component, a group each."""
-    total = float(links.agg(F.sum("weight")).first()[0] or 1.0)
-    e = links.join(parts.select(F.col("node").alias("u"), "component"), "u")
+
+def _in_bundles(e: DataFrame, n: int, bundle_edges: int, gamma: float, total: float, most: int, schedule: Callable[[float], float], seed: int, depth: int) -> DataFrame:
+    """e(u, v, weight, component, own): graphs by component and own. At depth 0 they go together, as moves don't reach from one
+    component to another but for the total weight; deeper, each has its own total."""
+    bundles = max(1, -(-n // bundle_edges))
 
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["u", "v"])
-        names, at = np.unique(np.r_[df.u.to_numpy(str), df.v.to_numpy(str)], return_inverse=True)
-        ends = at.reshape(2, -1).T
-        got = communities(ends, df.weight.to_numpy(float), len(names), gamma, total, most, step, seed)
-        low = {c: min(names[got == c].tolist()) for c in np.unique(got).tolist()}
-        return pd.DataFrame({"node": names, "component": key[0], "part": [low[c] for c in got.tolist()]})
-
-    return e.groupBy("component").applyInPandas(run, "node string, component string, part string")
+        rows = []
+        for _, g in [(0, df)] if depth == 0 else df.groupby(["component", "own"]):
+            g = g.sort_values(["u", "v"])
+            names, at = np.unique(np.r_[g.u.to_numpy(str), g.v.to_numpy(str)], return_inverse=True)
+            ends = at.reshape(2, -1).T
+            got, deep, stuck = communities(ends, g.weight.to_numpy(float), len(names), gamma if depth == 0 else schedule(gamma), total, most, schedule, seed, depth)
+            order = np.lexsort((names, got))
+            first = np.r_[True, got[order][1:] != got[order][:-1]]
+            low = names[order][first]
+            home = np.empty(len(names), object)
+            home[ends[:, 0]], home[ends[:, 1]] = g.component.to_numpy(), g.component.to_numpy()
+            rows.append(pd.DataFrame({"node": names, "component": home, "part": low[got], "depth": deep, "stuck": stuck}))
+        return pd.concat(rows)
+
+    return e.groupBy(F.pmod(F.xxhash64("component", "own"), F.lit(bundles))).applyInPandas(run, PARTS)
+
+
+def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 30, levels: int = 10) -> DataFrame:
+    """links(u, v, weight) -> (node, part): Louvain by joins, for graphs that don't fit a task. In a round half of the nodes, by a hash, move to the community
+    of the most gain, all at once; when two rounds change nothing, communities become the nodes of the next level."""
+    place = cut(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("part", F.col("node")))
+    e = cut(links.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("weight").alias("w")))
+    for _ in range(levels):
+        both = e.where("u <> v").unionAll(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+        degree = e.select(F.explode(F.array("u", "v")).alias("u"), "w").groupBy("u").agg(F.sum("w").alias("k"))
+        own = cut(degree.withColumn("c", F.col("u")))
+        quiet, moved_ever = 0, False
+        for r in range(rounds):
+            held = own.groupBy("c").agg(F.sum("k").alias("held"))
+            near = both.join(own.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("to"))
+            near = near.unionAll(own.select("u", "c", F.lit(0.0).alias("to"))).groupBy("u", "c").agg(F.sum("to").alias("to"))
+            near = near.join(own.select("u", "k", F.col("c").alias("now")), "u").join(held, "c")
+            left = F.col("held") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(F.lit(0.0))
+            gain = F.round(F.col("to") / F.lit(total) - F.lit(gamma) * F.col("k") * left / F.lit(2 * total * total), 12)
+            best = near.withColumn("gain", gain).groupBy("u").agg(F.max_by("c", F.struct("gain", F.col("c") == F.col("now"), "c")).alias("best"), F.first("k").alias("k"), F.first("now").alias("now"))
+            turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+            nxt = cut(best.select("u", "k", F.when(turn, F.col("best")).otherwise(F.col("now")).alias("c"), "now"))
+            moved = not nxt.where("c <> now").isEmpty()
+            own = nxt.select("u", "k", "c")
+            moved_ever |= moved
+            quiet = 0 if moved else quiet + 1
+            if quiet == 2:
+                break
+        if not moved_ever:
+            break
+        place = cut(place.join(own.select(F.col("u").alias("part"), "c"), "part").select("node", F.col("c").alias("part")))
+        p = lambda c: own.select(F.col("u").alias(c), F.col("c").alias(f"c{c}"))
+        e = cut(e.join(p("u"), "u").join(p("v"), "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")))
+    return place
+
+
+def compare(links: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
+    """Partitions (node, component) by name, side by side: nodes, modularity, recall of all edges, and how many of the others each beats in
+    both, ties or loses to."""
+    out = None
+    for name, parts in named.items():
+        n = parts.agg(F.count(F.lit(1)).alias("nodes"))
+        p = lambda c, parts=parts: parts.select(F.col("node").alias(c), F.col("component").alias(f"p{c}"))
+        same = F.coalesce(F.col("pu") == F.col("pv"), F.lit(False)).cast("int")
+        r = links.join(p("u"), "u", "left").join(p("v"), "v", "left").agg(F.round(F.avg(same), 6).alias("recall"))
+        row = _in_a_row(name, n, modularity(links, parts), r)
+        out = row if out is None else out.unionByName(row)
+    return tally(out.select("name", "nodes", "modularity", "recall"), "modularity")
+
+
+def _in_a_row(name: str, *ones: DataFrame) -> DataFrame:
+    """Tables of one row each, side by side under a name."""
+    out, *more = (x.withColumn("name", F.lit(name)) for x in ones)
+    for x in more:
+        out = out.join(x, "name")
+    return out
+
+
+def tally(rows: DataFrame, by: str) -> DataFrame:
+    """rows(name, ...), a few, with wins, ties and losses of each against all others by a column."""
+    a, b = rows.alias("a"), rows.select(F.col("name").alias("other"), F.col(by).alias("its")).alias("b")
+    each = a.join(b, F.col("a.name") != F.col("b.other"), "left")
+    n = lambda c: F.count_if(c)
+    return each.groupBy(*[F.col(f"a.{c}") for c in rows.columns]).agg(n(F.col(by) > F.col("its")).alias("wins"), n(F.col(by) == F.col("its")).alias("ties"), n(F.col(by) < F.col("its")).alias("losses"))
+
+
+def schedules(links: DataFrame, parts: DataFrame, named: dict[str, Callable[[float], float]], most: int = 20, gamma: float = 1.5) -> DataFrame:
+    """Schedules of resolution by name: parts, nodes by the depth their part was made at (as depth=nodes), nodes in parts that stayed above most,
+    modularity, and the tally by it."""
+    out = None
+    for name, schedule in named.items():
+        found = cut(louvain_parts(links, parts, gamma, most, schedule))
+        depth = found.groupBy("depth").agg(F.count(F.lit(1)).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "k"))), lambda x: F.concat_ws("=", x["depth"].cast("string"), x["k"].cast("string"))), " ").alias("depths"))
+        n = found.agg(F.count_distinct("part").alias("parts"), F.count_if("stuck").alias("undivided"))
+        m = modularity(links, found.select("node", F.col("part").alias("component")))
+        row = _in_a_row(name, n, depth, m)
+        out = row if out is None else out.unionByName(row)
+    return tally(out.select("name", "parts", "depths", "undivided", "modularity"), "modularity")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import row_uuid, trim_around
 
 
-def capped(hits: DataFrame, per_article: int = 2, per_concept: int = 20) -> DataFrame:
+def capped(hits: DataFrame, per_article: int = 2, per_concept: int = 100) -> DataFrame:
     """At most per_article rows of a concept from an article, then at most per_concept of a concept and language, in
     article and sentence order, words by alphabet."""
     a = Window.partitionBy("lang", "doc_id", "concept_id").orderBy("sent_ord", "word")
@@ -27,10 +31,11 @@ def latest(rows: DataFrame, order: Column) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(order.desc()))).where("rn = 1").drop("rn")
 
 
-def scroll(points: DataFrame, max_per_lang: int) -> DataFrame:
-    """At most max_per_lang rows of each concept and language, by id."""
+def scroll(points: DataFrame, max_per_lang: int, ratio: float | None = None) -> DataFrame:
+    """At most max_per_lang rows of each concept and language, by id; with a ratio the languages are then brought to it."""
     n = F.row_number().over(Window.partitionBy("concept_id", "lang").orderBy("id"))
-    return points.withColumn("rn", n).where(F.col("rn") <= max_per_lang).drop("rn")
+    rows = points.withColumn("rn", n).where(F.col("rn") <= max_per_lang).drop("rn")
+    return rows if ratio is None else balance(rows, ratio, F.col("id"))
 
 
 def balance(rows: DataFrame, ratio: float, key: Column) -> DataFrame:
@@ -65,3 +70,56 @@ def trims(rows: DataFrame, window: int = 5) -> DataFrame:
     """Trimmed copies of the sentences that a window around the first target word shortens."""
     t = rows.withColumn("trimmed", trim_around(F.col("sentence"), F.array("word"), window))
     return t.where(F.col("trimmed").isNotNull() & (F.col("trimmed") != F.col("sentence")))
+
+
+def buckets(points: DataFrame, most: int) -> DataFrame:
+    """points(concept_id, lang, id) -> (concept_id, lang, ids): the first most distinct ids of each concept and language."""
+    one = points.select("concept_id", "lang", "id").distinct()
+    n = F.row_number().over(Window.partitionBy("concept_id", "lang").orderBy("id"))
+    kept = one.withColumn("n", n).where(F.col("n") <= most)
+    return kept.groupBy("concept_id", "lang").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def lookup(points: DataFrame, lists: DataFrame) -> DataFrame:
+    """Stored rows by lists(concept_id, lang, ids), which no longer know their focal word: it is empty."""
+    wanted = lists.select("concept_id", "lang", F.explode("ids").alias("id"))
+    return points.dropDuplicates(["id", "lang", "concept_id"]).join(wanted, ["concept_id", "lang", "id"], "left_semi").withColumn("focal", F.lit(""))
+
+
+def located(rows: DataFrame) -> DataFrame:
+    """Rows whose word is found among the sentence's words, each concept's numbered from 0 without a gap."""
+    found = rows.withColumn("around", trim_around(F.col("sentence"), F.array("word"))).where("around IS NOT NULL").drop("around")
+    return found.withColumn("idx", F.row_number().over(Window.partitionBy("concept_id").orderBy("id", "rank")).cast("long") - 1)
+
+
+def trainable(before: DataFrame, after: DataFrame, least: int) -> DataFrame:
+    """(concept_id, n_before, n_after) of concepts with least rows or more both before and after preparation."""
+    n = lambda df, x: df.groupBy("concept_id").agg(F.count(F.lit(1)).alias(x)).where(F.col(x) >= least)
+    return n(before, "n_before").join(n(after, "n_after"), "concept_id")
+
+
+def teacher_copies(made: DataFrame, rows: DataFrame) -> DataFrame:
+    """made(id, source) with concept, language and vector of the rows(id, ...) they were made from."""
+    return made.join(rows.withColumnRenamed("id", "source"), "source")
+
+
+def coupled(hits: DataFrame, per_concept: int, per_word: int | None = None) -> DataFrame:
+    """hits(lang, doc_id, sent_ord, word, concept_id) -> at most a row a sentence, in order: its first word whose concept and which itself has
+    had fewer rows than its cap. As each row depends on all before, one task goes through the sorted rows; it keeps counts only."""
+    cols = ["lang", "doc_id", "sent_ord", "word", "concept_id"]
+    rows = hits.select(*cols).orderBy("doc_id", "sent_ord", "lang", "word").coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_concept, of_word, taken = Counter(), Counter(), None
+        for b in batches:
+            keep = []
+            for lang, doc, sent, word, concept in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ok = taken != (lang, doc, sent) and of_concept[concept] < per_concept and (per_word is None or of_word[word, lang] < per_word)
+                keep.append(ok)
+                if ok:
+                    taken = lang, doc, sent
+                    of_concept[concept] += 1
+                    of_word[word, lang] += 1
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

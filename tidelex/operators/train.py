@@ -25,21 +25,23 @@ class Adam:
 
 
 class Plateau:
-    """Cuts a rate when a loss hasn't become better (by a relative threshold) for longer than patience."""
+    """Cuts a rate when a loss hasn't become better (by a relative threshold) for longer than patience; after a cut, cooldown steps
+    don't count as bad, and no rate falls below least."""
 
-    def __init__(self, factor: float = 0.5, patience: int = 3, threshold: float = 1e-4, eps: float = 1e-8):
-        self.factor, self.patience, self.threshold, self.eps = factor, patience, threshold, eps
-        self.best, self.bad = np.inf, 0
+    def __init__(self, factor: float = 0.5, patience: int = 3, threshold: float = 1e-4, eps: float = 1e-8, cooldown: int = 0, least: float = 0.0):
+        self.factor, self.patience, self.threshold, self.eps, self.cooldown, self.least = factor, patience, threshold, eps, cooldown, least
+        self.best, self.bad, self.resting = np.inf, 0, 0
 
     def rate(self, rate: float, loss: float) -> float:
-        if loss < self.best * (1 - self.threshold) or not np.isfinite(self.best):
-            self.best, self.bad = loss, 0
-            return rate
-        self.bad += 1
+        better = loss < self.best * (1 - self.threshold) or not np.isfinite(self.best)
+        self.best, self.bad = (loss, 0) if better else (self.best, self.bad + 1)
+        if self.resting:
+            self.resting, self.bad = self.resting - 1, 0
         if self.bad <= self.patience:
             return rate
-        self.bad = 0
-        return rate * self.factor if rate - rate * self.factor > self.eps else rate
+        self.bad, self.resting = 0, self.cooldown
+        low = max(rate * self.factor, self.least)
+        return low if rate - low > self.eps else rate
 
 
 def loss_and_gradient(w: np.ndarray, x: np.ndarray, margin: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
@@ -84,10 +86,12 @@ def _draw(rng: np.random.Generator, dist: np.ndarray, lang: np.ndarray, count: i
     """Five-point samples by hard mining: (indices, margins, which triplets count)."""
     out, margins, use = [], [], []
     order = {}
+    present = [np.flatnonzero(lang == x) for x in np.unique(lang)]
     for _ in range(20 * count):
-        if len(out) >= count:
+        if len(out) >= count or not present:
             break
-        a = int(rng.integers(len(dist)))
+        own = present[int(rng.integers(len(present)))]  # the anchor's language first, each as likely
+        a = int(own[int(rng.integers(len(own)))])
         row, gaps, flags = [a], [], []
         for same in (True, False):
             if (a, same) not in order:

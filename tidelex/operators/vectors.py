@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine_distance, dot, norm, relu, unit
+from .search import blocks_of
 
 
 def pairs(rows: DataFrame, ordered: bool = False) -> DataFrame:
@@ -100,14 +105,43 @@ def rejection(grid: DataFrame, margins: tuple[float, ...]) -> DataFrame:
     return each.groupBy("margin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.round(F.col("margin") - F.col("gap"), 6) >= 0).cast("int")), 6).alias("rejected"))
 
 
+def nearest(probes: DataFrame, rows: DataFrame, block: int = 8192, step: int = 2048) -> DataFrame:
+    """probes(id, concept_id, x) and rows(id, concept_id, x) -> (a, ca, b, cb, cosine): the nearest row of each probe, by the cosine to six places and then the
+    least id. The probes are a stated set, compared with all rows: a matrix product of each block of them with each batch."""
+    out = None
+    for part in blocks_of(probes.select("id", "concept_id", "x"), lambda r: 1, block):
+        x = np.array([r["x"] for r in part], float)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in part]), [r["concept_id"] for r in part], x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            a, ca, u = shared.value
+            best, who, what = np.full(len(a), -np.inf), np.zeros(len(a), np.int64), np.full(len(a), None, object)
+            for b in batches:
+                ids, names = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), object)
+                v = np.array(b.column(2).to_pylist(), float).reshape(len(ids), -1)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+                order = np.argsort(ids, kind="stable")  # the first of equal cosines is that of the least id
+                for i in range(0, len(order), step):
+                    at = order[i : i + step]
+                    cos = np.round(u @ v[at].T, 6)
+                    j = cos.argmax(axis=1)
+                    c, w = cos[np.arange(len(a)), j], ids[at][j]
+                    new = (c > best) | ((c == best) & (w < who))
+                    best[new], who[new], what[new] = c[new], w[new], names[at][j][new]
+            got = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(a[got]), pa.array([x for x, g in zip(ca, got, strict=True) if g], pa.string()), pa.array(who[got]), pa.array(what[got].tolist(), pa.string()), pa.array(best[got])], ["a", "ca", "b", "cb", "cosine"])
+
+        found = rows.select("id", "concept_id", "x").mapInArrow(run, "a long, ca string, b long, cb string, cosine double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "a long, ca string, b long, cb string, cosine double")
+    return out.groupBy("a", "ca").agg(F.min(F.struct((-F.col("cosine")).alias("s"), "b", "cb")).alias("m")).select("a", "ca", "m.b", "m.cb", (-F.col("m.s")).alias("cosine"))
+
+
 def cross_top1(rows: DataFrame, probes: Column) -> DataFrame:
-    """One row: probes, and the share of probe rows whose nearest row of the other language has the same concept. The probes are a
-    stated set, compared with all rows."""
-    p = rows.where((F.col("lang") == "en") & probes).select(F.col("id").alias("a"), F.col("concept_id").alias("ca"), F.col("x").alias("xa"), F.lit(1).alias("one"))
-    t = rows.where(F.col("lang") == "es").select(F.col("id").alias("b"), F.col("concept_id").alias("cb"), F.col("x").alias("xb"), F.lit(1).alias("one"))
-    j = p.join(t, "one").select("a", "ca", F.struct((-F.round(dot(F.col("xa"), F.col("xb")) / (norm(F.col("xa")) * norm(F.col("xb"))), 6)).alias("s"), "b", "cb").alias("m"))
-    best = j.groupBy("a", "ca").agg(F.min("m").alias("m"))
-    return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ca") == F.col("m.cb")).cast("int")), 6).alias("same_concept"))
+    """One row: probes, and the share of probe rows whose nearest row of the other language has the same concept."""
+    best = nearest(rows.where((F.col("lang") == "en") & probes), rows.where(F.col("lang") == "es"))
+    return best.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("ca") == F.col("cb")).cast("int")), 6).alias("same_concept"))
 
 
 def norm_stats(rows: DataFrame) -> DataFrame:
@@ -125,3 +159,82 @@ def silhouette(rows: DataFrame) -> DataFrame:
     s = m.groupBy("concept_id", "a").agg(F.min(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("other"))
     value = F.when(F.col("own").isNull() | F.col("other").isNull(), F.lit(0.0)).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return s.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("silhouette"))
+
+
+def similarity_stats(dist: DataFrame) -> DataFrame:
+    """Per concept, within and across languages: number, mean, deviation and percentiles (linear between values) of the similarities."""
+    s = dist.withColumns({"s": F.lit(1.0) - F.col("dist"), "same_lang": F.col("lang_a") == F.col("lang_b")})
+    at = lambda q: F.round(F.percentile("s", F.lit(q)), 6)
+    return s.groupBy("concept_id", "same_lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.stddev_pop("s"), 6).alias("std"), at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+def bucket_matrix(rows: DataFrame, bucket: str = "concept_id") -> DataFrame:
+    """(bucket_a, bucket_b, n_pairs, mean): mean cosine within each bucket and between each two, from sums of unit vectors: no row meets another.
+    Buckets are few: all pairs of them are given."""
+    s = mean_vector_stats(rows.withColumn("concept_id", F.col(bucket).cast("string")))
+    a, b = (s.select(F.col("concept_id").alias(f"bucket_{k}"), F.col("total").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    j = a.join(b, F.col("bucket_a") <= F.col("bucket_b"))
+    d, same = dot(F.col("ta"), F.col("tb")), F.col("bucket_a") == F.col("bucket_b")
+    n = F.when(same, F.col("na") * (F.col("na") - 1) / F.lit(2.0)).otherwise(F.col("na") * F.col("nb")).cast("long")
+    total = F.when(same, (d - F.col("na")) / 2).otherwise(d)
+    return j.withColumn("n_pairs", n).where("n_pairs > 0").select("bucket_a", "bucket_b", "n_pairs", F.round(total / F.col("n_pairs").cast("double"), 6).alias("mean"))
+
+
+def bucket_gap(matrix: DataFrame) -> DataFrame:
+    """One row: the least mean within a bucket, the largest between two, and the gap."""
+    low, high = F.min(F.when(F.col("bucket_a") == F.col("bucket_b"), F.col("mean"))), F.max(F.when(F.col("bucket_a") != F.col("bucket_b"), F.col("mean")))
+    return matrix.agg(F.round(low, 6).alias("least_intra"), F.round(high, 6).alias("most_cross"), F.round(low - high, 6).alias("gap"))
+
+
+def cross_gap(rows: DataFrame) -> DataFrame:
+    """Per concept: mean cosine of its English rows to its Spanish ones, and to those of other concepts."""
+    en, es = (mean_vector_stats(rows.where(F.col("lang") == x)) for x in ("en", "es"))
+    every = es.select(F.posexplode("total").alias("i", "v"), "n").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"), F.max("n").alias("n_all"))
+    whole = every.select(F.col("p")["v"].alias("all"), "n_all")
+    one = lambda df: df.withColumn("one", F.lit(1))
+    j = one(en).join(one(whole), "one").drop("one").join(es.select("concept_id", F.col("total").alias("own"), F.col("n").alias("n_own")), "concept_id", "left")
+    own, n_own = F.coalesce(dot(F.col("total"), F.col("own")), F.lit(0.0)), F.coalesce("n_own", F.lit(0))
+    mean = lambda x, n: F.when(n > 0, F.round(x / n.cast("double"), 6))
+    return j.select("concept_id", mean(own, F.col("n") * n_own).alias("intra"), mean(dot(F.col("total"), F.col("all")) - own, F.col("n") * (F.col("n_all") - n_own)).alias("inter"))
+
+
+def word_breakdown(dist: DataFrame, words: DataFrame) -> DataFrame:
+    """dist of pairs and words(id, word) -> per concept and kind of pair (same word, other word, cross-lingual) number and mean similarity."""
+    of = lambda k: words.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"))
+    j = dist.join(of("a"), "a").join(of("b"), "b")
+    kind = F.when(F.col("lang_a") != F.col("lang_b"), "cross-lingual").when(F.col("word_a") == F.col("word_b"), "same word").otherwise("other word")
+    return j.groupBy("concept_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.lit(1.0) - F.col("dist")), 6).alias("mean"))
+
+
+def raw_vs_projected(raw: DataFrame, projected: DataFrame) -> DataFrame:
+    """Per concept: the gap of mean cosines, intra less inter, of raw and of projected rows, and whether projection wins."""
+    gap = lambda df, x: intra_inter(df).select("concept_id", F.round(F.col("intra") - F.col("inter"), 6).alias(x))
+    return gap(raw, "raw_gap").join(gap(projected, "gap"), "concept_id").withColumn("wins", F.col("gap") > F.col("raw_gap"))
+
+
+def pair_draws(dist: DataFrame, floor: float, draws: int) -> DataFrame:
+    """For each anchor draws pairs of others, in the order of a hash: the closer one is the positive; pairs that differ by less than floor are
+    rejected. What pair_grid gives for all pairs, as a sampler sees it."""
+    order = F.sha1(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")))
+    i = F.row_number().over(Window.partitionBy("concept_id", "a").orderBy(order, "b")) - 1
+    two = dist.withColumn("i", i).where(F.col("i") < 2 * draws).groupBy("concept_id", "a", F.floor(F.col("i") / F.lit(2.0)).alias("draw"))
+    near = F.struct("dist", "b")
+    got = two.agg(F.count(F.lit(1)).alias("n"), F.min(near).alias("p"), F.max(near).alias("q"))
+    got = got.withColumn("gap", F.round(F.col("q.dist") - F.col("p.dist"), 6)).where((F.col("n") == 2) & (F.col("gap") >= floor))
+    return got.select("concept_id", "a", "draw", F.col("p.b").alias("pos"), F.col("q.b").alias("neg"), "gap")
+
+
+def audit(samples: DataFrame, most: int, seed: str) -> DataFrame:
+    """At most most five-point samples of each concept that have a cross-language side, by a seeded hash of the anchor."""
+    order = F.sha1(F.concat(F.lit(f"{seed}:"), F.col("a").cast("string")))
+    n = F.row_number().over(Window.partitionBy("concept_id").orderBy(order, "a"))
+    return samples.where("has_xl").withColumn("n", n).where(F.col("n") <= most).drop("n")
+
+
+def sampler_stats(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """Per concept: anchors, the share rejected, the share of the others' samples with a cross-language side, and their margins."""
+    j = rows.select("concept_id", F.col("id").alias("a")).join(samples.select("concept_id", "a", "has_xl", "margin_sl"), ["concept_id", "a"], "left")
+    return j.groupBy("concept_id").agg(
+        F.count(F.lit(1)).alias("anchors"), F.round(F.avg(F.col("has_xl").isNull().cast("int")), 6).alias("rejected"), F.round(F.avg(F.col("has_xl").cast("int")), 6).alias("with_xl"),
+        F.round(F.avg("margin_sl"), 6).alias("margin_mean"), F.round(F.stddev_pop("margin_sl"), 6).alias("margin_std"),
+    )

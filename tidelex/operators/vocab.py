@@ -8,26 +8,30 @@ from pyspark.sql import functions as F
 from ..functions.text import WORD, valid_entry
 
 
-def ranked_words(arts: DataFrame, most: int) -> DataFrame:
-    """(lang, word, i): the most frequent valid words of each language by documents, from 0, ties by word."""
+BUCKETS = 64
+
+
+def ranked_words(arts: DataFrame) -> DataFrame:
+    """(lang, word, bucket, i): all valid words, by hash in buckets, and in each from 0 by falling number of documents, ties by word."""
     per_doc = arts.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
     n = per_doc.where(valid_entry(F.col("word"))).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
-    i = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))
-    return n.withColumn("i", (i - 1).cast("long")).where(F.col("i") < most).select("lang", "word", "i")
-
-
-def pseudo_dictionary(arts: DataFrame, most: int = 400) -> DataFrame:
-    """(dir, ord, src, tgt): a deterministic stand-in for translation dictionaries, which pairs words of equal rank; every third
-    English word has a second translation, the next Spanish word."""
-    r = ranked_words(arts, most)
-    en, es = (r.where(F.col("lang") == x).select(F.col("word").alias(x), "i") for x in ("en", "es"))
-    same = en.join(es, "i")
-    second = en.where("i % 3 = 0").join(es.withColumn("i", F.col("i") - 1), "i")
-    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    n = n.withColumn("bucket", F.conv(F.substring(F.sha1("word"), 1, 2), 16, 10).cast("long") % BUCKETS)
+    i = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(F.desc("df"), "word"))
+    return n.withColumn("i", (i - 1).cast("long")).select("lang", "word", "bucket", "i")
+
+
+def pseudo_dictionary(arts: DataFrame) -> DataFrame:
+    """(dir, ord, src, tgt): a deterministic stand-in for translation dictionaries, which pairs all words of equal bucket and rank that both
+    languages have; every third English word has a second translation, the next Spanish word."""
+    r = ranked_words(arts)
+    en, es = (r.where(F.col("lang") == x).select(F.col("word").alias(x), "bucket", "i") for x in ("en", "es"))
+    same = en.join(es, ["bucket", "i"])
+    second = en.where("i % 3 = 0").join(es.withColumn("i", F.col("i") - 1), ["bucket", "i"])
+    at = lambda k: ((F.col("i") * BUCKETS + F.col("bucket")) * 2 + k).alias("ord")
     return (
-        same.select(F.lit("en-es").alias("dir"), (F.col("i") * 2 + one).alias("ord"), F.col("en").alias("src"), F.col("es").alias("tgt"))
-        .unionAll(second.select(F.lit("en-es").alias("dir"), (F.col("i") * 2 + two).alias("ord"), F.col("en").alias("src"), F.col("es").alias("tgt")))
-        .unionAll(same.select(F.lit("es-en").alias("dir"), (F.col("i") * 2 + one).alias("ord"), F.col("es").alias("src"), F.col("en").alias("tgt")))
+        same.select(F.lit("en-es").alias("dir"), at(1), F.col("en").alias("src"), F.col("es").alias("tgt"))
+        .unionAll(second.select(F.lit("en-es").alias("dir"), at(2), F.col("en").alias("src"), F.col("es").alias("tgt")))
+        .unionAll(same.select(F.lit("es-en").alias("dir"), at(1), F.col("es").alias("src"), F.col("en").alias("tgt")))
     )
 
 
@@ -45,14 +49,15 @@ def edges(top: DataFrame) -> DataFrame:
 
 
 def clusters(parts: DataFrame) -> DataFrame:
-    """parts(node, component) -> (component, en, es): sorted words by language."""
+    """parts(node, component) -> (component, en, es): sorted words by language. Parts are to be of bounded size, as those of louvain_parts are."""
     lang, word = F.substring("node", 1, 2), F.expr("substring(node, 4)")
     own = lambda x: F.array_sort(F.collect_set(F.when(lang == x, word)))
-    return parts.groupBy("component").agg(own("en").alias("en"), own("es").alias("es"))  # clusters are bounded in size
+    return parts.groupBy("component").agg(own("en").alias("en"), own("es").alias("es"))
 
 
 def concepts(found: DataFrame, min_size: int = 2) -> DataFrame:
-    """(concept_id, en, es, size) of the clusters with both languages and enough words, numbered by falling size."""
+    """(concept_id, en, es, size) of the clusters with both languages and enough words, numbered by falling size: one task orders
+    them all, as the numbers run through."""
     size = (F.size("en") + F.size("es")).cast("long")
     kept = found.where((F.size("en") > 0) & (F.size("es") > 0)).withColumn("size", size).where(F.col("size") >= min_size)
     n = F.row_number().over(Window.orderBy(F.desc("size"), F.col("en")[0]))
@@ -97,6 +102,22 @@ def prune(vocab: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
     return ok.select(F.format_string("C-%05d", n - 1).alias("concept_id"), F.col("concept_id").alias("old_id"), "en", "es", "size")
 
 
+def prune_stats(vocab: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: concepts and words of a vocabulary, those kept, and the shares kept in per cent to one place."""
+    marked = vocab.select("concept_id", "size").join(kept.select(F.col("old_id").alias("concept_id"), F.lit(True).alias("ok")), "concept_id", "left")
+    n = lambda x, c: [F.count_if(c).alias(f"concepts{x}"), F.coalesce(F.sum(F.when(c, F.col("size"))), F.lit(0)).cast("long").alias(f"words{x}")]
+    j = marked.agg(*n("", F.lit(True)), *n("_kept", F.coalesce("ok", F.lit(False))))
+    pct = lambda a, b: F.when(F.col(b) > 0, F.round(F.lit(100.0) * F.col(a) / F.col(b), 1))
+    return j.withColumns({"kept_pct": pct("concepts_kept", "concepts"), "words_pct": pct("words_kept", "words")})
+
+
+def select_ids(vocab: DataFrame, word_concept: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(concepts, their look-up, those of them without any word in it): a vocabulary cut to ids, which stay as they are."""
+    some = vocab.join(ids.select("concept_id").distinct(), "concept_id", "left_semi")
+    words = word_concept.join(some.select("concept_id"), "concept_id", "left_semi")
+    return some, words, some.select("concept_id").join(words, "concept_id", "left_anti")
+
+
 def subset(vocab: DataFrame, ids: DataFrame) -> DataFrame:
     """The given concepts with their ids; raises for ids that aren't there (naming five)."""
     if missing := [r[0] for r in ids.join(vocab, "concept_id", "left_anti").orderBy("concept_id").limit(5).collect()]:
@@ -124,6 +145,21 @@ def demand_marks(need: DataFrame, marks: tuple[float, ...] = (0.8, 0.9, 0.95, 0.
     return each.where(F.col("cum") >= F.col("mark") * F.col("total")).groupBy("mark").agg(F.min("n").alias("concepts"))
 
 
+def demand_ceiling(tokens: DataFrame, matches: DataFrame) -> DataFrame:
+    """tokens(pool) and matches(pool, concept_id) -> by pool: tokens, those that match a concept, and their share."""
+    n = tokens.groupBy("pool").agg(F.count(F.lit(1)).alias("tokens"))
+    m = matches.groupBy("pool").agg(F.count(F.lit(1)).alias("matched"))
+    j = n.join(m, "pool", "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+    return j.withColumn("ceiling", F.round(F.col("matched") / F.col("tokens").cast("double"), 6))
+
+
+def demand_choice(need: DataFrame, mark: float) -> DataFrame:
+    """(concept_id, demand, place): the most wanted concepts up to the first that brings the share of the demand to mark."""
+    order = Window.orderBy(F.desc("demand"), "concept_id").rowsBetween(Window.unboundedPreceding, 0)
+    run = need.withColumns({"cum": F.sum("demand").over(order), "place": F.count(F.lit(1)).over(order), "total": F.sum("demand").over(Window.partitionBy())})
+    return run.where(F.col("cum") - F.col("demand") < F.lit(mark) * F.col("total")).select("concept_id", "demand", "place")
+
+
 def chosen(vocab: DataFrame, spec: str, trained: DataFrame | None = None) -> DataFrame:
     """Concepts by "a:b" (numbers from a up to, not including, b) or a comma list of numbers or ids, less those that are trained."""
     number = F.substring("concept_id", 3, 20).cast("long")

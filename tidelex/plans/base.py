@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Base:
-    """Relations over one data folder. Components are found once a session and folder, as their rounds run jobs."""
+    """Relations over one data folder. Components and communities are found once a session and folder, as they run jobs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -52,13 +53,26 @@ class Base:
     def edges(self) -> DataFrame:
         return vocab.edges(self.top)
 
-    @cached_property
-    def parts(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, "parts")
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _kept:
-            _kept[key] = graph.components(self.edges)
+            _kept[key] = make()
         return _kept[key]
 
+    @cached_property
+    def whole(self) -> DataFrame:
+        """The connected components of the translation graph."""
+        return self.kept("components", lambda: graph.components(self.edges))
+
+    @cached_property
+    def communities(self) -> DataFrame:
+        return self.kept("communities", lambda: graph.cut(graph.louvain_parts(self.edges, self.whole)))
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        """The communities as a partition (node, component), which concepts are made of."""
+        return self.communities.select("node", F.col("part").alias("component"))
+
     @cached_property
     def clusters(self) -> DataFrame:
         return vocab.clusters(self.parts)
@@ -105,34 +119,40 @@ class Base:
 
     @cached_property
     def query_terms(self) -> DataFrame:
-        return encode.backbone_query(self.query_tokens).select(F.col("id").alias("qid"), F.col("token").alias("term"), F.col("weight").alias("q"))
+        return encode.backbone_query(self.query_tokens).select(F.col("id").alias("qid"), "term", F.col("weight").alias("q"))
 
     def ranked_docs(self, k: int = 10) -> DataFrame:
-        wanted = self.doc_tokens.join(self.query_terms.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
-        postings = encode.backbone_doc(wanted).select("id", F.col("token").alias("term"), F.col("weight").alias("d"))
+        wanted = self.doc_tokens.join(self.query_terms.select("term").distinct(), "term", "left_semi")
+        postings = encode.backbone_doc(wanted).withColumnRenamed("weight", "d")
         return search.search(self.query_terms, postings, self.docs.count(), k)
 
     @cached_property
-    def gold(self) -> DataFrame:
-        """Documents that hold an item word for word: the items are a stated query set, each compared with all documents."""
-        items = self.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-        return self.docs.join(F.broadcast(items) if self.small(items) else items, F.contains("text", "item")).select("qid", F.col("doc_id").alias("id"))
+    def translations(self) -> DataFrame:
+        """(src, tgt): the first Spanish translation of each English word."""
+        return self.dictionary.where("dir = 'en-es'").groupBy("src").agg(F.min_by("tgt", "ord").alias("tgt"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.table("benchmark").select(F.col("item_id").alias("qid"), "text")
 
-    def small(self, df: DataFrame, most: int = 100_000) -> bool:
-        """Whether a table has few enough rows to be sent to all workers."""
-        return df.limit(most + 1).count() <= most
+    @cached_property
+    def gold(self) -> DataFrame:
+        """Documents that hold an item word for word."""
+        return search.containing(self.docs.select(F.col("doc_id").alias("id"), "text"), self.items)
 
     @cached_property
     def per_query(self) -> DataFrame:
-        return search.metrics(self.ranked_docs(), self.gold, self.table("benchmark").select(F.col("item_id").alias("qid")))
+        return search.metrics(self.ranked_docs(100), self.gold, self.items)
 
     @cached_property
-    def vec(self) -> DataFrame:
-        """A label is a concept, the id's parity a language; at most 2,000 rows of each concept and language, as stores give."""
-        from pyspark.sql import Window
+    def all_vec(self) -> DataFrame:
+        """Every vector; a label is a concept, the id's parity a language."""
+        return self.table("embeddings").select(F.concat(F.lit("L-"), F.col("label")).alias("concept_id"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "en").otherwise("es").alias("lang"), F.col("embedding").cast("array<double>").alias("x"))
 
-        rows = self.table("embeddings").select(F.concat(F.lit("L-"), F.col("label")).alias("concept_id"), F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 2 == 0, "en").otherwise("es").alias("lang"), F.col("embedding").cast("array<double>").alias("x"))
-        return rows.withColumn("rn", F.row_number().over(Window.partitionBy("concept_id", "lang").orderBy("id"))).where("rn <= 2000").drop("rn")
+    @cached_property
+    def vec(self) -> DataFrame:
+        """What stores give to training and mining: at most 2,000 rows of each concept and language."""
+        return sample.scroll(self.all_vec, 2000)
 
     @cached_property
     def dist(self) -> DataFrame:

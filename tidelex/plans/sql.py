@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from ..functions.text import ENTRY, TOKEN, WORD
 from ..operators.encode import STOPWORDS
+from . import stem_sql
 
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS["en"])
 STOP_ES = ", ".join(f"'{w}'" for w in STOPWORDS["es"])
 
+BM25 = "round(tf::DOUBLE * 2.2::DOUBLE / (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / 256.0::DOUBLE)), 6)"
+
 #: name: (names it needs, body)
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "art": ((), "SELECT lang, doc_id, text FROM documents WHERE lang IN ('en', 'es')"),
@@ -21,13 +24,13 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
                  lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM art WHERE length(text) >= 50), unnest(range(1, len(l) + 1)) t(i)"""),
     "good": (("longer",), f"SELECT * FROM (SELECT *, list_distinct(regexp_extract_all(lower(sentence), '{WORD}')) AS words FROM longer) WHERE len(words) BETWEEN 5 AND 100"),
     "ranked": (("art",), f"""
-        SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY df DESC, word) - 1 AS i FROM (
-          SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS word FROM art)
-          WHERE length(word) >= 2 AND regexp_matches(word, '{ENTRY}') GROUP BY 1, 2) QUALIFY i < 400"""),
+        SELECT lang, word, bucket, row_number() OVER (PARTITION BY lang, bucket ORDER BY df DESC, word) - 1 AS i FROM (
+          SELECT lang, word, ('0x' || substr(sha1(word), 1, 2))::BIGINT % 64 AS bucket, count(*) AS df FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '{WORD}'))) AS word FROM art)
+          WHERE length(word) >= 2 AND regexp_matches(word, '{ENTRY}') GROUP BY 1, 2)"""),
     "dict": (("ranked",), """
-        SELECT 'en-es' AS dir, a.i * 2 + 1 AS ord, a.word AS src, b.word AS tgt FROM ranked a JOIN ranked b ON a.i = b.i AND a.lang = 'en' AND b.lang = 'es'
-        UNION ALL SELECT 'en-es', a.i * 2 + 2, a.word, b.word FROM ranked a JOIN ranked b ON a.i = b.i - 1 AND a.lang = 'en' AND b.lang = 'es' WHERE a.i % 3 = 0
-        UNION ALL SELECT 'es-en', b.i * 2 + 1, b.word, a.word FROM ranked a JOIN ranked b ON a.i = b.i AND a.lang = 'en' AND b.lang = 'es'"""),
+        SELECT 'en-es' AS dir, (a.i * 64 + a.bucket) * 2 + 1 AS ord, a.word AS src, b.word AS tgt FROM ranked a JOIN ranked b ON a.i = b.i AND a.bucket = b.bucket AND a.lang = 'en' AND b.lang = 'es'
+        UNION ALL SELECT 'en-es', (a.i * 64 + a.bucket) * 2 + 2, a.word, b.word FROM ranked a JOIN ranked b ON a.i = b.i - 1 AND a.bucket = b.bucket AND a.lang = 'en' AND b.lang = 'es' WHERE a.i % 3 = 0
+        UNION ALL SELECT 'es-en', (a.i * 64 + a.bucket) * 2 + 1, b.word, a.word FROM ranked a JOIN ranked b ON a.i = b.i AND a.bucket = b.bucket AND a.lang = 'en' AND b.lang = 'es'"""),
     "top": (("dict",), f"""
         SELECT *, row_number() OVER (PARTITION BY dir, src ORDER BY ord) AS rank FROM dict
         WHERE length(src) >= 2 AND length(tgt) >= 2 AND regexp_matches(src, '{ENTRY}') AND regexp_matches(tgt, '{ENTRY}') QUALIFY rank <= 2"""),
@@ -37,6 +40,9 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "sym": (("edge",), "SELECT u, v FROM edge UNION SELECT v, u FROM edge"),
     "reach": (("sym",), "SELECT u AS n, u AS m FROM sym UNION SELECT r.n, s.v FROM reach r JOIN sym s ON r.m = s.u"),
     "part": (("reach",), "SELECT n AS node, min(m) AS component FROM reach GROUP BY 1"),
+    "tsym": (("edge",), "SELECT u, v FROM (SELECT u, v FROM edge WHERE ('0x' || substr(sha1(u || '|' || v), 1, 8))::BIGINT % 10 >= 1) UNION SELECT v, u FROM edge WHERE ('0x' || substr(sha1(u || '|' || v), 1, 8))::BIGINT % 10 >= 1"),
+    "treach": (("tsym",), "SELECT u AS n, u AS m FROM tsym UNION SELECT r.n, s.v FROM treach r JOIN tsym s ON r.m = s.u"),
+    "tpart": (("treach",), "SELECT n AS node, min(m) AS component FROM treach GROUP BY 1"),
     "cluster": (("part",), """
         SELECT component, coalesce(list_sort(list(DISTINCT substr(node, 4)) FILTER (node LIKE 'en:%')), []) AS en,
           coalesce(list_sort(list(DISTINCT substr(node, 4)) FILTER (node LIKE 'es:%')), []) AS es FROM part GROUP BY 1"""),
@@ -51,7 +57,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         LEFT JOIN counts a ON a.concept_id = c.concept_id AND a.lang = 'en' LEFT JOIN counts b ON b.concept_id = c.concept_id AND b.lang = 'es'"""),
     "capped": (("hits",), """
         SELECT lang, doc_id, sent_ord, sentence, word, concept_id, row_number() OVER (PARTITION BY lang, concept_id ORDER BY doc_id, sent_ord, word) AS rank FROM (
-          SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY lang, doc_id, concept_id ORDER BY sent_ord, word) <= 2) QUALIFY rank <= 20"""),
+          SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY lang, doc_id, concept_id ORDER BY sent_ord, word) <= 2) QUALIFY rank <= 100"""),
     "points": (("capped",), """
         SELECT *, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id FROM (
           SELECT *, sha256(lang || ':' || word || ':' || sentence) AS h FROM capped)"""),
@@ -66,25 +72,44 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
             least(count(*) FILTER (lang = 'en') OVER (PARTITION BY concept_id), count(*) FILTER (lang = 'es') OVER (PARTITION BY concept_id)) AS both_n FROM balanced)"""),
     # Retrieval: all documents, benchmark items as queries.
     "dtok": ((), rf"SELECT doc_id AS id, lang, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: t NOT IN ({STOP}) AND length(t) <= 40) AS toks FROM documents"),
-    "dterm": (("dtok",), "SELECT id, lang, len(toks) AS length, unnest(toks) AS token FROM dtok"),
-    "dtf": (("dterm",), "SELECT id, lang, length, token, count(*) AS tf FROM dterm GROUP BY ALL"),
-    "dpost": (("dtf",), "SELECT id, lang, token AS term, round(tf::DOUBLE * 2.2::DOUBLE / (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / 256.0::DOUBLE)), 6) AS d FROM dtf"),
+    "dword": (("dtok",), "SELECT id, lang, len(toks) AS length, unnest(toks) AS token FROM dtok"),
     "qtok": ((), rf"SELECT item_id AS qid, list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda t: t NOT IN ({STOP}) AND length(t) <= 40) AS toks FROM benchmark"),
-    "qterm": (("qtok",), "SELECT DISTINCT qid, unnest(toks) AS term, 1.0::DOUBLE AS q FROM qtok"),
-    "run": (("dpost", "qterm"), """
+    "qword": (("qtok",), "SELECT qid, unnest(toks) AS token FROM qtok"),
+    "anyword": (("dword", "qword"), "SELECT token FROM dword UNION SELECT token FROM qword"),
+    "stems": (("anyword",), stem_sql.stems("anyword")),
+    "dterm": (("dword", "stems"), "SELECT id, lang, length, token, stem AS term FROM dword JOIN stems USING (token)"),
+    "dtf": (("dterm",), "SELECT id, lang, length, term, count(*) AS tf FROM dterm GROUP BY ALL"),
+    "dpost": (("dtf",), f"SELECT id, lang, term, {BM25} AS d FROM dtf"),
+    "qstem": (("qword", "stems"), "SELECT qid, token, stem AS term FROM qword JOIN stems USING (token)"),
+    "qterm": (("qstem",), "SELECT DISTINCT qid, term, 1.0::DOUBLE AS q FROM qstem"),
+    "termset": (("dterm", "qstem"), "SELECT term FROM dterm UNION SELECT term FROM qstem"),
+    "idx": (("termset",), stem_sql.indices("termset")),
+    "trans": (("dict",), "SELECT src, arg_min(tgt, ord) AS tgt FROM dict WHERE dir = 'en-es' GROUP BY 1"),
+    "trword": (("qword", "trans"), "SELECT DISTINCT coalesce(tgt, token) AS token FROM qword LEFT JOIN trans ON src = token"),
+    "trstem": (("trword",), stem_sql.stems("trword")),
+    "run100": (("dpost", "qterm"), """
         SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
           SELECT q.qid, p.id, round(sum(ln(1.0::DOUBLE + ((SELECT count(*) FROM documents) - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * q.q * p.d), 6) AS score
-          FROM qterm q JOIN dpost p ON q.term = p.term JOIN (SELECT term, count(*) AS df FROM dpost GROUP BY 1) f ON f.term = p.term GROUP BY 1, 2) QUALIFY rank <= 10"""),
-    "gold": ((), "SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)"),
-    "metric": (("run", "gold"), """
-        SELECT b.item_id AS qid, round(coalesce(dcg / ideal, 0), 6) AS ndcg10, round(coalesce(found / relevant::DOUBLE, 0), 6) AS r100, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr10
-        FROM benchmark b LEFT JOIN (SELECT qid, count(*) AS relevant, list_sum([1.0::DOUBLE / log2(i + 1.0::DOUBLE) for i in range(1, least(count(*), 10) + 1)]) AS ideal FROM gold GROUP BY 1) n ON n.qid = b.item_id
+          FROM qterm q JOIN dpost p ON q.term = p.term JOIN (SELECT term, count(*) AS df FROM dpost GROUP BY 1) f ON f.term = p.term GROUP BY 1, 2) QUALIFY rank <= 100"""),
+    "run": (("run100",), "FROM run100 WHERE rank <= 10"),
+    "gold": ((), "SELECT b.item_id AS qid, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''"),
+    # Lexical mode: concept words of a language leave the backbone, their concepts take their places.
+    "ltf": (("dterm", "wc"), "SELECT id, lang, length, term, count(*) AS tf FROM dterm t WHERE NOT EXISTS (SELECT 1 FROM wc WHERE wc.lang = t.lang AND wc.word = t.token) GROUP BY ALL"),
+    "lctf": (("dterm", "wc"), "SELECT id, t.lang, length, m.concept_id, count(*) AS tf FROM dterm t JOIN wc m ON m.lang = t.lang AND m.word = t.token GROUP BY ALL"),
+    "lex": (("ltf", "lctf"), f"SELECT id, lang, 't:' || term AS term, {BM25} AS d FROM ltf UNION ALL SELECT id, lang, 'c:' || concept_id, {BM25} FROM lctf"),
+    "ql": ((), "SELECT unnest(['en', 'es']) AS ql"),
+    "lexq": (("qstem", "wc", "ql"), """
+        SELECT DISTINCT ql, qid, 't:' || term AS term, 1.0::DOUBLE AS q FROM qstem p, ql WHERE NOT EXISTS (SELECT 1 FROM wc WHERE wc.lang = ql AND wc.word = p.token)
+        UNION ALL SELECT DISTINCT ql, qid, 'c:' || m.concept_id, 1.0::DOUBLE FROM qstem p, ql JOIN wc m ON m.lang = ql AND m.word = p.token"""),
+    "ideal": (("gold",), "SELECT qid, count(*) AS relevant, list_sum([1.0::DOUBLE / log2(i + 1.0::DOUBLE) for i in range(1, least(count(*), 10) + 1)]) AS ideal FROM gold GROUP BY 1"),
+    "metricx": (("run100", "gold", "ideal"), """
+        SELECT b.item_id AS qid, coalesce(dcg / ideal, 0) AS ndcg, coalesce(found / relevant::DOUBLE, 0) AS recall, coalesce(1.0::DOUBLE / first, 0) AS mrr FROM benchmark b LEFT JOIN ideal n ON n.qid = b.item_id
         LEFT JOIN (SELECT r.qid, sum(1.0::DOUBLE / log2(rank + 1.0::DOUBLE)) FILTER (rank <= 10) AS dcg, count(*) FILTER (rank <= 100) AS found, min(rank) FILTER (rank <= 10) AS first
-          FROM run r JOIN gold g ON g.qid = r.qid AND g.id = r.id GROUP BY 1) h ON h.qid = b.item_id"""),
+          FROM run100 r JOIN gold g ON g.qid = r.qid AND g.id = r.id GROUP BY 1) h ON h.qid = b.item_id"""),
+    "metric": (("metricx",), "SELECT qid, round(ndcg, 6) AS ndcg10, round(recall, 6) AS r100, round(mrr, 6) AS mrr10 FROM metricx"),
     # Vectors: a label is a concept, the id's parity a language.
-    "vec": ((), """
-        SELECT 'L-' || label AS concept_id, vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'es' END AS lang, embedding::DOUBLE[] AS x FROM embeddings
-        QUALIFY row_number() OVER (PARTITION BY label, vec_id % 2 ORDER BY vec_id) <= 2000"""),
+    "allvec": ((), "SELECT 'L-' || label AS concept_id, vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'en' ELSE 'es' END AS lang, embedding::DOUBLE[] AS x FROM embeddings"),
+    "vec": (("allvec",), "FROM allvec QUALIFY row_number() OVER (PARTITION BY concept_id, lang ORDER BY id) <= 2000"),
     "pairs": (("vec",), """
         SELECT a.concept_id, a.id AS a, b.id AS b, a.lang AS lang_a, b.lang AS lang_b, round(1.0::DOUBLE - list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x)) + 1e-8::DOUBLE), 6) AS dist
         FROM vec a JOIN vec b ON a.concept_id = b.concept_id AND a.id <> b.id"""),
