@@ -1,15 +1,16 @@
 """Quality classifier by supervised subword embeddings (operator 9).
 
-A text is the average of the learned vectors of its features: hashed words, hashed character n-grams within words, and a
-word pair feature for immediate repeats (whitespace marks a word's border); a softmax layer on top gives the class. The driver trains vectors and layer together by
-stochastic gradient descent in numpy on at most max_train_rows labelled rows, of which whole texts are read. As the
-layer is linear in the average, the workers get just each feature's contribution to the logit, 2**bits floats.
+A text is the average of the learned vectors of its features: hashed words, hashed pairs of words that follow each other, hashed
+forms of word n-grams (which of their words are equal, whatever the words) and hashed character n-grams within words (whitespace marks a word's border); a softmax layer on top gives the class. Workers turn at most
+max_train_rows labelled rows, whole texts of them, into bags of features, and the driver trains vectors and layer together by
+stochastic gradient descent in numpy. As the layer is linear in the average, the workers get just each feature's contribution to the
+logit, 2**bits floats.
 
 Class sizes in the sample are balanced; the intercept is moved back to the classes' shares among all labels.
 
 Defined results: null and empty texts have no features and get the intercept. With no labels, or of one class only,
 the score is the share of label 1 (1/2 without any). Repeated rows are scored each for itself; extra columns are ignored.
-Memory: chunks of 1 MB."""
+Memory: chunks of 1 MB; on the driver the bags, of at most 2**bits features each."""
 
 from __future__ import annotations
 
@@ -20,29 +21,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
-from .textvec import char_grams, chunks, code_points, hashes, token_bounds, utf8
-
-
-#: Features that a word gets if it repeats the word before it, whatever the word: averages of words don't show that.
-AGAIN = 4
+from .common import fold, labelled_sample, written
+from .textvec import char_grams, chunks, code_points, hashes, mix, token_bounds, utf8
 
+PAIR = np.uint64(0xD6E8FEB86659FD93)
+FORM = np.uint64(0xA0761D6478BD642F)
 
 def features(column: pa.Array, bits: int, sizes: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of all words and n-grams, by chunk."""
+    """(row, bucket) of all words, word pairs, forms and n-grams, by chunk."""
     mask = np.uint64((1 << bits) - 1)
     for buf, first, rows, _ in chunks(*utf8(column)):
         starts, ends = token_bounds(buf, first)
         word, row = hashes(buf, starts, ends), rows[np.searchsorted(first, starts, "right") - 1]
         yield row, (word & mask).astype(np.int64)
-        again = row[1:][(word[1:] == word[:-1]) & (row[1:] == row[:-1])]
-        for k in range(AGAIN):
-            yield again, np.full(len(again), k, np.int64)
+        near = row[1:] == row[:-1]
+        yield row[1:][near], (mix(word[:-1][near] * PAIR + word[1:][near]) & mask).astype(np.int64)
+        yield from ((r, (h & mask).astype(np.int64)) for r, h in forms(row, word))
         chars, at = code_points(buf, first)
         for _, start, h in char_grams(chars, at, sizes):
             yield rows[np.searchsorted(at, start, "right") - 1], (h & mask).astype(np.int64)
 
 
+def forms(row: np.ndarray, word: np.ndarray, sizes: tuple[int, ...] = (2, 3, 4)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the word n-grams with names in the place of words: which of their words are equal, as "a b a"."""
+    for n in sizes:
+        m = max(len(word) - n + 1, 0)
+        code, whole = np.full(m, n, np.uint64), row[n - 1 :] == row[:m]
+        for i in range(1, n):
+            name = np.full(m, i, np.uint64)  # the first place of the same word
+            for j in range(i - 1, -1, -1):
+                name[word[i : i + m] == word[j : j + m]] = j
+            code = code * np.uint64(n + 1) + name
+        yield row[:m][whole], mix(code[whole] + FORM)
+
+
+def bag(text: str | None, bits: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(its features, the share of each in the text)."""
+    ks = [k for _, k in features(pa.array([text], pa.string()), bits, sizes)]
+    k, n = np.unique(np.concatenate(ks) if ks else np.zeros(0, np.int64), return_counts=True)
+    return k.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)
+
+
 def margins(column: pa.Array, gain: np.ndarray, intercept: float, bits: int, sizes: tuple[int, ...]) -> np.ndarray:
     total, n = np.zeros(len(column)), np.zeros(len(column))
     for rows, k in features(column, bits, sizes):
@@ -51,13 +70,8 @@ def margins(column: pa.Array, gain: np.ndarray, intercept: float, bits: int, siz
     return intercept + total / np.maximum(n, 1)
 
 
-def fit(texts: list[str], y: np.ndarray, bits: int, sizes: tuple[int, ...], dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
     """(contribution of each feature to the logit of class 1, intercept), by gradient steps one text at a time."""
-    bags = []
-    for t in texts:
-        ks = [k for _, k in features(pa.array([t], pa.string()), bits, sizes)]
-        k, n = np.unique(np.concatenate(ks) if ks else np.zeros(0, np.int64), return_counts=True)
-        bags.append((k.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     v = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
@@ -89,11 +103,20 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train_rows: int = 3000, bit
     if not n0 or not n1:
         return model
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
-    got = sorted(((r["doc_id"], r["text"] or "", r["y"]) for r in rows.toLocalIterator()))
-    y = np.array([r[2] for r in got], int)
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [bag(t.as_py(), bits, sizes) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([s for _, s in got], pa.list_(pa.float32()))], ["doc_id", "y", "k", "share"])
+
+    kept = written(rows.mapInArrow(bagged, "doc_id long, y int, k array<int>, share array<float>"), "bags").toArrow()
+    of = lambda name: [np.asarray(x.values) for x in kept.column(name)]
+    bags, ids, label = list(zip(of("k"), of("share"), strict=True)), kept.column("doc_id").to_pylist(), kept.column("y").to_pylist()
+    order = sorted(range(len(bags)), key=lambda i: (ids[i], label[i], bags[i][0].tobytes(), bags[i][1].tobytes()))
+    y = np.array([label[i] for i in order], int)
     if not len(y) or y.min() == y.max():
         return model
-    gain, intercept = fit([r[1] for r in got], y, bits, sizes, dim, epochs, rate, seed)
+    gain, intercept = fit([bags[i] for i in order], y, bits, dim, epochs, rate, seed)
     shift = np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum()))
     return model | {"gain": gain, "intercept": intercept + float(shift)}
 
