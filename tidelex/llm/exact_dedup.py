@@ -5,17 +5,20 @@ each comparing full contents: rows of one task combine first (partial aggregatio
 partial groups of one salt merge, and the winners of the salts merge by digest and content. So no task gets more of a
 group than one row for each task before it, however many copies there are; and two contents of one digest stay two.
 
-The row ids then join to the salted winners, by digest, salt and a second digest.
+The row ids then join to the salted winners by digest, salt and a second digest, and the winners, which have been told apart by content,
+show whether that is the same as joining by content: it is unless two contents share all three. Rows of such digests, if there
+are any, join by content. keep_first joins by these digests.
 
 Defined results: the smallest doc_id of a group stays; a null doc_id counts as larger than any other. Of rows with the
-same doc_id and equal texts exactly one is kept. Empty tables give empty results. Other columns pass through."""
+same doc_id and equal texts exactly one is kept, the first by raw text and then by the other columns, in whatever order the rows come.
+Empty tables give empty results. Other columns pass through."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, written
 
 LAST = (1 << 63) - 1
 
@@ -24,11 +27,17 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def digests(body: Column) -> tuple[Column, Column]:
+    """What contents are told apart by in joins."""
+    return F.unhex(F.sha2(body, 256)), F.xxhash64(body)
+
+
 def keyed(rows: DataFrame, salts: int) -> DataFrame:
-    """rows(id, text) -> (id, salt, digest, mark, body). mark: a second digest of the content, for joins."""
+    """rows(id, text) -> (id, salt, digest, mark, body)."""
     body = normalised(F.col("text"))
+    digest, mark = digests(F.col("body"))
     return rows.select(F.coalesce(F.col("id"), F.lit(LAST)).alias("id"), body.alias("body")).select(
-        "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), F.unhex(F.sha2(F.col("body"), 256)).alias("digest"), F.xxhash64("body").alias("mark"), "body"
+        "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), digest.alias("digest"), mark.alias("mark"), "body"
     )
 
 
@@ -36,20 +45,36 @@ def winners(rows: DataFrame) -> DataFrame:
     """keyed rows -> (digest, salt, mark, keep_id, group_size): a row for each content and salt that has it."""
     salted = rows.groupBy("digest", "salt", "body").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     merged = salted.groupBy("digest", "body").agg(F.min("least").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))  # each salt once at most
-    return merged.select("digest", F.explode("salts").alias("salt"), F.xxhash64("body").alias("mark"), "keep_id", "group_size")
+    return merged.select("digest", F.explode("salts").alias("salt"), digests(F.col("body"))[1].alias("mark"), "keep_id", "group_size")
 
 
 def annotate(rows: DataFrame, salts: int = 16) -> DataFrame:
     """rows(id, text) -> (digest, salt, mark, id, copies, keep_id, group_size): a row for each id and content, with how many rows it stands for."""
     base = keyed(rows, salts)
-    ids = base.groupBy("digest", "salt", "mark", "id").agg(F.count(F.lit(1)).alias("copies"))
-    return ids.join(winners(base), ["digest", "salt", "mark"])
+    won = written(winners(base), "winners")
+    key = ["digest", "salt", "mark"]
+    ids = base.groupBy(*key, "id").agg(F.count(F.lit(1)).alias("copies"))
+    clash = won.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    if clash.isEmpty():
+        return ids.join(won, key)
+    # Two contents share all digests: their rows go by content.
+    apart = written(clash.distinct(), "clash")
+    own = base.join(apart, "digest", "left_semi")
+    again = own.groupBy("digest", "body").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = own.groupBy(*key, "body", "id").agg(F.count(F.lit(1)).alias("copies")).join(again, ["digest", "body"]).select(*key, "id", "copies", "keep_id", "group_size")
+    return ids.join(apart, "digest", "left_anti").join(won, key).select(rest.columns).unionByName(rest)
+
+
+def copies_of(rows: DataFrame, step: int = 10_000) -> DataFrame:
+    """rows(copies, ...) each as often as it says, with i from 1, by arrays of bounded length."""
+    first = rows.withColumn("low", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(step).cast("long"))))
+    return first.withColumn("i", F.explode(F.sequence("low", F.least(F.col("low") + F.lit(step - 1), F.col("copies"))))).drop("low")
 
 
 def groups(docs: DataFrame, salts: int = 16) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    each = annotate(rows, salts).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    each = copies_of(annotate(rows, salts))
     back = lambda c: F.when(F.col(c) < LAST, F.col(c))
     return each.select(
         back("id").alias("doc_id"), back("keep_id").alias("keep_id"), "group_size",
@@ -65,7 +90,8 @@ def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     )
     each = annotate(base.select("id", "text"), salts)
     stay = each.where(F.col("id") == F.col("keep_id")).select("id", "digest", "mark")
-    tagged = base.withColumns({"digest": F.unhex(F.sha2(normalised(F.col("text")), 256)), "mark": F.xxhash64(normalised(F.col("text")))}).drop("text")
+    tagged = base.withColumns(dict(zip(("digest", "mark"), digests(normalised(F.col("text"))), strict=True))).drop("text")
     out = tagged.join(stay, ["id", "digest", "mark"])
-    one = Window.partitionBy("id", "digest", "mark").orderBy(*[F.hash(f"c{i}") for i, c in enumerate(own) if c != "text"])
+    order = [own.index("text"), *(i for i, (c, k) in enumerate(docs.dtypes) if c != "text" and not k.startswith(("map", "variant")))]
+    one = Window.partitionBy("id", "digest", "mark").orderBy(*[f"c{i}" for i in order], *[F.xxhash64(f"c{i}") for i in range(len(own))])
     return out.withColumn("i", F.row_number().over(one)).where("i = 1").select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
