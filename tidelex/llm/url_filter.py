@@ -11,6 +11,7 @@ Repeated rows are judged each for itself."""
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,23 +25,31 @@ from .textvec import char_grams, chunks, code_points, utf8
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
-#: Words and hosts that the default label table is made of.
-BAD_HOSTS = ("spam-farm", "cheap-pills", "casino-bonus", "free-money", "adult-cams", "win-prizes", "replica-watches", "payday-loans", "warez-keys", "click-bait")
-BAD_PATHS = ("buy-now", "casino", "pills", "xxx", "free-download", "crack", "loan", "jackpot", "viagra", "clickme")
-GOOD_HOSTS = ("library", "university", "news", "museum", "docs", "weather", "science", "history", "garden", "recipes")
-GOOD_PATHS = ("article", "guide", "about", "contact", "archive", "tutorial", "report", "index", "lesson", "story")
-
-
-def default_labels() -> list[tuple[str, int]]:
-    """A small labelled URL table: (url, 1 to block or 0 to allow), every host under several top-level domains."""
-    ends = ("com", "net", "org")
+#: Words that the default label table is made of.
+BAD = (
+    "adult", "bet", "bingo", "bonus", "buy-now", "cams", "cash", "casino", "cheap", "click-bait", "crack", "crypto-win", "dating", "diet", "discount", "escort", "fast-money", "free-bets", "free-money", "gambling",
+    "hot-girls", "instant-loan", "jackpot", "keygen", "loans", "lottery", "miracle", "nude", "payday", "pills", "poker", "porn", "prizes", "replica", "sexy", "slots", "spam", "torrent", "viagra", "warez", "watches", "win", "xxx",
+)
+GOOD = (
+    "about", "academy", "archive", "art", "article", "blog", "book", "city", "college", "contact", "courses", "culture", "docs", "energy", "family", "film", "forum", "garden", "guide", "health", "help", "history", "home", "index",
+    "journal", "kitchen", "lesson", "library", "local", "map", "market", "museum", "music", "news", "notes", "ocean", "paper", "park", "people", "photo", "press", "project", "recipes", "report", "school", "science", "sport",
+    "story", "studio", "team", "theatre", "travel", "tutorial", "university", "weather", "wiki", "world",
+)
+
+
+def default_labels(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
+    """A small labelled URL table, (url, 1 to block or 0 to allow), by a rule: bad hosts and paths join words of which one at least is bad, good
+    ones join good words or made-up names, so that unknown names weigh towards allow."""
+    r = random.Random(seed)
+    name = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") for _ in range(r.randint(2, 4))) + r.choice(["", "n", "s", "t"])
     rows = []
-    for k in range(10):
-        for j, end in enumerate(ends):
-            sub = ("", "www.", "blog.")[(k + j) % 3]
-            n = 37 * k + 11 * j
-            rows += [(f"http://{sub}{BAD_HOSTS[k]}.example.{end}/{BAD_PATHS[(k + 3 * j) % 10]}/{n}", 1), (f"https://{sub}{BAD_HOSTS[k]}.example.{end}/en/{n}", 1)]
-            rows += [(f"https://{sub}{GOOD_HOSTS[k]}.example.{end}/{GOOD_PATHS[(k + 3 * j) % 10]}/{n}", 0), (f"http://{sub}{GOOD_HOSTS[k]}.example.{end}/en/{n}", 0)]
+    for i in range(n):
+        bad = i % 2
+        words = [r.choice(BAD if bad and (k == 0 or r.random() < 0.5) else GOOD) if bad or r.random() < 0.6 else name() for k in range(2)]
+        r.shuffle(words)
+        host = r.choice(["", "", "www.", "m.", "blog."]) + r.choice(["-", "", "."]).join(words) + r.choice([".example", ".site", ""]) + r.choice([".com", ".net", ".org", ".info"])
+        path = "/".join([r.choice(["en", "de", "es", "fr"])] * r.randint(0, 1) + [r.choice(BAD if bad and r.random() < 0.3 else GOOD) if r.random() < 0.6 else str(r.randint(1, 9999))])
+        rows.append((f"http{r.choice(['', 's'])}://{host}/{path}" + r.choice(["", "/", ".html"]), bad))
     return rows
 
 
@@ -78,7 +87,7 @@ def margins(host: pa.Array, path: pa.Array, weights: np.ndarray, intercept: floa
     return intercept + total / np.sqrt(np.maximum(n, 1))
 
 
-def train(labels: list[tuple[str, str, int]], bits: int = 18, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 200, rate: float = 0.5, l2: float = 1e-3) -> dict:
+def train(labels: list[tuple[str, str, int]], bits: int = 18, sizes: tuple[int, ...] = (3, 4, 5), epochs: int = 600, rate: float = 2.0, l2: float = 1e-3) -> dict:
     """Full-batch gradient steps on labels (host, path, 1 to block)."""
     y = np.array([v for *_, v in labels], float)
     model = {"bits": bits, "sizes": sizes, "weights": np.zeros(1 << bits, np.float32), "intercept": 0.0}
@@ -99,12 +108,14 @@ def train(labels: list[tuple[str, str, int]], bits: int = 18, sizes: tuple[int,
     return model | {"weights": weights, "intercept": float(b)}
 
 
-def judge(pages: DataFrame, labels: list[tuple[str, int]] | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.6, **params) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, and the model's score (chance of block; computed for all rows)."""
+def judge(pages: DataFrame, labels: DataFrame | list[tuple[str, int]] | None = None, rules: tuple[tuple[str, str, str], ...] = RULES, threshold: float = 0.6, max_labels: int = 20_000, **params) -> DataFrame:
+    """Per page: page_id, host, path, rule, verdict, and the model's score (chance of block; computed for all rows). labels(url, y), a table or
+    rows, of which at most max_labels by a hash are learned from; the default table is made by a rule."""
     spark = pages.sparkSession
-    table = spark.createDataFrame(default_labels() if labels is None else labels, "url string, y int")
-    host, path = host_and_path(F.col("url"))
-    model = train([(r["h"], r["p"], r["y"]) for r in table.select(host.alias("h"), path.alias("p"), "y").collect()], **params)
+    table = labels if isinstance(labels, DataFrame) else spark.createDataFrame(default_labels() if labels is None else labels, "url string, y int")
+    host, path = host_and_path(F.col("url").cast("string"))
+    known = table.select(host.alias("h"), path.alias("p"), F.col("y").cast("int").alias("y")).where("y is not null")
+    model = train([(r["h"], r["p"], r["y"]) for r in known.orderBy(F.xxhash64("h", "p", "y"), "h", "p", "y").limit(max_labels).collect()], **params)
     shared = spark.sparkContext.broadcast(model)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
