@@ -2,7 +2,8 @@
 
 Writing: one record a page, of type response, or revisit for all but the page with the largest id of those with equal
 payloads of min_revisit bytes or more (equal by SHA-256 and length). A row of the sink is a record and the line
-separator is the records' own CRLF CRLF, so the files are plain WARC 1.1 on any file system that Spark writes to.
+separator is the records' own CRLF CRLF, so the files are plain WARC 1.1 on any file system that Spark writes to. A task goes on to
+another file when one has max_bytes.
 
 Reading: every file is walked from its start, as gzip members or as bare records. A record passes if its version
 line, header lines, Content-Length, digests and end are in order. A payload digest is of the block, or of the body where
@@ -14,7 +15,9 @@ records are read. Deflated data after an error can't be inflated.
 
 Defined results: null html is an empty payload; a null url has no target header; pages with the same id are written and read
 each for itself, and all rows with the largest id of equal payloads are responses; a null page_id counts as smaller than any other and is read back as null. An empty table gives no files
-and an empty result; files without any record give gaps only. Memory: one file, of which max_records bounds the records."""
+and an empty result; files without any record give gaps only. A target URI is
+read as it stands, but for those of the writer that it marks as escaped. Memory: one file, at most max_bytes and a record here; foreign
+archives have to be below the 2 GB that Spark gives as one value."""
 
 from __future__ import annotations
 
@@ -34,8 +37,8 @@ CRLF = b"\r\n"
 VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r?\n")
 GZIP = b"\x1f\x8b\x08"
 NAME = "urn:tidelex:page:"
-RECORDS = "path string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target string, payload binary"
-GAPS = "path string, offset long, length long, reason string"
+ESCAPED = "X-Tidelex-Target-Escaped"
+FOUND = "path string, offset long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, target string, payload binary, length long, reason string"
 
 
 def sha1_32(payload: bytes) -> str:
@@ -47,7 +50,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     name = "" if page_id is None else str(page_id)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{NAME}{name}>", "WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", url))
+        if re.search(r"[\x00-\x20]", url):  # a header can't hold these as they are
+            url = re.sub(r"[\x00-\x20%]", lambda m: f"%{ord(m[0]):02X}", url)
+            head.append(f"{ESCAPED}: 1")
+        head.append("WARC-Target-URI: " + url)
     head.append(f"WARC-Payload-Digest: sha1:{sha1_32(payload)}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{NAME}{refers_to}>", f"WARC-Payload-Length: {len(payload)}"]
@@ -205,8 +211,8 @@ def _id(name: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def write(pages: DataFrame, at: str, *, min_revisit: int = 0, max_records: int = 2000) -> None:
-    """pages(page_id, url, html) as WARC files in the folder at."""
+def write(pages: DataFrame, at: str, *, min_revisit: int = 0, max_bytes: int = 64 << 20) -> None:
+    """pages(page_id, url, html) as WARC files in folders, by number of a task's file, of the folder at."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     sized = rows.select("page_id", F.unhex(F.sha2("html", 256)).alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= min_revisit)
     least = F.coalesce("page_id", F.lit(-(1 << 63)))
@@ -217,56 +223,69 @@ def write(pages: DataFrame, at: str, *, min_revisit: int = 0, max_records: int =
     marked = rows.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.unhex(F.sha2("html", 256)) == F.col("again_sha")), "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, filled = 0, 0
         for b in batches:
             out, size = [], 0
             for p, u, h, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out.append(record(p, u, h.encode("utf-8"), f))
                 size += len(out[-1])
-                if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                filled += len(out[-1])
+                if size > 1 << 22 or filled >= max_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([file] * len(out), pa.int32())], ["value", "file"])
                     out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    file, filled = (file + 1, 0) if filled >= max_bytes else (file, filled)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([file] * len(out), pa.int32())], ["value", "file"])
 
-    lines = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max_records).text(at)
+    lines = marked.mapInArrow(run, "value binary, file int").select(F.col("value").cast("string").alias("value"), "file")
+    lines.write.option("lineSep", "\r\n\r\n").partitionBy("file").text(at)
 
 
-def read(spark: SparkSession, at: str, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(the records, the quarantined gaps) of all files in the folder at."""
-    files = spark.read.format("binaryFile").load(at).select("path", "content")
+def read(spark: SparkSession, at: str, payloads: bool = True) -> DataFrame:
+    """What is found in all files under the folder at, in one pass: records, and quarantined gaps, which have a reason."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content")
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("target", pa.string()), ("payload", pa.binary()), ("length", pa.int64()), ("reason", pa.string())])
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("target", pa.string()), ("payload", pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows: list[dict] = []
                 for kind, offset, x in salvage(content.as_py()):
-                    if kind == "record":
+                    row = {"path": path, "offset": offset}
+                    if kind == "gap":
+                        rows.append(row | {"length": x[0], "reason": x[1]})
+                    else:
                         f, body = x["fields"], x["payload"]
-                        rows.append({
-                            "path": path, "offset": offset, "page_id": _id(f.get("warc-record-id", "")), "record_type": f["warc-type"], "refers_to": _id(f.get("warc-refers-to", "")),
-                            "payload_bytes": int(f.get("warc-payload-length", len(body))), "payload_digest": f.get("warc-payload-digest", "sha1:" + sha1_32(body))[5:],
-                            "target": re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), f["warc-target-uri"]) if "warc-target-uri" in f else None, "payload": body if payloads else None,
+                        uri = f.get("warc-target-uri")
+                        if ESCAPED.lower() in f and uri is not None:
+                            uri = re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), uri)
+                        rows.append(row | {
+                            "page_id": _id(f.get("warc-record-id", "")), "record_type": f["warc-type"], "refers_to": _id(f.get("warc-refers-to", "")),
+                            "payload_bytes": int(f.get("warc-payload-length", len(body))), "payload_digest": f.get("warc-payload-digest", "sha1:" + sha1_32(body))[5:], "target": uri, "payload": body if payloads else None,
                         })
-                        if len(rows) >= 500:
-                            yield pa.RecordBatch.from_pylist(rows, schema)
-                            rows = []
+                    if len(rows) >= 500:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(p, o, *x) for p, c in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k, o, x in salvage(c.as_py()) if k == "gap"]
-            cols = list(zip(*found, strict=True)) or [(), (), (), ()]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "offset", "length", "reason"])
+    return files.mapInArrow(run, FOUND)
+
+
+def records(found: DataFrame) -> DataFrame:
+    return found.where("reason IS NULL").drop("length", "reason")
+
 
-    return files.mapInArrow(records, RECORDS), files.mapInArrow(gaps, GAPS)
+def gaps(found: DataFrame) -> DataFrame:
+    return found.where("reason IS NOT NULL").select("path", "offset", "length", "reason")
 
 
 def round_trip(pages: DataFrame, **params) -> DataFrame:
-    """Per page, as read back from archives in the shared folder: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Per page, as read back from archives in the shared folder: page_id, payload_bytes, payload_digest, record_type, refers_to. Raises
+    if the archives have gaps, or other than a record a page."""
     spark = pages.sparkSession
     at = new_dir(spark, "warc")
     write(pages, at, **params)
-    found, _ = read(spark, at, payloads=False)
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = written(read(spark, at, payloads=False).drop("payload", "target"), "found")
+    n, bad, why = found.agg(F.count_if(F.col("reason").isNull()), F.count("reason"), F.min(F.when(F.col("reason").isNotNull(), F.struct("path", "offset", "reason")))).first()
+    if bad or n != (pages_n := pages.count()):
+        raise RuntimeError(f"{at}: {n} records read back" + (f", {bad} gaps, as {why}" if bad else f" of {pages_n} pages"))
+    return records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
