@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing; counted as part of the llm folder."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, mixing; counted as part of the llm folder.
+
+Each stage gives rows of the table it gets, with the table's own columns whatever their names; the last one may repeat rows. Null and empty texts
+are clean, equal to each other, near each other, and without words, so that the mixture takes none of them; rows with
+null ids are rows of their own, which stay where no row with an id is equal or near; of ties and repeated rows one stays, the same one in any order of rows. An
+empty table gives an empty one. Without labels nothing is toxic, without benchmark items nothing leaks."""
 
 from __future__ import annotations
 
