@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import encode, sample, search, train, vocab
+from .plans import retrievers
 from .plans.base import Base
-from .plans.registry import guard_test_split
+from .plans.registry import PAIRS, guard_test_split
 from .sources import store
 
 WIN_METRICS = ("ndcg10", "r100", "mrr10")
+#: What a run has to be above, by pair.
+WINS = {"eng-eng": ["bm25"], "spa-spa": ["bm25"], "eng-spa": ["translate-bm25"], "spa-eng": ["translate-bm25"]}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,37 +35,55 @@ def parser() -> argparse.ArgumentParser:
     verb("vocab-prune", ("--threshold", {"type": int, "default": 50}))
     verb("vocab-subset", ("--concepts", {"required": True, "help": "a:b, or a comma list of numbers or ids"}))
     verb("scan")
-    verb("embed", ("--per-article", {"type": int, "default": 2}), ("--per-concept", {"type": int, "default": 20}))
-    verb("encode")
-    verb("train", ("--epochs", {"type": int, "default": 10}), ("--batch", {"type": int, "default": 0}), ("--run", {"default": "run"}))
-    verb("export", ("--heads", {"required": True}))
+    verb("embed", ("--per-article", {"type": int, "default": 2}), ("--per-concept", {"type": int, "default": 100}))
+    verb("encode", ("--query-lang", {"choices": ("en", "es"), "help": "encode the benchmark's items instead of the documents"}), ("--backbone-weight", {"type": float, "default": 1.0}))
+    verb("train", ("--epochs", {"type": int, "default": 10}), ("--epoch-size", {"type": int, "default": 512}), ("--batch", {"type": int, "default": 0}), ("--run", {"default": "run"}))
+    verb("export", ("--heads", {"required": True}), ("--report", {"help": "a report whose metrics go on the card"}))
+    verb("index", ("--retriever", {"default": "bm25"}), ("--lang", {"choices": ("en", "es"), "default": "en"}), ("--rebuild", {"action": "store_true"}))
     verb("splits-build", ("--seed", {"type": int, "default": 42}), ("--dev", {"type": int, "default": 10}), ("--val", {"type": int, "default": 10}), ("--force", {"action": "store_true"}))
-    verb("eval-run", ("--split", {"default": "validation"}), ("--k", {"type": int, "default": 100}), ("--allow-test", {"action": "store_true"}))
+    verb("eval-run", ("--retriever", {"default": "bm25"}), ("--pairs", {"nargs": "+", "choices": tuple(PAIRS), "default": list(PAIRS)}), ("--split", {"default": "validation"}), ("--k", {"type": int, "default": 100}), ("--allow-test", {"action": "store_true"}), ("--baselines", {}))
+    for name in ("baselines-lock", "baselines-check"):
+        verb(name, ("--report", {"required": True, "help": "a report's JSON file"}), ("--split", {"default": "validation"}))
     return p
 
 
+def encoded(b: Base, query_lang: str | None, weight: float):
+    if query_lang:
+        rows = b.query_tokens.withColumn("lang", F.lit(query_lang))
+    else:
+        rows = b.doc_tokens.join(b.docs.select(F.col("doc_id").alias("id"), "lang"), "id")
+    return encode.packed(encode.encode_sparse(rows, b.word_concept, bool(query_lang), weight).withColumnRenamed("value", "weight"))
+
+
 def main(argv: list[str], spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     b = Base(spark, a.data)
     if a.verb == "vocab-build":
         b.vocab.write.parquet(a.out)
+        b.word_concept.write.mode("overwrite").json(f"{a.out}_lookup")
     elif a.verb == "vocab-prune":
-        vocab.prune(b.vocab, b.counts, a.threshold).write.parquet(a.out)
+        store.replace_with_backup(vocab.prune(b.vocab, b.counts, a.threshold), a.out)
     elif a.verb == "vocab-subset":
         vocab.chosen(b.vocab, a.concepts).write.parquet(a.out)
     elif a.verb == "scan":
         b.counts.write.parquet(a.out)
     elif a.verb == "embed":
-        store.upsert(spark, a.out, sample.points(sample.capped(b.hits, a.per_article, a.per_concept)), 1)
+        rows, seen = sample.counted(sample.points(sample.capped(b.hits, a.per_article, a.per_concept)), "rows")
+        store.upsert(spark, a.out, rows, 1)
+        print(f"{seen.get['rows']} rows stored")
     elif a.verb == "encode":
-        encode.packed(encode.backbone_doc(b.doc_tokens).withColumnRenamed("token", "idx")).write.parquet(a.out)
+        encoded(b, a.query_lang, a.backbone_weight).write.parquet(a.out)
     elif a.verb == "train":
         known = store.read_or_none(spark, a.out)
-        rows = b.vec if known is None else b.vec.join(known.select("concept_id"), "concept_id", "left_anti")
-        store.save_heads(a.out, train.train_heads(rows, train.Training(epochs=a.epochs)), a.run, a.batch)
+        rows = b.vec if known is None else store.untrained(b.vec, known)
+        store.save_heads(a.out, train.train_heads(rows, train.Training(epochs=a.epochs, epoch_size=a.epoch_size)), a.run, a.batch)
     elif a.verb == "export":
-        store.export_model(a.out, b.vocab, store.merged_heads(spark, a.heads), {"outputs": 8}, "# Concept heads\n")
+        report = json.loads(store.Files(a.report).read(a.report)) if a.report else {"results": {}}
+        rows = [{"pair": p, "metric": m, "value": v} for p, ms in report["results"].items() for m, v in ms.items()]
+        store.export_model(a.out, b.vocab, store.merged_heads(spark, a.heads), {"outputs": 8, "index_base": 8}, "# Concept heads\n", rows)
+    elif a.verb == "index":
+        print(retrievers.retrievers.get(a.retriever).index(b, a.out, a.retriever, a.lang, a.rebuild))
     elif a.verb == "splits-build":
         ids = search.hash_split(b.table("benchmark").selectExpr("item_id AS qid", "'all' AS pair"), a.dev, a.val, str(a.seed)).orderBy("split", "ord").collect()
         names = sorted({r["split"] for r in ids})
@@ -72,10 +95,27 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             print(e, file=sys.stderr)
             return 2
         q = search.hash_split(b.table("benchmark").selectExpr("item_id AS qid", "'all' AS pair"), 10, 10, "42").where(f"split = '{a.split}'").select("qid")
-        got = search.summary(search.metrics(b.ranked_docs(a.k), b.gold, q)).first()
-        store.write_report(a.out, "bm25", store.revision()[0], {"all": {m: got[f"{m}_mean"] for m in WIN_METRICS}})
+        got = {r["pair"]: r for r in retrievers.evaluate(b, (a.retriever,), tuple(a.pairs), a.k, only=q).collect()}
+        results = {p: {m: r[f"{m}_mean"] for m in WIN_METRICS} for p, r in sorted(got.items())}
+        locked = {n: {p: {m: v["value"] for m, v in x.get(a.split, {}).items()} for p, x in ps.items()} for n, ps in store.baselines(a.baselines).items()} if a.baselines else None
+        print(store.write_report(a.out, a.retriever, store.revision()[0], results, locked))
         if a.split == "test":
-            store.audit(f"{a.out}/audit.tsv", "bm25", "all", "test")
+            for pair in results:
+                store.audit(f"{a.out}/audit.tsv", a.retriever, pair, "test")
+    elif a.verb in ("baselines-lock", "baselines-check"):
+        report = json.loads(store.Files(a.report).read(a.report))
+        if a.verb == "baselines-check":
+            bad = store.check_baselines(a.out, report["results"], WINS, a.split)
+            print("\n".join(bad or ["all pairs hold"]), file=sys.stderr if bad else sys.stdout)
+            return 1 if bad else 0
+        sha, dirty = store.revision()
+        try:
+            for pair, ms in report["results"].items():
+                for metric, value in ms.items():
+                    store.lock_baseline(a.out, report["retriever"], pair, a.split, metric, value, a.report, sha, dirty, report["git_sha"])
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
     return 0
 
 

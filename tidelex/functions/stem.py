@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType
 
 V = "aeiouy"
 #: Fixed values of the public Porter2 definition.
@@ -89,7 +90,7 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@arrow_udf("array<string>")
+@arrow_udf(ArrayType(StringType()))
 def stems_of(tokens: pa.Array) -> pa.Array:
     """The stem of each token, found once for each distinct token of a batch."""
     flat = tokens.flatten().dictionary_encode()

@@ -202,7 +202,7 @@ def _in_bundles(e: DataFrame, n: int, bundle_edges: int, gamma: float, total: fl
     return e.groupBy(F.pmod(F.xxhash64("component", "own"), F.lit(bundles))).applyInPandas(run, PARTS)
 
 
-def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 30, levels: int = 10) -> DataFrame:
+def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 12, levels: int = 6) -> DataFrame:
     """links(u, v, weight) -> (node, part): Louvain by joins, for graphs that don't fit a task. In a round half of the nodes, by a hash, move to the community
     of the most gain, all at once; when two rounds change nothing, communities become the nodes of the next level."""
     place = cut(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("part", F.col("node")))

@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import row_uuid, trim_around
@@ -123,3 +123,9 @@ def coupled(hits: DataFrame, per_concept: int, per_word: int | None = None) -> D
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The rows, and how many of them pass by, which is known once they are written."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen

@@ -694,7 +694,7 @@ def concept_plane(b: Base) -> DataFrame:
     return train.plane(b.vec)
 
 
-@query(f"""SELECT doc_id, token, gaps + tokens - length(token) AS start, gaps + tokens AS stop FROM (
+@query(f"""SELECT doc_id, token, (gaps + tokens - length(token))::BIGINT AS start, (gaps + tokens)::BIGINT AS stop FROM (
   SELECT doc_id, t[i] AS token, sum(length(g[i])) OVER w AS gaps, sum(length(t[i])) OVER w AS tokens FROM (
     SELECT doc_id, regexp_extract_all(lower(text), '{TOKEN}') AS t, regexp_split_to_array(lower(text), '{TOKEN}') AS g FROM art), unnest(range(1, len(t) + 1)) u(i) WINDOW w AS (PARTITION BY doc_id ORDER BY i))""", "art")
 def token_positions(b: Base) -> DataFrame:
