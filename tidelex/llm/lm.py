@@ -18,8 +18,8 @@ Scoring. A second run over the same blocks joins the answers. A token's probabil
 document becomes a histogram of them, which is scored once the lambdas are known.
 
 Learning rows: crc32 of the id modulo 7 is not 2. Defined results: null and empty texts are the end token only; with no
-learning rows no word is known (N = V = 0) and both scores are 0. Repeated rows are scored, and counted, each for itself. The
-rows of docs must come in a fixed order (files do); extra columns are ignored. Memory: a block, or a shard's blobs and slice."""
+learning rows no word is known (N = V = 0) and both scores are 0. Repeated rows are scored, and counted, each for itself. Rows are numbered
+and written first, so that both runs see the same; extra columns are ignored. Memory: a block, or a shard's blobs and slice."""
 
 from __future__ import annotations
 
@@ -136,7 +136,7 @@ def mapper(shards: int, block_tokens: int, ask: bool):
             learn, dev = np.array(held["learn"], bool), np.array(held["dev"], bool)
             row, h, before = (np.concatenate(held[k]) for k in ("row", "h", "before"))
             base = docs[0]
-            place = np.searchsorted(docs - base, row - base)
+            place = np.cumsum(np.r_[False, row[1:] != row[:-1]])  # rows come one after the other, though not by number
             block = int(base) * 4096 + int(sum(held["cuts"])) % 4096
             out = _asked(block, h, before, learn[place], dev[place], shards) if ask else _kept(block, docs, held["ids"], ~learn, learn & dev, place, h, before)
             for x in out:
@@ -195,9 +195,11 @@ def build_slice(grams: list[tuple[np.ndarray, np.ndarray]], bits_per_entry: floa
     for v, (h, c), m in zip(levels, grams, least, strict=True):
         keep = c >= m
         h, v = h[keep], v[keep]
-        for level in range(1, int(v.max(initial=0)) + 1):
-            for at in slots(h[v >= level], level, size, probes):
-                on[at] = True
+        for i in range(0, len(h), 1 << 18):
+            own, top = h[i : i + (1 << 18)], v[i : i + (1 << 18)]
+            for level in range(1, int(top.max(initial=0)) + 1):
+                for at in slots(own[top >= level], level, size, probes):
+                    on[at] = True
     return np.packbits(on), least
 
 
@@ -328,8 +330,10 @@ class Model:
         # Tokens left out of the filter can't be told from unseen ones: they share their mass evenly.
         self.missing = (self.unseen + (1 - self.unseen) * float(add("token", 3)) / max(self.n, 1)) / (1 + int(add("token", 2)))
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """The level of each n-gram: probes go on level after level while all its bits are set."""
+        if len(h) > step:
+            return np.concatenate([self.levels(h[i : i + step], step) for i in range(0, len(h), step)])
         s = shard_of(h, self.shards)
         bits, offset = self.bits[s], self.offset[s]
         out, live = np.zeros(len(h), np.int64), np.arange(len(h))
@@ -365,13 +369,14 @@ def learn_lambdas(hist: np.ndarray, rounds: int = 50) -> np.ndarray:
     return np.clip(lam, 1e-4, 0.99)
 
 
-def scored(docs: DataFrame, *, folds: int = 7, shards: int | None = None, shard_bytes: int = 32 << 20, block_tokens: int = 500_000, pair_min: int = 1, bits_per_entry: float = 9.0, probes: int = 5, dev_part: int = 40) -> DataFrame:
+def scored(docs: DataFrame, *, folds: int = 7, shards: int | None = None, shard_bytes: int = 16 << 20, block_tokens: int = 300_000, pair_min: int = 1, bits_per_entry: float = 9.0, probes: int = 5, dev_part: int = 40) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     held = fold(F.col("doc_id"), folds) == 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", (~held).alias("learn"), (F.pmod(F.xxhash64("doc_id", F.lit("dev")), F.lit(dev_part)) == 0).alias("dev"), "text"
     )
+    rows = written(rows, "rows")  # read twice, each row with its number
     if shards is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         shards = max(12, -(-size // shard_bytes))
