@@ -36,6 +36,8 @@ class Files:
         jvm = spark.sparkContext._jvm
         self.of = jvm.org.apache.hadoop.fs.Path
         self.fs = self.of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if hasattr(self.fs, "getRawFileSystem") and self.fs.getScheme() == "file":  # its checksum files would go stale when a file is edited by hand
+            self.fs = self.fs.getRawFileSystem()
         self.io = jvm.org.apache.commons.io.IOUtils
 
     def exists(self, path: str) -> bool:
