@@ -100,7 +100,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         locked = {n: {p: {m: v["value"] for m, v in x.get(a.split, {}).items()} for p, x in ps.items()} for n, ps in store.baselines(a.baselines).items()} if a.baselines else None
         print(store.write_report(a.out, a.retriever, store.revision()[0], results, locked))
         if a.split == "test":
-            for pair in results:
+            for pair in a.pairs:  # looked at, whether or not it has queries
                 store.audit(f"{a.out}/audit.tsv", a.retriever, pair, "test")
     elif a.verb in ("baselines-lock", "baselines-check"):
         report = json.loads(store.Files(a.report).read(a.report))

@@ -47,7 +47,7 @@ class EmbeddingProvider(Protocol):
 
 
 class HashedGrams:
-    """A stand-in for a text encoder: signed hashing of character trigrams, to unit length."""
+    """A stand-in for a text encoder: signed hashing of character trigrams, with marks at both ends, to unit length."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -61,7 +61,7 @@ class HashedGrams:
 
             out = []
             for t in text:
-                v = np.zeros(dim, np.float32)
+                v, t = np.zeros(dim, np.float32), f"<{t}>"
                 for i in range(max(len(t) - 2, 0)):
                     h = zlib.crc32(t[i : i + 3].encode())
                     v[h % dim] += 1 - 2 * (h >> 31)
