@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, lm, mixing, quality, simhash, toxicity, url_filter, warc
+from . import chat, codes, decontam, exact_dedup, lm, mixing, phrases, quality, rules, simhash, toxicity, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.by_label(*codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_simhash, op5_exact_dedup, op6_decontamination, op7_lm, op8_url_filter, op9_quality, op10_chat)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_simhash, op5_exact_dedup, op6_decontamination, op7_lm, op8_url_filter, op9_quality, op10_chat, op11_codes, op12_rules, op13_phrases)}
 
 
 _MIXING = r"""
@@ -129,5 +142,45 @@ FROM p GROUP BY conv_id
 """
 
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds as tables one after the other: (part, entry, c) codebooks and the vectors' nearest entries."""
+    t = [
+        """k AS MATERIALIZED (SELECT vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"s AS MATERIALIZED (SELECT vec_id, label, p, q[p * len(q) // {parts} + 1 : (p + 1) * len(q) // {parts}] AS x FROM k, range({parts}) r(p))",
+        f"b0 AS MATERIALIZED (SELECT p, dense_rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM s WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))",
+    ]
+    for i in range(rounds + 1):
+        near = "list_sum([(x[j] - c[j]) * (x[j] - c[j]) FOR j IN range(1, len(x) + 1)])::BIGINT"
+        t.append(f"a{i} AS MATERIALIZED (SELECT vec_id, label, p, x, min((d, e)) AS m FROM (SELECT vec_id, label, s.p, x, e, {near} AS d FROM s JOIN b{i} b ON s.p = b.p) GROUP BY ALL)")
+        if i < rounds:
+            mean = "SELECT p, m[2] AS e, j, sum(x[j])::HUGEINT AS t, count(*)::HUGEINT AS n FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS j FROM a{0}) GROUP BY ALL"
+            floor = "CASE WHEN t < 0 THEN -((-t + n - 1) // n) ELSE t // n END"
+            t.append(f"b{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(y.c, b.c) AS c FROM b{i} b LEFT JOIN (SELECT p, e, list(({floor})::BIGINT ORDER BY j) AS c FROM ({mean.format(i)}) GROUP BY p, e) y ON b.p = y.p AND b.e = y.e)")
+    return "WITH " + ", ".join(t) + f""", o AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m[2]), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM o"""
+
+
+_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?
+-]')), '[^ 	]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 4) r(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE k > 1 AND n >= 10),
+x AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT x.lang, x.phrase, x.a, cut, fl.n AS l, fr.n AS r, (1000000::HUGEINT * x.a * x.a // (fl.n::HUGEINT * fr.n))::BIGINT AS score
+      FROM x JOIN f fl ON fl.lang = x.lang AND fl.phrase = lp JOIN f fr ON fr.lang = x.lang AND fr.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, t.n, score
+FROM b JOIN t ON t.lang = b.lang LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE longer IS NULL OR 100 * longer < 50 * b.a QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIXING, "op5_exact_dedup": _DEDUP, "op10_chat": _CHAT}
+    return {"op3_mixing": _MIXING, "op5_exact_dedup": _DEDUP, "op10_chat": _CHAT, "op11_codes": _codes_sql(), "op13_phrases": _PHRASES}
