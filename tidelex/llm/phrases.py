@@ -2,11 +2,11 @@
 
 Words and phrases of two and three words are counted by language in three steps. (1) A sketch: every one of them adds to a cell that its hash
 names, so a cell's sum is never below the count of anything in it. Shards of texts send their cells, cut off at the least count, by ranges of
-cells; each range gives one bit a cell: whether its sum reaches the least count. (2) Candidates: in each shard, those whose bit is set are compiled
+cells; each range gives one bit a cell: whether its sum reaches the least count. (2) Candidates: in each shard, those whose own bit and whose parts' bits are all set (no phrase is more frequent than its parts) are compiled
 into an automaton, guarded by a space on both sides, which scans the shard's texts and counts all matches, overlapping ones too.
 (3) Counts of all shards are summed, exact for every candidate, and only then the thresholds are applied, on tables.
 
-The sketch has 2**bits cells whatever the input, 16 MB as bits, which is what workers get. More text fills it and lets more candidates through that
+The sketch has 2**bits cells whatever the input, 32 MB as bits, which is what workers get. More text fills it and lets more candidates through that
 don't reach the least count; they cost scanning and go when counts are summed, so the result doesn't depend on its size.
 
 Defined results: null and empty texts have no words; a null language is `und` and counted together with a language of that name. Repeated rows
@@ -58,16 +58,16 @@ def words(body: bytes, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             at += int(first[-carried]) - 1
 
 
-def phrases(body: bytes, salt: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, first byte, byte after, hash) of all words and phrases, by part and length."""
+def phrases(body: bytes, salt: int, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, words, first byte, byte after, hash, whether it is new) by part and length: an entry for every run of that many words of the part. New are
+    the runs within a piece that no part before had."""
     for buf, first, last, carried in words(body, limit):
         for k in range(1, LONGEST + 1):
-            a, b = first[: len(first) - k + 1], last[k - 1 :]
+            a, b = first[: max(len(first) - k + 1, 0)], last[k - 1 :]
             new = np.arange(len(a)) + k > carried
             for i in range(k - 1):  # in one piece: a single space between the words
                 new &= first[i + 1 : i + 1 + len(a)] == last[i : i + len(a)] + 1
-            a, b = a[new], b[new]
-            yield buf, a, b, mix(hashes(buf, a, b) + np.uint64(salt))
+            yield buf, k, a, b, mix(hashes(buf, a, b) + np.uint64(salt)), new
 
 
 def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tuple[str, bytes]]:
@@ -91,7 +91,7 @@ def sketch(texts: DataFrame, least: int, bits: int, shard_bytes: int) -> list[by
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, body in shards(batches, shard_bytes):
-            cells = np.concatenate([h >> np.uint64(64 - bits) for *_, h in phrases(body, hash_text(lang))])
+            cells = np.concatenate([h[new] >> np.uint64(64 - bits) for *_, h, new in phrases(body, hash_text(lang))])
             cell, n = np.unique(cells.astype(np.uint32), return_counts=True)
             cut = np.searchsorted(cell, np.arange(RANGES + 1) * per_range)
             n = np.minimum(n, least).astype(np.uint8 if least < 256 else np.uint32)
@@ -127,7 +127,7 @@ def matches(names: Iterable[str], body: str) -> Counter[str]:
     return Counter(map(itemgetter(1), automaton.iter(body)))
 
 
-def count(texts: DataFrame, least: int, bits: int = 27, shard_bytes: int = 8 << 20) -> DataFrame:
+def count(texts: DataFrame, least: int, bits: int = 28, shard_bytes: int = 8 << 20) -> DataFrame:
     """texts(lang, text) without nulls -> (lang, phrase, words, n): exact counts of all words and phrases that may reach least, and of some others;
     for each language a row of no words with the number of all its words."""
     shared = texts.sparkSession.sparkContext.broadcast(np.frombuffer(b"".join(sketch(texts, least, bits, shard_bytes)), np.uint8))
@@ -135,21 +135,24 @@ def count(texts: DataFrame, least: int, bits: int = 27, shard_bytes: int = 8 <<
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for lang, body in shards(batches, shard_bytes):
-            length: dict[str, int] = {}
+            names: set[str] = set()
             total = 0
-            for k, (buf, a, b, h) in enumerate(phrases(body, hash_text(lang))):
-                k = k % LONGEST + 1
-                total += len(a) if k == 1 else 0
+            for buf, k, a, b, h, new in phrases(body, hash_text(lang)):
+                total += int(new.sum()) if k == 1 else 0
                 cell = h >> np.uint64(64 - bits)
-                at = np.flatnonzero((marks[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1)
+                on = (marks[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+                bound = on if k == 1 else on & bound[: len(on)] & bound[1 : len(on) + 1]  # and both parts that are a word shorter
+                at = np.flatnonzero(bound & new)
                 at = at[np.unique(h[at], return_index=True)[1]]
                 raw = buf.tobytes()
-                length.update((raw[i:j].decode(), k) for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True))
-            found = matches(length, body.decode()) if length else {}
-            phrase, n = [*found, ""], [*found.values(), total]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(phrase), pa.array([length.get(x, 0) for x in phrase], pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "words", "n"])
+                names.update(raw[i:j].decode() for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True))
+            found = matches(names, body.decode()) if names else {}
+            n = pa.array([*found.values(), total], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([*found, ""]), n], ["lang", "phrase", "n"])
 
-    return texts.mapInArrow(scan, COUNTED).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    n = texts.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words_of = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
+    return n.select("lang", "phrase", words_of.alias("words"), "n")
 
 
 def scores(counted: DataFrame, least: int, inside_pct: int) -> DataFrame:
@@ -177,7 +180,7 @@ def top(scored: DataFrame, most: int, parts: int = 64) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("part")
 
 
-def mine(docs: DataFrame, least: int = 10, inside_pct: int = 50, most: int = 2000, bits: int = 27, shard_bytes: int = 8 << 20) -> DataFrame:
+def mine(docs: DataFrame, least: int = 10, inside_pct: int = 50, most: int = 2000, bits: int = 28, shard_bytes: int = 8 << 20) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's collocations. a, l and r are the counts of the phrase and of the two sides of its weakest cut."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = written(count(texts, least, bits, shard_bytes), "phrases")
