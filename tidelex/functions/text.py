@@ -38,11 +38,6 @@ def row_uuid(lang: Column, focal: Column, sentence: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def shift_spans(spans: Column, by: Column) -> Column:
-    """Spans of a text, moved to where they are after a prefix of that length."""
-    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
-
-
 def trim_around(sentence: Column, targets: Column, window: int = 5) -> Column:
     """The words up to window places from the first target word (compared lower-cased, without outer ASCII punctuation)."""
     parts = F.split(F.regexp_replace(sentence, r"^\s+|\s+$", ""), r"\s+")

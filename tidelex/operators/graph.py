@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,21 +19,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links(u, v) -> (node, component): the least node of each connected component, by minimum labels with a jump
-    along labels in each round, until none changes."""
-    both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    both = cut(both)
-    label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node")
-    label = cut(label)
-    while True:
-        near = both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = label.join(near, label.node == near.u).select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jump = step.join(label.select(F.col("node").alias("next"), F.col("label").alias("far")), "next").select("node", F.least("next", "far").alias("label"), "old")
-        jump = cut(jump)
-        if jump.where("label <> old").isEmpty():
-            return jump.select("node", F.col("label").alias("component"))
-        label = jump.select("node", "label")
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition -> (node, least node that the partition's edges lead to)."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        top = x
+        while (y := up.setdefault(top, top)) != top:
+            top = y
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, z = root(u), root(v)
+            if a != z:
+                up[max(a, z)] = min(a, z)
+    stars = [(x, r) for x in list(up) if (r := root(x)) != x]
+    for i in range(0, len(stars), 10_000):
+        part = stars[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.string()) for k in (0, 1)], ["u", "v"])
+
+
+def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """links(u, v) -> (node, component): the least node of each connected component. Each partition first draws its own edges together into stars; then, round by
+    round, the larger neighbours of a node go to the least node around it, and so do the others, until all edges form stars around
+    least nodes. Edges don't grow in number, and paths about halve in a round. Loops and nulls have no part in it."""
+    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    e = cut(e.mapInArrow(_local_stars, "u string, v string").distinct())
+    seen = None
+    for _ in range(most_rounds):
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        far = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        near = far.join(far.groupBy("u").agg(F.min("v").alias("m")), "u")
+        e = cut(near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def modularity(links: DataFrame, parts: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -81,45 +110,91 @@ def held_out(links: DataFrame, tenths: int = 1) -> DataFrame:
     return links.withColumn("held", h % 10 < tenths)
 
 
+def _moves(near: list[dict[int, float]], degree: np.ndarray, own: np.ndarray, gamma: float, total: float, rng: np.random.Generator) -> bool:
+    """Moves nodes, in place and in a random order, to the neighbouring community of the most gain, or to one of their own, until no move improves modularity;
+    whether any did. Gains are in units of edge weight; what differs beyond nine places of the total weight's share counts as equal."""
+    n = len(own)
+    held = np.bincount(own, degree, n)
+    size = np.bincount(own, minlength=n)
+    empty = np.flatnonzero(size == 0).tolist()
+    moved_ever = moved = False
+    while True:
+        moved = False
+        for i in rng.permutation(n).tolist():
+            here = own[i]
+            held[here] -= degree[i]
+            to: dict[int, float] = {here: 0.0}
+            for j, w in near[i].items():
+                to[own[j]] = to.get(own[j], 0.0) + w
+            pull = gamma * degree[i] / (2 * total)
+            gain = {c: k - pull * held[c] for c, k in to.items()}
+            best = max(gain, key=lambda c: (round(gain[c], 9), c == here, -c))
+            if round(gain[best], 9) < 0 and size[here] > 1:
+                best = empty.pop()
+            held[best] += degree[i]
+            if best != here:
+                own[i], moved, moved_ever = best, True, True
+                size[here] -= 1
+                size[best] += 1
+                if not size[here]:
+                    empty.append(int(here))
+        if not moved:
+            return moved_ever
+
+
+def _adjacent(n: int, ends: np.ndarray, weight: np.ndarray) -> list[dict[int, float]]:
+    near: list[dict[int, float]] = [{} for _ in range(n)]
+    for (a, b), w in zip(ends.tolist(), weight.tolist(), strict=True):
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    return near
+
+
 def louvain(n: int, ends: np.ndarray, weight: np.ndarray, gamma: float, total: float, seed: int) -> np.ndarray:
-    """Communities of nodes 0..n-1 that no single move improves, merged level by level; total is the weight of all
-    edges of the whole graph, so that components can be done one by one."""
-    label = np.arange(n)
+    """Communities of nodes 0..n-1, merged level by level and then refined node by node, again and again, until neither merging nor moving any single node
+    improves modularity; total is the weight of all edges of the whole graph, so that components can be done one by one."""
     rng = np.random.default_rng(seed)
-    loops = np.zeros(n)
+    near = _adjacent(n, ends, weight)
+    degree = np.array([sum(x.values()) for x in near])
+    label = np.arange(n)
     while True:
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        for (a, b), w in zip(ends.tolist(), weight.tolist(), strict=True):
-            near[a][b] = near[a].get(b, 0.0) + w
-            near[b][a] = near[b].get(a, 0.0) + w
-        degree = np.array([sum(x.values()) for x in near]) + 2 * loops
-        own, held = np.arange(n), degree.copy()
-        moved_ever = moved = True
-        moved_ever = False
-        while moved:
-            moved = False
-            for i in rng.permutation(n).tolist():
-                here = own[i]
-                held[here] -= degree[i]
-                to: dict[int, float] = {here: 0.0}
-                for j, w in near[i].items():
-                    to[own[j]] = to.get(own[j], 0.0) + w
-                gain = {c: k / total - gamma * degree[i] * held[c] / (2 * total * total) for c, k in to.items()}
-                best = max(gain, key=lambda c: (round(gain[c], 12), c == here, -c))
-                held[best] += degree[i]
-                if best != here:
-                    own[i], moved, moved_ever = best, True, True
-        names, own = np.unique(own, return_inverse=True)
-        label = own[label]
-        if not moved_ever or len(names) == n:
-            return label
-        a, b = own[ends[:, 0]], own[ends[:, 1]]
-        loops = np.bincount(own, loops, len(names)) + np.bincount(a[a == b], weight[a == b], len(names))
-        pair = np.c_[np.minimum(a, b), np.maximum(a, b)][a != b]
-        if not len(pair):
+        moved = _moves(near, degree, label, gamma, total, rng)
+        while True:
+            names, at = np.unique(label, return_inverse=True)
+            a, b = at[ends[:, 0]], at[ends[:, 1]]
+            pair = np.c_[np.minimum(a, b), np.maximum(a, b)][a != b]
+            if not len(pair) or len(names) == 1:
+                break
+            merged, place = np.unique(pair, axis=0, return_inverse=True)
+            up = np.arange(len(names))
+            if not _moves(_adjacent(len(names), merged, np.bincount(place.ravel(), weight[a != b])), np.bincount(at, degree), up, gamma, total, rng):
+                break
+            label, moved = up[at], True
+        label = np.unique(label, return_inverse=True)[1]
+        if not moved:
             return label
-        ends, at = np.unique(pair, axis=0, return_inverse=True)
-        weight, n = np.bincount(at.ravel(), weight[a != b]), len(names)
+
+
+def improving(links: DataFrame, parts: DataFrame, gamma: float = 1.5) -> DataFrame:
+    """(node, part, better, gain): nodes that a single move, to a neighbour's part or to one of their own (better is null), would improve modularity by, in units of
+    edge weight. None, for a partition that is as good as single moves make it."""
+    e = links.select("u", "v", F.col("weight").cast("double").alias("w")).where("u <> v")
+    both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    total = F.lit(float(e.agg(F.sum("w")).first()[0] or 1.0))
+    p = parts.select("node", F.col("component").alias("part"))
+    degree = both.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).join(p, "node")
+    held = degree.groupBy("part").agg(F.sum("k").alias("held"))
+    near = both.join(p.select(F.col("node").alias("v"), F.col("part").alias("to")), "v").groupBy(F.col("u").alias("node"), "to").agg(F.sum("w").alias("w"))
+    alone = degree.select("node", F.lit(None).cast("string").alias("to"), F.lit(0.0).alias("w"))
+    stay = degree.select("node", F.col("part").alias("to"), F.lit(0.0).alias("w"))
+    options = near.unionByName(stay).groupBy("node", "to").agg(F.sum("w").alias("w")).unionByName(alone).join(degree, "node")
+    options = options.join(held.withColumnRenamed("part", "to"), "to", "left")
+    others = F.coalesce("held", F.lit(0.0)) - F.when(F.col("to") == F.col("part"), F.col("k")).otherwise(F.lit(0.0))
+    gain = F.col("w") - F.lit(gamma) * F.col("k") * others / (F.lit(2.0) * total)
+    g = options.withColumn("gain", gain)
+    own = g.where(F.col("to") == F.col("part")).select("node", F.col("gain").alias("now"))
+    best = g.groupBy("node").agg(F.max("gain").alias("gain"), F.max_by("to", "gain").alias("better"), F.first("part").alias("part"))
+    return best.join(own, "node").where(F.col("gain") - F.col("now") > 1e-6).select("node", "part", "better", (F.col("gain") - F.col("now")).alias("gain"))
 
 
 def communities(ends: np.ndarray, weight: np.ndarray, n: int, gamma: float, total: float, most: int, schedule: Callable[[float], float], seed: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,9 +277,9 @@ def _in_bundles(e: DataFrame, n: int, bundle_edges: int, gamma: float, total: fl
     return e.groupBy(F.pmod(F.xxhash64("component", "own"), F.lit(bundles))).applyInPandas(run, PARTS)
 
 
-def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 12, levels: int = 6) -> DataFrame:
+def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 100, levels: int = 30) -> DataFrame:
     """links(u, v, weight) -> (node, part): Louvain by joins, for graphs that don't fit a task. In a round half of the nodes, by a hash, move to the community
-    of the most gain, all at once; when two rounds change nothing, communities become the nodes of the next level."""
+    of the most gain, all at once; when two rounds change nothing, communities become the nodes of the next level. Raises when rounds or levels run out."""
     place = cut(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("part", F.col("node")))
     e = cut(links.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("weight").alias("w")))
     for _ in range(levels):
@@ -228,12 +303,14 @@ def moved_parts(links: DataFrame, gamma: float, total: float, rounds: int = 12,
             quiet = 0 if moved else quiet + 1
             if quiet == 2:
                 break
+        else:
+            raise RuntimeError(f"communities didn't settle in {rounds} rounds")
         if not moved_ever:
-            break
+            return place
         place = cut(place.join(own.select(F.col("u").alias("part"), "c"), "part").select("node", F.col("c").alias("part")))
         p = lambda c: own.select(F.col("u").alias(c), F.col("c").alias(f"c{c}"))
         e = cut(e.join(p("u"), "u").join(p("v"), "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")))
-    return place
+    raise RuntimeError(f"communities didn't settle in {levels} levels")
 
 
 def compare(links: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
@@ -258,6 +335,11 @@ def _in_a_row(name: str, *ones: DataFrame) -> DataFrame:
     return out
 
 
+def side_by_side(*ones: DataFrame) -> DataFrame:
+    """Tables of one row each as one row."""
+    return _in_a_row("", *ones).drop("name")
+
+
 def tally(rows: DataFrame, by: str) -> DataFrame:
     """rows(name, ...), a few, with wins, ties and losses of each against all others by a column."""
     a, b = rows.alias("a"), rows.select(F.col("name").alias("other"), F.col(by).alias("its")).alias("b")

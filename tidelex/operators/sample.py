@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import row_uuid, trim_around
+from .graph import cut
 
 
 def capped(hits: DataFrame, per_article: int = 2, per_concept: int = 100) -> DataFrame:
@@ -104,25 +101,31 @@ def teacher_copies(made: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def coupled(hits: DataFrame, per_concept: int, per_word: int | None = None) -> DataFrame:
-    """hits(lang, doc_id, sent_ord, word, concept_id) -> at most a row a sentence, in order: its first word whose concept and which itself has
-    had fewer rows than its cap. As each row depends on all before, one task goes through the sorted rows; it keeps counts only."""
-    cols = ["lang", "doc_id", "sent_ord", "word", "concept_id"]
-    rows = hits.select(*cols).orderBy("doc_id", "sent_ord", "lang", "word").coalesce(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_concept, of_word, taken = Counter(), Counter(), None
-        for b in batches:
-            keep = []
-            for lang, doc, sent, word, concept in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ok = taken != (lang, doc, sent) and of_concept[concept] < per_concept and (per_word is None or of_word[word, lang] < per_word)
-                keep.append(ok)
-                if ok:
-                    taken = lang, doc, sent
-                    of_concept[concept] += 1
-                    of_word[word, lang] += 1
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, rows.schema)
+    """hits(lang, doc_id, sent_ord, word, concept_id) -> at most a row a sentence, in order of document, sentence and language: its first word whose concept and
+    which itself has had fewer rows than its cap. A word of a language is of one concept.
+
+    Each row depends on all before it, but not one after the other: every sentence asks for its first word that may still be open; each word, and then each
+    concept, keeps the earliest that ask, up to its cap; once full, it is closed to all later sentences than its last, and these ask for their next
+    word. When nobody is turned away, what is kept is what the loop over all rows would keep: a word or concept that is full only ever changes a
+    later sentence for an earlier one, so that a closed door never opens again. Rows behind closed doors go for good, so that rounds get smaller."""
+    rows = cut(hits.select(F.struct("doc_id", "sent_ord", "lang").alias("at"), "lang", "word", "concept_id").distinct())
+    while True:
+        asked = rows.groupBy("at").agg(F.min(F.struct("word", "concept_id")).alias("w")).select("at", F.col("at.lang").alias("lang"), "w.*")
+        kept = asked
+        full = []
+        for by, cap in ((("lang", "word"), per_word), (("concept_id",), per_concept)):
+            if cap is not None:
+                n = F.row_number().over(Window.partitionBy(*by).orderBy("at"))
+                kept = kept.withColumn("n", n).where(F.col("n") <= cap)
+                full.append((by, kept.where(F.col("n") == cap).select(*by, F.col("at").alias("last"))))
+                kept = kept.drop("n")
+        still = rows
+        for by, doors in full:
+            still = still.join(doors, list(by), "left").where(F.col("last").isNull() | (F.col("at") <= F.col("last"))).drop("last")
+        still = cut(still)
+        if asked.join(still, ["at", "word", "concept_id"], "left_anti").isEmpty():
+            return kept.select("lang", "at.doc_id", "at.sent_ord", "word", "concept_id")
+        rows = still
 
 
 def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -1,18 +1,20 @@
-"""Training of one linear head per concept, each concept a group of its own."""
+"""Training of one linear head per concept, a bucket of concepts side by side in each group."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROLES = 5  # anchor, same-language positive and negative, cross-language positive and negative
 
 
 class Adam:
-    def __init__(self, shape: tuple[int, ...], rate: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
+    def __init__(self, shape: tuple[int, ...], rate: float | np.ndarray, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
         self.rate, self.b1, self.b2, self.eps, self.t = rate, b1, b2, eps, 0
         self.m, self.v = np.zeros(shape), np.zeros(shape)
 
@@ -44,29 +46,32 @@ class Plateau:
         return low if rate - low > self.eps else rate
 
 
-def loss_and_gradient(w: np.ndarray, x: np.ndarray, margin: np.ndarray, use: np.ndarray) -> tuple[float, np.ndarray]:
-    """x: (samples, 5 roles, inputs); margin and use: (samples, 2) for the same- and cross-language triplets."""
-    y = np.tanh(x @ w.T)
+def loss_and_gradient(w: np.ndarray, x: np.ndarray, margin: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x: (samples, 5 roles, inputs); margin and use: (samples, 2) for the same- and cross-language triplets; w: (outputs, inputs). Any of
+    them may have the same leading axes, for heads side by side, whose losses and gradients don't touch each other."""
+    y = np.tanh(x @ np.swapaxes(w, -1, -2)[..., None, :, :])
     size = np.sqrt((y * y).sum(-1))
-    anchor, na = y[:, 0], size[:, 0]
+    anchor, na = y[..., 0, :], size[..., 0]
     g = np.zeros_like(y)
-    total = 0.0
+    total = np.zeros(x.shape[:-3])
     dist, left = {}, {}
     for r in range(1, ROLES):
-        s = (anchor * y[:, r]).sum(-1)
-        n = na * size[:, r] + 1e-8
+        s = (anchor * y[..., r, :]).sum(-1)
+        n = na * size[..., r] + 1e-8
         dist[r], left[r] = 1 - s / n, (s, n)
     for k, (p, q) in enumerate(((1, 2), (3, 4))):
-        hinge = (dist[p] - dist[q] + margin[:, k]) * use[:, k]
-        on = (hinge > 0) * use[:, k] / len(x)
-        total += float(np.maximum(hinge, 0).sum() / len(x))
+        hinge = (dist[p] - dist[q] + margin[..., k]) * use[..., k]
+        on = (hinge > 0) * use[..., k] / x.shape[-3]
+        total = total + np.maximum(hinge, 0).sum(-1) / x.shape[-3]
         for r, sign in ((p, 1.0), (q, -1.0)):
             s, n = left[r]
-            f = (sign * on)[:, None]
-            safe_a, safe_r = np.maximum(na, 1e-30), np.maximum(size[:, r], 1e-30)
-            g[:, 0] += f * (-y[:, r] / n[:, None] + (s * size[:, r] / (safe_a * n * n))[:, None] * anchor)
-            g[:, r] += f * (-anchor / n[:, None] + (s * na / (safe_r * n * n))[:, None] * y[:, r])
-    return total, np.einsum("sro,sri->oi", g * (1 - y * y), x)
+            f = (sign * on)[..., None]
+            safe_a, safe_r = np.maximum(na, 1e-30), np.maximum(size[..., r], 1e-30)
+            g[..., 0, :] += f * (-y[..., r, :] / n[..., None] + (s * size[..., r] / (safe_a * n * n))[..., None] * anchor)
+            g[..., r, :] += f * (-anchor / n[..., None] + (s * na / (safe_r * n * n))[..., None] * y[..., r, :])
+    back = g * (1 - y * y)
+    flat = lambda z: z.reshape(*z.shape[:-3], -1, z.shape[-1])
+    return total, np.swapaxes(flat(back), -1, -2) @ flat(x)
 
 
 @dataclass(frozen=True)
@@ -78,88 +83,183 @@ class Training:
     rate: float = 1e-2
     dropout: float = 0.05
     margin: float = 0.1
+    margin_scale: float = 0.0  # above 0: the margin is that many deviations of the concept's distances, if larger
     seed: int = 42
     min_rows: int = 10
-
-
-def _draw(rng: np.random.Generator, dist: np.ndarray, lang: np.ndarray, count: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Five-point samples by hard mining: (indices, margins, which triplets count)."""
-    out, margins, use = [], [], []
-    order = {}
-    present = [np.flatnonzero(lang == x) for x in np.unique(lang)]
-    for _ in range(20 * count):
-        if len(out) >= count or not present:
-            break
-        own = present[int(rng.integers(len(present)))]  # the anchor's language first, each as likely
-        a = int(own[int(rng.integers(len(own)))])
-        row, gaps, flags = [a], [], []
-        for same in (True, False):
-            if (a, same) not in order:
-                c = np.flatnonzero((lang == lang[a]) == same)
-                c = c[c != a]
-                order[a, same] = c[np.lexsort((c, dist[a, c]))]
-            c = order[a, same]
-            picked = None
-            if len(c) >= 3:
-                k = min(20, max(1, len(c) // 3))
-                p = int(rng.integers(k))
-                far = np.flatnonzero(dist[a, c[k:]] >= dist[a, c[p]] + margin)
-                if len(far):
-                    picked = c[p], c[k + far[0]]
-            if picked is None and same:
+    bucket: int = 16  # concepts trained side by side
+    mine_every: int = 1  # epochs that share a draw of samples
+    factor: float = 0.5
+    patience: int = 3
+    cooldown: int = 0
+    least_rate: float = 0.0
+
+
+POSITIVES = 20
+
+
+class Sampler:
+    """Five-point samples of a concept by hard mining. For each anchor and either group of neighbours (its language, the others) it lists the nearest
+    POSITIVES (a third of the group at most) and, for each of them, the nearest neighbour beyond these that is farther by margin."""
+
+    def __init__(self, dist: np.ndarray, lang: np.ndarray, margin: float):
+        n = len(lang)
+        self.own = [np.flatnonzero(lang == x) for x in np.unique(lang)]
+        self.k = np.zeros((2, n), int)
+        self.pos, self.neg, self.gap = np.zeros((2, n, POSITIVES), int), np.full((2, n, POSITIVES), -1), np.zeros((2, n, POSITIVES))
+        for mine in self.own:
+            for side, near in enumerate((mine, np.setdiff1d(np.arange(n), mine))):
+                d = dist[np.ix_(mine, near)].copy()
+                if side == 0:
+                    np.fill_diagonal(d, np.inf)
+                m = len(near) - (side == 0)
+                if m < 3:
+                    continue
+                k = min(POSITIVES, max(1, m // 3))
+                order = np.argsort(d, axis=1, kind="stable")[:, :m]
+                self.k[side, mine] = k
+                for a, o, row in zip(mine.tolist(), order, np.take_along_axis(d, order, 1), strict=True):
+                    at = np.maximum(np.searchsorted(row, row[:k] + margin), k)
+                    found = at < m
+                    self.pos[side, a, :k] = near[o[:k]]
+                    self.neg[side, a, :k][found] = near[o[at[found]]]
+                    self.gap[side, a, :k][found] = row[at[found]] - row[:k][found]
+
+    def draw(self, rng: np.random.Generator, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(indices by role, margins, which triplets count) of at most count samples: an anchor of either language, each as likely, and a positive on both
+        sides. Without a triplet in its language an anchor is passed over (20 tries a sample in all); without one across, that side doesn't count."""
+        parts, have = [], 0
+        for _ in range(20):
+            if have >= count or not self.own:
                 break
-            row += picked or (a, a)
-            gaps.append(dist[a, picked[1]] - dist[a, picked[0]] if picked else 0.0)
-            flags.append(float(picked is not None))
-        if len(row) == ROLES:
-            out.append(row), margins.append(gaps), use.append(flags)
-    return np.array(out, int).reshape(-1, ROLES), np.array(margins).reshape(-1, 2), np.array(use).reshape(-1, 2)
-
-
-def train_head(x: np.ndarray, mining: np.ndarray, lang: np.ndarray, cfg: Training = Training()) -> tuple[np.ndarray, list[float], list[float]]:
-    """(weights, training losses, validation losses) of a concept. The last fifth of the rows, in the order given, validates."""
-    rng = np.random.default_rng(cfg.seed)
+            u = rng.random((count, 4))
+            which = (u[:, 0] * len(self.own)).astype(int)
+            size = np.array([len(x) for x in self.own])
+            start = np.cumsum(size) - size
+            a = np.concatenate(self.own)[start[which] + (u[:, 1] * size[which]).astype(int)]
+            row, gaps, flags = [a], [], []
+            for side in (0, 1):
+                p = (u[:, 2 + side] * self.k[side, a]).astype(int)
+                ok = (self.k[side, a] > 0) & (self.neg[side, a, p] >= 0)
+                row += [np.where(ok, self.pos[side, a, p], a), np.where(ok, self.neg[side, a, p], a)]
+                gaps.append(np.where(ok, self.gap[side, a, p], 0.0)), flags.append(ok)
+            good = np.flatnonzero(flags[0])[: count - have]
+            parts.append((np.stack(row, 1)[good], np.stack(gaps, 1)[good], np.stack(flags, 1)[good].astype(float)))
+            have += len(good)
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros((0, w)) for i, w in ((0, ROLES), (1, 2), (2, 2)))
+
+
+@dataclass
+class Prepared:
+    """A concept ready for training: inputs in training order, samplers of its training and validation rows, and its own random numbers."""
+
+    concept: str
+    x: np.ndarray
+    train: Sampler
+    validation: Sampler | None
+    n_train: int
+    margin: float
+    rng: np.random.Generator
+
+
+def prepare(concept: str, x: np.ndarray, mining: np.ndarray, lang: np.ndarray, cfg: Training) -> Prepared | None:
+    """Distances are those of the mining vectors; the last fifth of the rows, in the order given, validates. None under min_rows."""
+    n = len(x)
+    if n < cfg.min_rows:
+        return None
     unit = mining / np.maximum(np.linalg.norm(mining, axis=1, keepdims=True), 1e-8)
     dist = 1 - unit @ unit.T
-    n = len(x)
+    np.fill_diagonal(dist, 0)
+    spread = float(np.std(dist[np.triu_indices(n, 1)])) if cfg.margin_scale > 0 and n > 2 else 0.0
+    margin = max(cfg.margin, cfg.margin_scale * spread)
     n_val = min(max(int(0.2 * n), 1), n - 3) if n > 3 else 0
-    low = np.arange(n) < n - n_val
-    w = rng.normal(0, 1 / np.sqrt(x.shape[1]), (cfg.outputs, x.shape[1]))
-    adam, plateau, seen, checked = Adam(w.shape, cfg.rate), Plateau(), [], []
-    vi = np.flatnonzero(~low)
-    val = _draw(rng, dist[np.ix_(vi, vi)], lang[vi], cfg.epoch_size // 10 + 1, cfg.margin) if n_val >= 4 else None
-    ti = np.flatnonzero(low)
-    sub = dist[np.ix_(ti, ti)]
-    for _ in range(cfg.epochs):
-        at, margin, use = _draw(rng, sub, lang[ti], cfg.epoch_size, cfg.margin)
+    cut = n - n_val
+    val = Sampler(dist[cut:, cut:], lang[cut:], margin) if n_val >= 4 else None
+    return Prepared(concept, x, Sampler(dist[:cut, :cut], lang[:cut], margin), val, cut, margin, np.random.default_rng([cfg.seed, zlib.crc32(concept.encode())]))
+
+
+def train_bucket(specs: list[Prepared], cfg: Training) -> dict[str, tuple[np.ndarray, list[float], list[float]]]:
+    """concept -> (weights, training losses, validation losses). All heads of the bucket take each step in one batched product; epochs are cut to
+    the shortest draw, so that batches stay rectangular. A concept draws from its own random numbers: what it learns doesn't depend on its
+    neighbours but for that cut. One that can't draw a sample keeps its first weights, with losses of 0."""
+    out, ready, first = {}, [], []
+    for s in specs:
+        w = s.rng.normal(0, 1 / np.sqrt(s.x.shape[1]), (cfg.outputs, s.x.shape[1]))
+        val = s.validation.draw(s.rng, cfg.epoch_size // 10 + 1) if s.validation else None
+        drawn = s.train.draw(s.rng, cfg.epoch_size)
+        if len(drawn[0]):
+            ready.append((s, w, val)), first.append(drawn)
+        else:
+            out[s.concept] = w, [0.0] * cfg.epochs, [0.0] * cfg.epochs
+    if not ready:
+        return out
+    w = np.stack([x for _, x, _ in ready])
+    base = np.cumsum([0, *(len(s.x) for s, _, _ in ready[:-1])])
+    bank = np.concatenate([s.x for s, _, _ in ready])
+    adam = Adam(w.shape, np.full((len(ready), 1, 1), cfg.rate))
+    plateaus = [Plateau(cfg.factor, cfg.patience, cooldown=cfg.cooldown, least=cfg.least_rate) for _ in ready]
+    seen, checked, drawn = [], [], first
+    for epoch in range(cfg.epochs):
+        if epoch and epoch % cfg.mine_every == 0:
+            drawn = [s.train.draw(s.rng, cfg.epoch_size) for s, _, _ in ready]
+        size = min(len(d[0]) for d in drawn)
+        at, margin, use = (np.stack([d[i][:size] for d in drawn]) for i in range(3))
+        at = at.astype(int) + base[:, None, None]
         losses = []
-        for i in range(0, len(at), cfg.batch):
-            batch = x[ti[at[i : i + cfg.batch]]]
-            drop = (rng.random(batch.shape) >= cfg.dropout) / (1 - cfg.dropout)
-            loss, g = loss_and_gradient(w, batch * drop, margin[i : i + cfg.batch], use[i : i + cfg.batch])
+        for i in range(0, size, cfg.batch):
+            x = bank[at[:, i : i + cfg.batch]]
+            keep = np.stack([s.rng.random(x.shape[1:]) for s, _, _ in ready]) >= cfg.dropout
+            loss, g = loss_and_gradient(w, x * keep / (1 - cfg.dropout), margin[:, i : i + cfg.batch], use[:, i : i + cfg.batch])
             w = adam.step(w, g)
             losses.append(loss)
-        seen.append(float(np.mean(losses)) if losses else 0.0)
-        checked.append(loss_and_gradient(w, x[vi[val[0]]], val[1], val[2])[0] if val is not None and len(val[0]) else seen[-1])
-        adam.rate = plateau.rate(adam.rate, checked[-1])
-    return w, seen, checked
+        seen.append(np.mean(losses, axis=0) if losses else np.zeros(len(ready)))
+        now = seen[-1].copy()
+        for j, (s, _, val) in enumerate(ready):
+            if val is not None and len(val[0]):
+                now[j] = loss_and_gradient(w[j], s.x[s.n_train + val[0].astype(int)], val[1], val[2])[0]
+            adam.rate[j] = plateaus[j].rate(float(adam.rate[j, 0, 0]), float(now[j]))
+        checked.append(now)
+    for j, (s, _, _) in enumerate(ready):
+        out[s.concept] = w[j], [float(x[j]) for x in seen], [float(x[j]) for x in checked]
+    return out
 
 
-def train_heads(rows: DataFrame, cfg: Training = Training()) -> DataFrame:
-    """rows(concept_id, id, lang, x) of capped concepts -> (concept_id, n_rows, first_loss, last_loss, weights); concepts under min_rows are skipped."""
+def train_head(x: np.ndarray, mining: np.ndarray, lang: np.ndarray, cfg: Training = Training(), concept: str = "") -> tuple[np.ndarray, list[float], list[float]]:
+    """(weights, training losses, validation losses) of a concept alone."""
+    spec = prepare(concept, x, mining, lang, replace(cfg, min_rows=0))
+    return train_bucket([spec], cfg)[concept]
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        if len(df) < cfg.min_rows:
-            return pd.DataFrame({"concept_id": [], "n_rows": [], "first_loss": [], "last_loss": [], "weights": []}).astype({"concept_id": str, "n_rows": "int64"})
-        df = df.sort_values("id")
-        turn = df.groupby("lang").cumcount()
-        both = min(int((df.lang == x).sum()) for x in ("en", "es"))
-        df = df.assign(over=(turn >= both), turn=turn).sort_values(["over", "turn", "lang"])
-        x = np.array(df.x.tolist(), float)
-        w, seen, _ = train_head(x, x, df.lang.to_numpy(), cfg)
-        return pd.DataFrame({"concept_id": [key[0]], "n_rows": [len(df)], "first_loss": [seen[0]], "last_loss": [seen[-1]], "weights": [w.tolist()]})
 
-    return rows.groupBy("concept_id").applyInPandas(run, "concept_id string, n_rows long, first_loss double, last_loss double, weights array<array<double>>")
+HEADS = "concept_id string, n_rows long, margin double, first_loss double, last_loss double, weights array<array<double>>"
+
+
+def train_heads(rows: DataFrame, cfg: Training = Training()) -> DataFrame:
+    """rows(concept_id, lang, x) of capped concepts -> HEADS; concepts under min_rows are skipped. Where rows have m, samples are mined in that space
+    and heads learned on x, else both are x. Rows come in the order of pos, where they have it; else the languages take turns by id. Concepts
+    are dealt to buckets by a hash, about cfg.bucket each, and a bucket is a group."""
+    n = rows.select("concept_id").distinct().count()
+    cols = [c for c in ("concept_id", "id", "lang", "pos", "x", "m") if c in rows.columns]
+    dealt = rows.select(*cols, F.pmod(F.xxhash64("concept_id"), F.lit(max(1, -(-n // cfg.bucket)))).alias("bucket"))
+
+    def run(_: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        specs, size = [], {}
+        for concept, g in df.groupby("concept_id"):
+            if "pos" in g:
+                g = g.sort_values("pos")
+            else:
+                g = g.sort_values("id")
+                turn = g.groupby("lang").cumcount()
+                both = min(int((g.lang == x).sum()) for x in ("en", "es"))
+                g = g.assign(over=(turn >= both), turn=turn).sort_values(["over", "turn", "lang"])
+            x = np.array(g.x.tolist(), float)
+            spec = prepare(str(concept), x, np.array(g.m.tolist(), float) if "m" in g else x, g.lang.to_numpy(), cfg)
+            if spec is not None:
+                specs.append(spec)
+                size[spec.concept] = len(g)
+        margin = {s.concept: s.margin for s in specs}
+        got = [(c, size[c], margin[c], seen[0], seen[-1], w.tolist()) for c, (w, seen, _) in train_bucket(specs, cfg).items()]
+        return pd.DataFrame(got, columns=["concept_id", "n_rows", "margin", "first_loss", "last_loss", "weights"])
+
+    return dealt.groupBy("bucket").applyInPandas(run, HEADS)
 
 
 def kmeans_best(rows: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), seed: int = 42, rounds: int = 50) -> DataFrame:

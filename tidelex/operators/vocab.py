@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, valid_entry
+from .order import numbered, running
 
 
 BUCKETS = 64
@@ -35,6 +36,26 @@ def pseudo_dictionary(arts: DataFrame) -> DataFrame:
     )
 
 
+def linked_dictionary(arts: DataFrame) -> DataFrame:
+    """(dir, ord, src, tgt): a second stand-in, whose graph hangs together. Words of a bucket go in pairs of ranks, each of which has the two words of the other language's pair as
+    translations, its own rank first; every third English word's second translation is of the next bucket instead, at a quarter of the
+    rank. So synonyms form small dense groups, and frequent words of many senses tie groups of all buckets together."""
+    r = ranked_words(arts)
+    en, es = (r.where(F.col("lang") == x).select(F.col("word").alias(x), "bucket", "i") for x in ("en", "es"))
+    near = F.col("i").bitwiseXOR(F.lit(1).cast("long")).alias("i")
+    afar = en.where("i % 3 = 0").select("en", (F.col("bucket") + 1) % BUCKETS, F.floor(F.col("i") / F.lit(4.0)), (F.col("i") * BUCKETS + F.col("bucket")).alias("at")).toDF("en", "bucket", "i", "at")
+    at = (F.col("i") * BUCKETS + F.col("bucket")).alias("at")
+    keyed = lambda w, df: df.select(w, "bucket", "i", at)
+    row = lambda df, d, a, b, k: df.select(F.lit(d).alias("dir"), (F.col("at") * 2 + k).alias("ord"), F.col(a).alias("src"), F.col(b).alias("tgt"))
+    twin = lambda w, df: df.select(w, "bucket", near, at)
+    first = row(keyed("en", en).join(es, ["bucket", "i"]), "en-es", "en", "es", 1)
+    second = row(twin("en", en.where("i % 3 <> 0")).join(es, ["bucket", "i"]), "en-es", "en", "es", 2)
+    third = row(afar.join(es, ["bucket", "i"]), "en-es", "en", "es", 2)
+    back = row(keyed("es", es).join(en, ["bucket", "i"]), "es-en", "es", "en", 1)
+    back2 = row(twin("es", es).join(en, ["bucket", "i"]), "es-en", "es", "en", 2)
+    return first.unionAll(second).unionAll(third).unionAll(back).unionAll(back2)
+
+
 def top_translations(pairs: DataFrame, k: int = 2) -> DataFrame:
     """The first k valid pairs of each source word by file order."""
     ok = pairs.where(valid_entry(F.col("src")) & valid_entry(F.col("tgt")))
@@ -56,12 +77,11 @@ def clusters(parts: DataFrame) -> DataFrame:
 
 
 def concepts(found: DataFrame, min_size: int = 2) -> DataFrame:
-    """(concept_id, en, es, size) of the clusters with both languages and enough words, numbered by falling size: one task orders
-    them all, as the numbers run through."""
+    """(concept_id, en, es, size) of the clusters with both languages and enough words, numbered by falling size, then by their first English word."""
     size = (F.size("en") + F.size("es")).cast("long")
     kept = found.where((F.size("en") > 0) & (F.size("es") > 0)).withColumn("size", size).where(F.col("size") >= min_size)
-    n = F.row_number().over(Window.orderBy(F.desc("size"), F.col("en")[0]))
-    return kept.select(F.format_string("C-%05d", n - 1).alias("concept_id"), "en", "es", "size")
+    n = numbered(kept.withColumn("first", F.col("en")[0]), [F.desc("size"), F.col("first")])
+    return n.select(F.format_string("C-%05d", F.col("n") - 1).alias("concept_id"), "en", "es", "size")
 
 
 def filter_report(found: DataFrame, min_size: int = 2) -> DataFrame:
@@ -98,8 +118,8 @@ def supply(vocab: DataFrame, counts: DataFrame) -> DataFrame:
 def prune(vocab: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
     """The concepts with threshold sentences or more in both languages, renumbered by (falling size, old id)."""
     ok = supply(vocab, counts).where(F.least("en_n", "es_n") >= threshold)
-    n = F.row_number().over(Window.orderBy(F.desc("size"), F.col("concept_id")))
-    return ok.select(F.format_string("C-%05d", n - 1).alias("concept_id"), F.col("concept_id").alias("old_id"), "en", "es", "size")
+    n = numbered(ok, [F.desc("size"), F.col("concept_id")])
+    return n.select(F.format_string("C-%05d", F.col("n") - 1).alias("concept_id"), F.col("concept_id").alias("old_id"), "en", "es", "size")
 
 
 def prune_stats(vocab: DataFrame, kept: DataFrame) -> DataFrame:
@@ -139,8 +159,7 @@ def demand(matches: DataFrame) -> DataFrame:
 
 def demand_marks(need: DataFrame, marks: tuple[float, ...] = (0.8, 0.9, 0.95, 0.99)) -> DataFrame:
     """For each mark: how many concepts, most wanted first, reach that share of the demand."""
-    order = Window.orderBy(F.desc("demand"), "concept_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = need.withColumns({"cum": F.sum("demand").over(order), "n": F.count(F.lit(1)).over(order), "total": F.sum("demand").over(Window.partitionBy())})
+    run = running(need, [F.desc("demand"), F.col("concept_id")], "demand")
     each = run.withColumn("mark", F.explode(F.array(*[F.lit(float(m)) for m in marks])))
     return each.where(F.col("cum") >= F.col("mark") * F.col("total")).groupBy("mark").agg(F.min("n").alias("concepts"))
 
@@ -155,8 +174,7 @@ def demand_ceiling(tokens: DataFrame, matches: DataFrame) -> DataFrame:
 
 def demand_choice(need: DataFrame, mark: float) -> DataFrame:
     """(concept_id, demand, place): the most wanted concepts up to the first that brings the share of the demand to mark."""
-    order = Window.orderBy(F.desc("demand"), "concept_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = need.withColumns({"cum": F.sum("demand").over(order), "place": F.count(F.lit(1)).over(order), "total": F.sum("demand").over(Window.partitionBy())})
+    run = running(need, [F.desc("demand"), F.col("concept_id")], "demand").withColumnRenamed("n", "place")
     return run.where(F.col("cum") - F.col("demand") < F.lit(mark) * F.col("total")).select("concept_id", "demand", "place")
 
 
@@ -185,13 +203,17 @@ def content_concepts(vocab: DataFrame, stop: tuple[str, ...], least_chars: int =
 
 
 def attach_orphans(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, component): unplaced words that join the part of their first translation, English ones first, then Spanish ones, which
-    may join through an English word just attached; pairs of equal spelling don't count."""
-    first = top_translations(pairs, 1).where("src <> tgt")
+    """(node, component): words without a part that join the one of their first translation (of equal spelling doesn't count), English words first, then Spanish
+    ones, for which the English just attached count as placed. A translation without a part opens one, which bears its name and which all words of the pass that
+    have it first share. So no word waits for another of its own pass, and each pass is a join."""
+    ok = pairs.where(valid_entry(F.col("src")) & valid_entry(F.col("tgt")) & (F.col("src") != F.col("tgt")))
+    first = ok.groupBy("dir", "src").agg(F.min_by("tgt", "ord").alias("tgt"))
     out = None
     for direction, own, other in (("en-es", "en:", "es:"), ("es-en", "es:", "en:")):
-        placed = parts if out is None else parts.unionByName(out)
-        orphans = first.where(F.col("dir") == direction).select(F.concat(F.lit(own), "src").alias("node"), F.concat(F.lit(other), "tgt").alias("to")).join(parts, "node", "left_anti")
-        got = orphans.join(placed.withColumnRenamed("node", "to"), "to").select("node", "component")
+        placed = parts.select("node", "component") if out is None else parts.select("node", "component").unionByName(out)
+        orphans = first.where(F.col("dir") == direction).select(F.concat(F.lit(own), "src").alias("node"), F.concat(F.lit(other), "tgt").alias("to")).join(placed, "node", "left_anti")
+        joined = orphans.join(placed.withColumnRenamed("node", "to"), "to", "left")
+        opened = joined.where("component IS NULL").select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()
+        got = joined.select("node", F.coalesce("component", "to").alias("component")).unionByName(opened)
         out = got if out is None else out.unionByName(got)
     return out

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, encode, graph, sample, search, vectors, vocab
+from ..sources.store import listing
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, ...], DataFrame] = {}
 
 
 class Base:
@@ -19,6 +20,10 @@ class Base:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @cached_property
+    def files(self) -> str:
+        return listing(self.spark, f"{self.dir}/documents.parquet")
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -54,7 +59,8 @@ class Base:
         return vocab.edges(self.top)
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        """What make gives, made once for these very files: a folder that is written again has others, by name, size or time."""
+        key = (self.spark.sparkContext.applicationId, self.dir, self.files, name)
         if key not in _kept:
             _kept[key] = make()
         return _kept[key]
@@ -73,13 +79,26 @@ class Base:
         """The communities as a partition (node, component), which concepts are made of."""
         return self.communities.select("node", F.col("part").alias("component"))
 
+    @cached_property
+    def linked_edges(self) -> DataFrame:
+        """The translation graph of the second stand-in, which hangs together."""
+        return self.kept("linked edges", lambda: graph.cut(vocab.edges(vocab.top_translations(vocab.linked_dictionary(self.arts)))))
+
+    @cached_property
+    def linked_whole(self) -> DataFrame:
+        return self.kept("linked components", lambda: graph.components(self.linked_edges))
+
+    @cached_property
+    def linked_communities(self) -> DataFrame:
+        return self.kept("linked communities", lambda: graph.cut(graph.louvain_parts(self.linked_edges, self.linked_whole)))
+
     @cached_property
     def clusters(self) -> DataFrame:
         return vocab.clusters(self.parts)
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return vocab.concepts(self.clusters)
+        return self.kept("concepts", lambda: graph.cut(vocab.concepts(self.clusters)))
 
     @cached_property
     def word_concept(self) -> DataFrame:
@@ -101,6 +120,11 @@ class Base:
     def latest(self) -> DataFrame:
         return sample.latest(self.points, F.col("doc_id") * 1_000_000 + F.col("sent_ord")).select("id", "lang", "concept_id", "word", "doc_id", "sent_ord")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """What a collection holds: the last written row of each id, with its sentence."""
+        return sample.latest(self.points, F.col("doc_id") * 1_000_000 + F.col("sent_ord")).select("id", "lang", "concept_id", "word", "sentence")
+
     @cached_property
     def balanced(self) -> DataFrame:
         return sample.balance(self.latest, 0.5, F.col("id")).select("id", "lang", "concept_id")
@@ -129,7 +153,11 @@ class Base:
     @cached_property
     def translations(self) -> DataFrame:
         """(src, tgt): the first Spanish translation of each English word."""
-        return self.dictionary.where("dir = 'en-es'").groupBy("src").agg(F.min_by("tgt", "ord").alias("tgt"))
+        return self.translations_of("en-es")
+
+    def translations_of(self, direction: str) -> DataFrame:
+        """(src, tgt): the first translation of each word in a direction of the dictionary."""
+        return self.dictionary.where(F.col("dir") == direction).groupBy("src").agg(F.min_by("tgt", "ord").alias("tgt"))
 
     @cached_property
     def items(self) -> DataFrame:

@@ -599,7 +599,13 @@ def content_concepts(b: Base) -> DataFrame:
     return vocab.content_concepts(b.vocab, encode.STOPWORDS["en"] + encode.STOPWORDS["es"]).select("concept_id")
 
 
-_PLACED = "placed AS (FROM part WHERE node NOT LIKE '%a'), one AS (SELECT dir, src, tgt FROM top WHERE rank = 1 AND src <> tgt), a AS (SELECT 'en:' || src AS node, p.component FROM one JOIN placed p ON p.node = 'es:' || tgt WHERE dir = 'en-es' AND 'en:' || src NOT IN (SELECT node FROM placed)), z AS (SELECT 'es:' || src AS node, p.component FROM one JOIN (FROM placed UNION ALL FROM a) p ON p.node = 'en:' || tgt WHERE dir = 'es-en' AND 'es:' || src NOT IN (SELECT node FROM placed))"
+_PLACED = f"""placed AS (FROM part WHERE node NOT LIKE '%a'),
+  one AS (SELECT dir, src, arg_min(tgt, ord) AS tgt FROM dict WHERE src <> tgt AND length(src) >= 2 AND length(tgt) >= 2 AND regexp_matches(src, '{ENTRY}') AND regexp_matches(tgt, '{ENTRY}') GROUP BY 1, 2),
+  a0 AS (SELECT 'en:' || src AS node, 'es:' || tgt AS dest FROM one WHERE dir = 'en-es' AND 'en:' || src NOT IN (SELECT node FROM placed)),
+  a AS (SELECT a0.node, coalesce(p.component, dest) AS component FROM a0 LEFT JOIN placed p ON p.node = dest UNION SELECT dest, dest FROM a0 WHERE dest NOT IN (SELECT node FROM placed)),
+  placed2 AS (SELECT node, component FROM placed UNION ALL FROM a),
+  z0 AS (SELECT 'es:' || src AS node, 'en:' || tgt AS dest FROM one WHERE dir = 'es-en' AND 'es:' || src NOT IN (SELECT node FROM placed2)),
+  z AS (SELECT z0.node, coalesce(p.component, dest) AS component FROM z0 LEFT JOIN placed2 p ON p.node = dest UNION SELECT dest, dest FROM z0 WHERE dest NOT IN (SELECT node FROM placed2))"""
 
 
 @query()
@@ -607,7 +613,7 @@ def attach_orphans(b: Base) -> DataFrame:
     return vocab.attach_orphans(b.dictionary, b.parts.where(~F.col("node").endswith("a")))
 
 
-SQL["attach_orphans"] = sql("", "part", "top").rstrip() + ", " + _PLACED + " SELECT node, component FROM a UNION ALL SELECT node, component FROM z"
+SQL["attach_orphans"] = sql("", "part", "dict").rstrip() + ", " + _PLACED + " SELECT node, component FROM a UNION ALL SELECT node, component FROM z"
 
 
 @query("SELECT id, concept_id, CASE WHEN k > 0 THEN k - 1 END AS start, CASE WHEN k > 0 THEN k - 1 + length(word) END AS stop FROM (SELECT *, strpos(lower('passage: ' || sentence), word) AS k FROM points)", "points")
@@ -720,7 +726,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import further  # noqa: F401  registers its own
+    from . import further, training  # noqa: F401  they register their own
 
     return dict(QUERIES)
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, label_of, name_uuid, tokens
 from ..functions.vector import dot, head, norm
-from ..operators import encode, graph, sample, search, vectors, vocab
+from ..operators import corpus, encode, graph, sample, search, vectors, vocab
+from ..sources.store import shared_dir
 from ..streaming import ingest
 from . import retrievers
 from .base import Base
 from .catalog import _BARS_SQL, _DEMAND, _PLACED, _POOL, _REPORT, _report, long
-from .register import query
+from .register import SQL, query
 from .registry import HashedGrams
+from .training import LEARNED
 
 # Vocabulary -------------------------------------------------------------------------------------------------------------
 
@@ -203,10 +207,12 @@ def corpus_counts(b: Base) -> DataFrame:
 
 _PAIRS = "pair AS (FROM (VALUES ('eng-eng', 'en', 'en'), ('spa-spa', 'es', 'es'), ('eng-spa', 'en', 'es'), ('spa-eng', 'es', 'en')) t(pair, ql, dl))"
 _EVAL = _PAIRS + """, rel AS (SELECT p.pair, g.qid, g.id FROM gold g JOIN documents d ON d.doc_id = g.id JOIN pair p ON p.dl = d.lang), sizes AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY 1),
-  posts AS (SELECT 'bm25' AS kind, id, lang, term, d FROM dpost UNION ALL SELECT 'lexical', id, lang, term, d FROM lex), df AS (SELECT kind, lang, term, count(*) AS df FROM posts GROUP BY ALL),
+  posts AS (SELECT 'bm25' AS kind, id, lang, term, d FROM dpost UNION ALL SELECT 'lexical', id, lang, term, d FROM lex
+    UNION ALL SELECT 'learned', v.id, d.lang, idx::VARCHAR, value FROM hvec v JOIN documents d ON d.doc_id = v.id), df AS (SELECT kind, lang, term, count(*) AS df FROM posts GROUP BY ALL),
   asked AS (SELECT 'bm25' AS kind, p.pair, p.dl, q.qid, q.term, 1.0::DOUBLE AS q FROM qterm q, pair p UNION ALL
     SELECT 'lexical', p.pair, p.dl, q.qid, q.term, CASE WHEN p.ql <> p.dl AND q.term LIKE 't:%' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END FROM lexq q JOIN pair p ON p.ql = q.ql UNION ALL
-    SELECT DISTINCT 'translate-bm25', p.pair, p.dl, q.qid, s.stem, 1.0::DOUBLE FROM qword q JOIN pair p ON p.pair = 'eng-spa' LEFT JOIN trans ON src = token JOIN trstem s ON s.token = coalesce(tgt, q.token)),
+    SELECT 'learned', p.pair, p.dl, q.qid, q.idx::VARCHAR, CASE WHEN p.ql <> p.dl AND words THEN 0.5::DOUBLE ELSE q.value END FROM hqvec q JOIN pair p ON p.ql = q.ql UNION ALL
+    SELECT DISTINCT 'translate-bm25', p.pair, p.dl, q.qid, s.stem, 1.0::DOUBLE FROM qword q JOIN pair p ON p.ql <> p.dl LEFT JOIN transd t ON t.src = token AND t.dir = p.ql || '-' || p.dl JOIN trstem s ON s.token = coalesce(tgt, q.token)),
   ranks AS (SELECT kind, pair, qid, id, row_number() OVER (PARTITION BY kind, pair, qid ORDER BY score DESC, id) AS rank FROM (
     SELECT a.kind, a.pair, a.qid, p.id, round(sum(ln(1.0::DOUBLE + (n_docs - f.df + 0.5::DOUBLE) / (f.df + 0.5::DOUBLE)) * a.q * p.d), 6) AS score FROM asked a JOIN posts p ON p.kind = replace(a.kind, 'translate-', '') AND p.lang = a.dl AND p.term = a.term
     JOIN df f ON f.kind = p.kind AND f.lang = p.lang AND f.term = p.term JOIN sizes z ON z.lang = a.dl GROUP BY ALL) QUALIFY rank <= 100),
@@ -217,7 +223,7 @@ _EVAL = _PAIRS + """, rel AS (SELECT p.pair, g.qid, g.id FROM gold g JOIN docume
 
 
 @query("""SELECT kind AS retriever, pair, count(*) AS n_queries, round(avg(ndcg10), 6) AS ndcg10_mean, round(stddev_pop(ndcg10), 6) AS ndcg10_std, round(avg(r100), 6) AS r100_mean, round(stddev_pop(r100), 6) AS r100_std,
-  round(avg(mrr10), 6) AS mrr10_mean, round(stddev_pop(mrr10), 6) AS mrr10_std FROM per GROUP BY 1, 2""", "dpost", "lex", "qterm", "lexq", "qword", "trans", "trstem", "gold", also=_EVAL)
+  round(avg(mrr10), 6) AS mrr10_mean, round(stddev_pop(mrr10), 6) AS mrr10_std FROM per GROUP BY 1, 2""", "dpost", "lex", "qterm", "lexq", "qword", "transd", "trstem", "gold", "dterm", "wc", "idx", "qstem", also=LEARNED + ", " + _EVAL)
 def eval_pairs(b: Base) -> DataFrame:
     """All registered retrievers on all language pairs that they support, queries with a relevant document in the pair's language."""
     return retrievers.evaluate(b)
@@ -309,3 +315,28 @@ def concept_vectors(b: Base) -> DataFrame:
     v = encode.concept_vectors(b.arts.select(F.col("doc_id").alias("id"), "lang", "text"), b.word_concept, HashedGrams(16))
     return v.select("id", "concept_id", F.round(norm(F.col("x")), 4).alias("length"))
 
+
+
+# Scans that go on ------------------------------------------------------------------------------------------------------------
+
+
+@query(SQL["cost_projection"])
+def cost_projection_resumed(b: Base) -> DataFrame:
+    """The projection from a scan that stops after a batch of files and goes on, reading only what isn't counted yet."""
+    at = f"{shared_dir(b.spark)}/scan-{uuid.uuid4().hex}"
+    for most in (1, None):
+        counts = corpus.scanned(b.spark, f"{b.dir}/documents.parquet", at, files_per_batch=8, most_batches=most)
+    return corpus.projection(counts, 0.02, 1_000_000)
+
+
+@query()
+def flush_batches(b: Base) -> DataFrame:
+    """What buffers of a language and a quarter of its articles write, each flushed at the end of the article that brings it to 512 sentences; files come in two runs."""
+    at = f"{shared_dir(b.spark)}/flush-{uuid.uuid4().hex}"
+    b.word_concept.write.parquet(f"{at}/words")
+    words = b.spark.read.parquet(f"{at}/words")
+    cut = b.arts.agg(F.percentile("doc_id", F.lit(0.5))).first()[0] or 0
+    for part in (F.col("doc_id") <= cut, F.col("doc_id") > cut):
+        b.arts.where(part).select("lang", "doc_id", "text").write.mode("append").parquet(f"{at}/in")
+        ingest.flushes(b.spark, f"{at}/in", words, f"{at}/out", f"{at}/checkpoint", files_per_batch=4)
+    return ingest.flushed(b.spark, f"{at}/out").groupBy("lang", "shard", "flush").agg(F.count(F.lit(1)).alias("sentences"), F.count_distinct("doc_id").alias("articles"), F.sum(F.size("pairs")).alias("pairs"))

@@ -85,7 +85,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "termset": (("dterm", "qstem"), "SELECT term FROM dterm UNION SELECT term FROM qstem"),
     "idx": (("termset",), stem_sql.indices("termset")),
     "trans": (("dict",), "SELECT src, arg_min(tgt, ord) AS tgt FROM dict WHERE dir = 'en-es' GROUP BY 1"),
-    "trword": (("qword", "trans"), "SELECT DISTINCT coalesce(tgt, token) AS token FROM qword LEFT JOIN trans ON src = token"),
+    "transd": (("dict",), "SELECT dir, src, arg_min(tgt, ord) AS tgt FROM dict GROUP BY 1, 2"),
+    "trword": (("qword", "transd"), "SELECT token FROM qword UNION SELECT tgt FROM transd JOIN qword ON src = token"),
     "trstem": (("trword",), stem_sql.stems("trword")),
     "run100": (("dpost", "qterm"), """
         SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (

@@ -62,6 +62,16 @@ class Files:
             raise OSError(f"{old} can't be renamed to {new}")
 
 
+def listing(spark: SparkSession, path: str) -> str:
+    """A digest of the files under path: their names, sizes and times."""
+    files = Files(path)
+    found, each = [], files.fs.listFiles(files.of(path), True)
+    while each.hasNext():
+        f = each.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(found)).encode()).hexdigest()
+
+
 class CorpusChanged(ValueError):
     """An index exists for another corpus."""
 
@@ -141,16 +151,18 @@ class Collection:
 
 
 def replace_with_backup(df: DataFrame, path: str) -> str:
-    """Writes df to path; what was there first is kept under path_full, once: later calls never replace that."""
+    """Writes df to path; what was there first is kept under path_full, once: later calls never replace that. The old table is renamed away
+    before the new one takes its place, and deleted only then: after a crash between, it lies at path_old, from where the next call brings it back."""
     files, full = Files(path), f"{path}_full"
-    fresh = f"{path}_new"
+    fresh, old = f"{path}_new", f"{path}_old"
+    if files.exists(old) and not files.exists(path):
+        files.rename(old, path)
     df.write.mode("overwrite").parquet(fresh)  # df may come from path itself
     if files.exists(path):
-        if files.exists(full):
-            files.fs.delete(files.of(path), True)
-        else:
-            files.rename(path, full)
+        files.fs.delete(files.of(old), True)
+        files.rename(path, old if files.exists(full) else full)
     files.rename(fresh, path)
+    files.fs.delete(files.of(old), True)
     return full
 
 
@@ -199,12 +211,18 @@ def recipe_key(**fields: object) -> str:
     return hashlib.sha1(json.dumps(fields, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def content_key(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: their number and the sum of their hashes."""
+    r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    return f"{r[0]}:{r[1]}"
+
+
 def cached(spark: SparkSession, root: str, make: Callable[[], DataFrame], **fields: object) -> DataFrame:
+    """What make gives, written once for a recipe and read from then on; what a broken run has left is made anew."""
     at = f"{root}/{recipe_key(**fields)}"
-    if (df := read_or_none(spark, at)) is None:
+    if not Files(root).exists(f"{at}/_SUCCESS"):
         make().write.mode("overwrite").parquet(at)
-        df = spark.read.parquet(at)
-    return df
+    return spark.read.parquet(at)
 
 
 def write_splits(folder: str, splits: dict[str, list[str]], seed: int, force: bool = False) -> dict:
