@@ -67,3 +67,16 @@ def test_odd_and_empty_tables_through_all_stages(spark, odd, none, tmp_path):
                 assert {r[0] for r in got} == ({1, 3, None, 5, 6, 8} if some else set()) and len(got) == (6 if some else 0)
 
 
+
+
+def test_order_of_rows_and_map_columns(spark):
+    """Rows that differ in other columns only, maps at any depth among them: three orders of them give the same rows in every stage that drops or repeats some."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "some words that are here for all of them", "en", f"s{i % 2}", i) for i in range(20)] + [(i, f"another text number {i} with words of its own", "en", "s0", i) for i in range(2, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n int").coalesce(1)
+    df = df.select("*", F.create_map(F.lit("k"), F.col("n")).alias("m"), F.struct(F.array(F.create_map(F.lit("a"), F.col("n"))).alias("deep")).alias("s"))
+    show = lambda x: collections.Counter((r.doc_id, r.source, r.n, r.m["k"], r.s.deep[0]["a"]) for r in x.collect())
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources):
+        got = [show(stage(spark, x, DATA)) for x in (df, df.orderBy(F.desc("n")).coalesce(1), df.repartition(5))]
+        assert got[0] == got[1] == got[2] and got[0]

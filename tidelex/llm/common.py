@@ -66,6 +66,12 @@ def free_name(df: DataFrame, name: str, *others: str) -> str:
     return name
 
 
+def row_hash(columns: list[tuple[str, str]]) -> Column:
+    """A hash of a row's (column, type) values of any kind: those that Spark can't hash, maps and variants at any depth, go as JSON."""
+    plain = lambda kind: "map<" not in kind and "variant" not in kind
+    return F.xxhash64(*[F.col(c) if plain(kind) else F.to_json(F.struct(F.col(c))) for c, kind in columns])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, y) of at most per_class labelled rows of each class that folds allow for learning, chosen by
     a hash of the id, and how many rows each class has in all. Labels come from rows whose crc32 fold of 4 is not 2.

@@ -10,7 +10,7 @@ show whether that is the same as joining by content: it is unless two contents s
 are any, join by content. keep_first joins by these digests.
 
 Defined results: the smallest doc_id of a group stays; a null doc_id counts as larger than any other. Of rows with the
-same doc_id and equal texts exactly one is kept, the first by raw text and then by the other columns, in whatever order the rows come.
+same doc_id and equal texts exactly one is kept, the first by raw text, then by the other columns, maps and variants last and by their hash, in whatever order the rows come.
 Empty tables give empty results. Other columns pass through."""
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, row_hash, written
 
 LAST = (1 << 63) - 1
 
@@ -92,6 +92,6 @@ def keep_first(docs: DataFrame, salts: int = 16) -> DataFrame:
     stay = each.where(F.col("id") == F.col("keep_id")).select("id", "digest", "mark")
     tagged = base.withColumns(dict(zip(("digest", "mark"), digests(normalised(F.col("text"))), strict=True))).drop("text")
     out = tagged.join(stay, ["id", "digest", "mark"])
-    order = [own.index("text"), *(i for i, (c, k) in enumerate(docs.dtypes) if c != "text" and not k.startswith(("map", "variant")))]
-    one = Window.partitionBy("id", "digest", "mark").orderBy(*[f"c{i}" for i in order], *[F.xxhash64(f"c{i}") for i in range(len(own))])
+    order = [own.index("text"), *(i for i, (c, k) in enumerate(docs.dtypes) if c != "text" and "map<" not in k and "variant" not in k)]
+    one = Window.partitionBy("id", "digest", "mark").orderBy(*[f"c{i}" for i in order], row_hash([(f"c{i}", k) for i, (_, k) in enumerate(docs.dtypes)]))
     return out.withColumn("i", F.row_number().over(one)).where("i = 1").select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, written
+from .common import WORDS, row_hash, written
 
 
 def words(text: Column) -> Column:
@@ -95,6 +95,6 @@ def mix(docs: DataFrame, **params) -> DataFrame:
     own = docs.columns
     rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
     at = {c: f"c{own.index(c)}" for c in ("doc_id", "text", "source")}
-    out = copies(rows, at["doc_id"], words(F.col(at["text"])), F.col(at["source"]).cast("string"), F.xxhash64(at["text"]), **params)
+    out = copies(rows, at["doc_id"], words(F.col(at["text"])), F.col(at["source"]).cast("string"), row_hash([(f"c{i}", k) for i, (_, k) in enumerate(docs.dtypes)]), **params)
     many = out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return many.select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_hash
 from .components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -242,5 +242,5 @@ def keep_first(docs: DataFrame, *, size: int = 4, **params) -> DataFrame:
     each = cut(fingerprints(base, size))
     stay = classes(each, **params).select("first").distinct().select(F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key"))
     out = base.drop("text").join(stay, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
-    one = Window.partitionBy("id", "key").orderBy(*[F.xxhash64(f"c{i}") for i in range(len(own))])
+    one = Window.partitionBy("id", "key").orderBy(row_hash([(f"c{i}", k) for i, (_, k) in enumerate(docs.dtypes)]))
     return out.withColumn("i", F.row_number().over(one)).where("i = 1").select([F.col(f"c{i}").alias(c) for i, c in enumerate(own)])
