@@ -14,8 +14,13 @@ from ..sources.store import listing
 _kept: dict[tuple[str, ...], DataFrame] = {}
 
 
+def forget() -> None:
+    """Lets go of all that is kept."""
+    _kept.clear()
+
+
 class Base:
-    """Relations over one data folder. Components and communities are found once a session and folder, as they run jobs."""
+    """Relations over one data folder. Components, communities and concepts are found once a session and state of the folder's files, as they run jobs."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir

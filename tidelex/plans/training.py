@@ -69,7 +69,7 @@ def augmented_copies(b: Base) -> DataFrame:
     """Every row's copy cut around its concept's first form, with the vector of what is left."""
     copies = inputs.augmented_inputs(b.stored, b.word_concept)
     key = F.concat_ws("|", "id", "concept_id")
-    x = inputs.own_token_vectors(copies.select(key.alias("id"), "lang", F.col("sentence").alias("text")), b.word_concept, INPUT)
+    x = inputs.own_token_vectors(copies.select(key.alias("id"), "lang", F.col("sentence").alias("text")), b.word_concept, INPUT, copies.select(key.alias("id"), "concept_id"))
     j = copies.withColumn("key", key).join(x.select(F.col("id").alias("key"), "concept_id", "n_spans", F.round(F.get("x", F.lit(0)), 6).alias("x_first")), ["key", "concept_id"])
     return j.select("id", "source", "concept_id", "lang", "sentence", "n_spans", "x_first")
 
