@@ -308,3 +308,88 @@ def test_replacing_survives_a_crash_between_renames(spark, tmp_path):
     (tmp_path / "t").rename(tmp_path / "t_old")  # as if it had stopped before the second rename
     put(4)
     assert (n(at), n(f"{at}_full")) == (4, 1) and not (tmp_path / "t_old").exists()
+
+
+# Scans, buffers and caches --------------------------------------------------------------------------------------------
+
+
+def test_flushes_against_a_loop_with_a_restart(spark, tmp_path):
+    from tidelex.streaming import ingest
+
+    r, at = random.Random(3), str(tmp_path)
+    line = lambda: " ".join(r.choice(["bank", "river", "banks", "water", "stone"]) for _ in range(7)) + "."
+    docs = [(r.choice(["en", "es"]), i, " ".join(line() for _ in range(r.randint(1, 6))) + " The bank is by a river and its banks are of stone.") for i in range(60)]
+    for part in (docs[:25], docs[25:]):
+        spark.createDataFrame(part, ingest.ARTICLE).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        ingest.flushes(spark, f"{at}/in", word_concept(spark), f"{at}/out", f"{at}/state", least=10, shards=2)
+    hits = ingest.hits_of(spark.createDataFrame(docs, ingest.ARTICLE), word_concept(spark)).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()
+    want, state = set(), {}
+    for doc in sorted({h.doc_id for h in hits}):
+        own = [h for h in hits if h.doc_id == doc]
+        key = own[0].lang, own[0].shard
+        flush, held = state.get(key, (0, 0))
+        want |= {(*key, flush, doc, h.sent_ord, h.word) for h in own}
+        held += len({h.sent_ord for h in own})
+        state[key] = (flush + 1, 0) if held >= 10 else (flush, held)
+    rows = spark.read.schema(ingest.FLUSHED).parquet(f"{at}/out").collect()
+    assert {(x.lang, x.shard, x.flush, x.doc_id, x.sent_ord, x.word) for x in rows} == want and len(rows) == len(want)
+    assert max(x.flush for x in rows) > 1
+    written = ingest.flushed(spark, f"{at}/out").collect()
+    assert len({(x.lang, x.shard, x.flush, x.sentence) for x in written}) == len(written)
+
+
+def test_a_stopped_scan_goes_on(spark, tmp_path):
+    import os
+
+    from tidelex.operators import corpus
+
+    at = str(tmp_path)
+    docs = spark.createDataFrame([("en" if i % 3 else "es", "word " * (i % 7)) for i in range(90)], "lang string, text string")
+    docs.repartition(6).write.parquet(f"{at}/docs")
+    corpus.scanned(spark, f"{at}/docs", f"{at}/scan", files_per_batch=2, most_batches=1)
+    first = {f: os.path.getmtime(f"{at}/scan/counts/{f}") for f in os.listdir(f"{at}/scan/counts")}
+    got = corpus.scanned(spark, f"{at}/docs", f"{at}/scan", files_per_batch=2)
+    assert {f: os.path.getmtime(f"{at}/scan/counts/{f}") for f in first} == first and len(os.listdir(f"{at}/scan/counts")) == 3
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, corpus.token_counts(docs).collect()))
+    os.remove(next(f"{at}/docs/{f}" for f in os.listdir(f"{at}/docs") if f.startswith("part")))  # what is counted isn't read again
+    assert corpus.scanned(spark, f"{at}/docs", f"{at}/scan").agg(F.sum("k")).first()[0] == 90
+    docs.limit(5).coalesce(1).write.mode("append").parquet(f"{at}/docs")
+    again = corpus.projection(corpus.scanned(spark, f"{at}/docs", f"{at}/scan"), 0.02, 10)
+    assert again.agg(F.sum("n_docs")).first()[0] == 95
+
+
+def test_a_recipe_is_prepared_once(spark, tmp_path):
+    import os
+
+    rows = [(f"{i:02}", "C-1", "en" if i % 2 else "es", f"the long sentence about a bank or banco number {i} of them all") for i in range(14)]
+    points = spark.createDataFrame(rows, "id string, concept_id string, lang string, sentence string")
+    teacher = points.select("id", F.array(F.lit(1.0)).alias("m"))
+    run = lambda p=points, **kw: inputs.prepared(spark, str(tmp_path), p, word_concept(spark), DigestVectors(5), teacher, **kw)
+    first = run(ratio=1.0)
+    assert first.count() == 28 and first.where("id LIKE 't:%'").count() == 14
+    files = {f: os.path.getmtime(tmp_path / f) for f in os.listdir(tmp_path)}
+    assert sorted(map(str, run(points.repartition(3), ratio=1.0).collect())) == sorted(map(str, first.collect())) and {f: os.path.getmtime(tmp_path / f) for f in files} == files
+    assert run(ratio=0.0).count() == 14 and run(points.where("id <> '00'"), ratio=1.0).count() == 26 and len(os.listdir(tmp_path)) == 3
+    at = tmp_path / next(iter(files))
+    os.remove(at / "_SUCCESS")  # as if the run had broken off
+    assert run(ratio=1.0).count() == 28 and (at / "_SUCCESS").exists()
+
+
+def test_learned_mode_leaves_words_without_heads_in_the_backbone(spark):
+    from tidelex.plans.training import learned
+
+    docs = spark.createDataFrame([(1, "en", "bank river bank tree")], "id long, lang string, text string")
+    heads = spark.createDataFrame([("C-1", [[0.5, 0.0, 0.0, 0.0]] * 2)], "concept_id string, weights array<array<double>>")
+    rows = encode.token_rows(docs.select("id", "text")).join(docs.select("id", "lang"), "id")
+    for is_query in (False, True):
+        got = {r.idx: r.value for r in learned(WordsOnly(spark), heads, rows, docs, is_query, provider=DigestVectors(4)).collect()}
+        block = [v for i, v in got.items() if i < 16]
+        weight = 1.0 if is_query else 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / 256))
+        assert len(block) == 2 and np.hypot(*block) == pytest.approx(weight, abs=1e-5) and len(got) == 4  # river and tree stay words
+
+
+class WordsOnly:
+    """A base that knows words only."""
+
+    def __init__(self, spark):
+        self.word_concept = word_concept(spark)
