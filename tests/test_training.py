@@ -393,3 +393,44 @@ class WordsOnly:
 
     def __init__(self, spark):
         self.word_concept = word_concept(spark)
+
+
+# Readers, tokens and head layouts --------------------------------------------------------------------------------------
+
+
+def test_lookup_and_counts_are_read_back(spark, tmp_path):
+    import json
+
+    from tidelex.sources import readers
+
+    (tmp_path / "l.json").write_text(json.dumps({"en": {"bank": "C-1", "banks": "C-1"}, "es": {"banco": "C-1"}}))
+    (tmp_path / "c.json").write_text(json.dumps({"en": {"C-1": 3}, "es": {"C-1": 12}}))
+    assert sorted(map(tuple, readers.lookup(spark, str(tmp_path / "l.json")).collect())) == [("en", "bank", "C-1"), ("en", "banks", "C-1"), ("es", "banco", "C-1")]
+    assert sorted(map(tuple, readers.concept_counts(spark, str(tmp_path / "c.json")).collect())) == [("en", "C-1", 3), ("es", "C-1", 12)]
+
+
+def test_heads_of_both_layouts_and_by_path(spark, tmp_path):
+    at = str(tmp_path)
+    heads = lambda n, w: spark.createDataFrame([(f"C-{i}", [[w + i]]) for i in n], "concept_id string, weights array<array<double>>")
+    store.save_heads(f"{at}/concept_models", heads((3, 1), 0.0), "a", 0)
+    store.save_heads(f"{at}/concept_models", heads((1, 2), 10.0), "b", 0)
+    rows = lambda *a: [(r.pos, r.concept_id, r.weights[0][0]) for r in store.load_heads(spark, *a).orderBy("pos").collect()]
+    assert rows(at) == [(0, "C-1", 11.0), (1, "C-2", 12.0), (2, "C-3", 3.0)]
+    store.export_model(f"{at}/out", spark.createDataFrame([("C-1",)], "concept_id string"), heads((5, 4), 0.0), {"concept_ids": ["C-5", "C-4"]}, "# card\n")
+    assert rows(f"{at}/out") == [(0, "C-5", 5.0), (1, "C-4", 4.0)] == rows(at, f"{at}/out/heads")
+    assert rows(f"{at}/out", f"{at}/concept_models")[0] == (0, "C-1", 11.0)
+    heads((1,), 0.0).write.parquet(f"{at}/bare/heads")
+    with pytest.raises(FileNotFoundError, match="config.json"):
+        store.load_heads(spark, at, f"{at}/bare/heads")
+
+
+def test_plain_tokens_and_focal_vectors(spark):
+    from tidelex.functions.text import plain_tokens
+
+    df = spark.createDataFrame([("Covid-19: it's 3_x, naïve… ÑANDÚ!",)], "t string")
+    assert df.select(plain_tokens(F.col("t"))).first()[0] == ["covid", "19", "it", "s", "3_x", "naïve", "ñandú"]
+    p = DigestVectors(4)
+    points = spark.createDataFrame([("a", "bank", "The bank closed."), ("b", "age", "An old age."), ("c", "gone", "nothing here")], "id string, word string, sentence string")
+    got = {r.id: r.x for r in encode.focal_vectors(points, p).collect()}
+    word = {r.text: r.x for r in p.embed(spark.createDataFrame([("bank",), ("passage",)], "text string")).collect()}
+    assert np.allclose(got["a"], word["bank"]) and np.allclose(got["b"], word["passage"]) and got["c"] == [0.0] * 4  # the known quirk: age stands in passage

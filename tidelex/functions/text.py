@@ -23,6 +23,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+#: Runs of letters, numbers and underscores: what is left when all else becomes a space.
+PLAIN = r"[\p{L}\p{N}_]+"
+
+
+def plain_tokens(text: Column) -> Column:
+    """The lower-cased text split at all that is no letter, number or underscore; digits and mixed words stay, which tokens() leaves out."""
+    return F.regexp_extract_all(F.lower(text), F.lit(PLAIN), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The distinct words, in the order of first appearance."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))

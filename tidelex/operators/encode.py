@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import lexical_index
 from ..functions.stem import stems_of
-from ..functions.text import token_spans, tokens
+from ..functions.text import focal_span, token_spans, tokens
 from ..functions.vector import head, norm
 from .vectors import pooled
 
@@ -55,6 +55,26 @@ def matches(rows: DataFrame, word_concept: DataFrame, lemmas: DataFrame | None =
     return out if heads is None else out.join(heads, "concept_id", "left_semi")
 
 
+def concept_spans(docs: DataFrame, word_concept: DataFrame, prefix: str = "", allowed: DataFrame | None = None) -> DataFrame:
+    """docs(id, lang, text) -> (id, concept_id, start, end): every place where a surface form of a concept stands, in characters of the prefixed text; the prefix itself never
+    matches. With allowed(concept_id) only those concepts."""
+    each = docs.select("id", "lang", F.explode(token_spans(F.col("text"))).alias("s"))
+    rows = each.select("id", "lang", "s.token", (F.col("s.start") + len(prefix)).cast("long").alias("start"), (F.col("s.end") + len(prefix)).cast("long").alias("end"))
+    return matches(rows, word_concept, heads=allowed).select("id", "concept_id", "start", "end")
+
+
+def focal_vectors(points: DataFrame, provider, prefix: str = "passage: ") -> DataFrame:
+    """points(id, word, sentence) -> (id, x): the tokens that overlap the first place, as any substring, of the focal word in the prefixed sentence, pooled; zeros where it
+    stands nowhere. A word may be found within another, or in the prefix."""
+    text = F.concat(F.lit(prefix), "sentence")
+    at = points.select("id", focal_span(F.col("sentence"), F.col("word"), prefix).alias("f"), F.explode_outer(token_spans(text)).alias("s"))
+    hit = at.where((F.col("s.start") < F.col("f.end")) & (F.col("s.end") > F.col("f.start"))).select("id", F.col("s.token").alias("token"), F.col("s.start").alias("s"), F.col("s.end").alias("e"), F.col("f.start").alias("start"), F.col("f.end").alias("end"))
+    x = provider.embed(hit.select(F.col("token").alias("text"))).withColumnRenamed("text", "token")
+    rows = hit.join(x, "token").select("id", "s", "e", F.col("x").cast("array<double>").alias("x"))
+    found = pooled(rows, hit.select("id", F.lit(0).alias("occ"), "start", "end").distinct())
+    return points.select("id").join(found, "id", "left").select("id", F.coalesce("x", F.array_repeat(F.lit(0.0), provider.dim)).alias("x"))
+
+
 def backbone_doc(rows: DataFrame, carve: DataFrame | None = None, p: Bm25 = Bm25()) -> DataFrame:
     """(id, term, weight): BM25 weights of the stems of the tokens outside carve(id, token); these still count in the length."""
     kept = rows if carve is None else rows.join(carve, ["id", "token"], "left_anti")

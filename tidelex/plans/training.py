@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN
+from ..functions.text import PLAIN, TOKEN, plain_tokens
 from ..operators import encode, graph, inputs, train, vocab
 from ..sources.store import shared_dir
 from .base import Base
 from .catalog import _matched, long
 from .register import query
 from .registry import DigestVectors
+from .sql import STOP
 
 PASSAGE = "passage: "
 INPUT, TEACHER = DigestVectors(16), DigestVectors(32)
@@ -133,6 +134,41 @@ def encode_learned(b: Base) -> DataFrame:
     return learned(b, fixed_heads(b), b.doc_tokens.join(lang.select("id", "lang"), "id"), lang, False)
 
 
+# Tokens and spans -------------------------------------------------------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '{PLAIN}'), lambda t: t NOT IN ({STOP}) AND length(t) <= 40)) AS token FROM documents) GROUP BY ALL")
+def plain_terms(b: Base) -> DataFrame:
+    """The backbone's tokens by the rule that keeps digits: what isn't a letter, number or underscore parts them."""
+    rows = encode.token_rows(b.docs.select(F.col("doc_id").alias("id"), "text"), stems=None, tokenise=plain_tokens)
+    return rows.groupBy(F.col("id").alias("doc_id"), "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT p.doc_id AS id, concept_id, (stop - length(token) + 9)::BIGINT AS start, (stop + 9)::BIGINT AS stop FROM (
+  SELECT doc_id, lang, t[i] AS token, sum(length(g[i])) OVER w + sum(length(t[i])) OVER w AS stop FROM (
+    SELECT doc_id, lang, regexp_extract_all(lower(text), '{TOKEN}') AS t, regexp_split_to_array(lower(text), '{TOKEN}') AS g FROM art), unnest(range(1, len(t) + 1)) u(i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) p
+  JOIN wc ON wc.lang = p.lang AND wc.word = p.token""", "art", "wc")
+def concept_spans(b: Base) -> DataFrame:
+    """Every place of a concept's surface forms, in characters of the prefixed text."""
+    s = encode.concept_spans(b.arts.select(F.col("doc_id").alias("id"), "lang", "text"), b.word_concept, PASSAGE)
+    return s.select("id", "concept_id", "start", F.col("end").alias("stop"))
+
+
+_FOCAL = f"""fp AS MATERIALIZED (SELECT DISTINCT id, word, lower('{PASSAGE}' || sentence) AS s FROM points),
+  fs AS (SELECT id, strpos(s, word) - 1 AS a, strpos(s, word) - 1 + length(word) AS z, regexp_extract_all(s, '{TOKEN}') AS t, regexp_split_to_array(s, '{TOKEN}') AS g FROM fp),
+  ft AS (SELECT id, a, z, t[i] AS token, sum(length(g[i])) OVER w + sum(length(t[i])) OVER w AS stop FROM fs, unnest(range(1, len(t) + 1)) u(i) WINDOW w AS (PARTITION BY id ORDER BY i)),
+  fh AS MATERIALIZED (SELECT id, token FROM ft WHERE a >= 0 AND stop - length(token) < z AND stop > a),
+  fv AS {pooled_sql('fh', 'id', 16)}"""
+
+
+@query("SELECT fp.id, round(coalesce(x[1], 0), 6) AS x_first, round(coalesce(x[16], 0), 6) AS x_last FROM fp LEFT JOIN fv ON fv.id = fp.id", "points", also=_FOCAL)
+def focal_vectors(b: Base) -> DataFrame:
+    """The vector of each row's focal word where it first stands, zeros where it doesn't."""
+    v = encode.focal_vectors(b.points.select("id", "word", "sentence").distinct(), INPUT, PASSAGE)
+    at = lambda i: F.round(F.get("x", F.lit(i)), 6)
+    return v.select("id", at(0).alias("x_first"), at(15).alias("x_last"))
+
+
 # Communities -------------------------------------------------------------------------------------------------------------
 
 _LINKED = """sdict AS (SELECT 'en-es' AS dir, (a.i * 64 + a.bucket) * 2 + 1 AS ord, a.word AS src, z.word AS tgt FROM ranked a JOIN ranked z ON z.lang = 'es' AND z.bucket = a.bucket AND z.i = a.i WHERE a.lang = 'en'

@@ -51,6 +51,18 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("m").alias("concept_id", "w")).select("concept_id", "w.en", "w.es")
 
 
+def lookup(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, word, concept_id) of a JSON object of words by language."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    return raw.select(F.explode("m").alias("lang", "w")).select("lang", F.explode("w").alias("word", "concept_id"))
+
+
+def concept_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, concept_id, n) of a JSON object of counts by language."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,bigint>>").alias("m"))
+    return raw.select(F.explode("m").alias("lang", "c")).select("lang", F.explode("c").alias("concept_id", "n"))
+
+
 def question_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(queries (qid, question, id), passages (id, text)) of nested question JSON; the id is the passage's SHA-1."""
     return _questions(spark.read.schema(QUESTIONS).json(path, multiLine=True))

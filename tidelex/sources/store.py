@@ -202,6 +202,23 @@ def merged_heads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "run", "batch")
 
 
+def load_heads(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    """(pos, concept_id, weights) of a published folder (heads in the order of config.json's concept_ids) or, where it holds none, of a training run's heads under
+    concept_models, in the order of ids. A path overrides both: one that ends in /heads is a published table, which needs config.json beside it."""
+    from ..operators.order import numbered  # which builds on this module
+
+    at = path or (f"{folder}/heads" if Files(folder).exists(f"{folder}/heads") else f"{folder}/concept_models")
+    if not at.rstrip("/").endswith("/heads"):
+        heads = merged_heads(spark, at)
+        return numbered(heads.select("concept_id", "weights"), [F.col("concept_id")], "pos").select((F.col("pos") - 1).alias("pos"), "concept_id", "weights")
+    config = f"{at.rstrip('/').removesuffix('/heads')}/config.json"
+    if not Files(config).exists(config):
+        raise FileNotFoundError(f"{at} needs config.json beside it, whose concept_ids give the order")
+    ids = json.loads(Files(config).read(config))["concept_ids"]
+    order = spark.createDataFrame(list(enumerate(ids)), "pos long, concept_id string")
+    return order.join(spark.read.parquet(at), "concept_id").select("pos", "concept_id", "weights")
+
+
 def untrained(concepts: DataFrame, heads: DataFrame) -> DataFrame:
     return concepts.join(heads.select("concept_id"), "concept_id", "left_anti")
 
@@ -252,6 +269,7 @@ def export_model(folder: str, vocab: DataFrame, heads: DataFrame, config: dict,
     vocab.write.mode("errorifexists").parquet(f"{folder}/vocabulary")
     heads.select("concept_id", "weights").write.mode("errorifexists").parquet(f"{folder}/heads")
     files = Files(folder)
+    config = {"concept_ids": [r[0] for r in heads.select("concept_id").orderBy("concept_id").collect()]} | config
     files.write(f"{folder}/config.json", json.dumps(config, indent=1, sort_keys=True).encode())
     files.write(f"{folder}/vector.py", pathlib.Path(vector.__file__).read_bytes())
     rows = [f"| {m['pair']} | {m['metric']} | {m['value']:.4f} | {m.get('comparator') or ''} | {'' if m.get('bar') is None else format(m['bar'], '.4f')} |" for m in metrics or []]
