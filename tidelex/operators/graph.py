@@ -327,6 +327,23 @@ def compare(links: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
     return tally(out.select("name", "nodes", "modularity", "recall"), "modularity")
 
 
+def probe(links: DataFrame, words: DataFrame, named: dict[str, DataFrame]) -> DataFrame:
+    """words(node), a stated few -> (name, node, degree, size, inside): for each partition (node, component) by name, how large a word's part is and how many of its translations are in
+    it; words without a part have neither."""
+    some = F.broadcast(words.select("node"))
+    near = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionAll(links.select(F.col("v").alias("node"), F.col("u").alias("other"))).join(some, "node").distinct()
+    degree = near.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    out = None
+    for name, parts in named.items():
+        p = parts.select("node", "component")
+        own = p.join(some, "node")
+        size = p.join(own.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        inner = near.join(own, "node").join(p.toDF("other", "its"), "other").where("component = its").groupBy("node").agg(F.count(F.lit(1)).alias("inside"))
+        row = degree.join(own.join(size, "component"), "node", "left").join(inner, "node", "left").select(F.lit(name).alias("name"), "node", "degree", "size", F.when(F.col("size").isNotNull(), F.coalesce("inside", F.lit(0).cast("long"))).alias("inside"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _in_a_row(name: str, *ones: DataFrame) -> DataFrame:
     """Tables of one row each, side by side under a name."""
     out, *more = (x.withColumn("name", F.lit(name)) for x in ones)

@@ -61,7 +61,7 @@ class Base:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return vocab.edges(self.top)
+        return self.kept("edges", lambda: graph.cut(vocab.edges(self.top)))
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """What make gives, made once for these very files: a folder that is written again has others, by name, size or time."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import lexical_index
@@ -561,13 +561,21 @@ def pool_spans(b: Base) -> DataFrame:
 _SENSES = (("money", r"(^|\W)the\W"), ("river", r"(^|\W)thand\W"), ("other", r"(^|\W)erthly\W"))
 
 
-@query("SELECT lang, CASE WHEN a + b + c = 1 THEN CASE WHEN a = 1 THEN 'money' WHEN b = 1 THEN 'river' ELSE 'other' END ELSE 'other_' || lang END AS bucket, count(*) AS n FROM (SELECT lang, "
-       + ", ".join(f"regexp_matches(sentence, '{r}')::INT AS {x}" for (_, r), x in zip(_SENSES, "abc", strict=True)) + " FROM sents) GROUP BY 1, 2", "sents")
-def sense_buckets(b: Base) -> DataFrame:
+_SENSE_SQL = ("SELECT lang, CASE WHEN a + b + c = 1 THEN CASE WHEN a = 1 THEN 'money' WHEN b = 1 THEN 'river' ELSE 'other' END ELSE 'other_' || lang END AS bucket, sentence FROM (SELECT lang, sentence, "
+              + ", ".join(f"regexp_matches(sentence, '{r}')::INT AS {x}" for (_, r), x in zip(_SENSES, "abc", strict=True)) + " FROM sents)")
+
+
+def sense_of() -> Column:
+    """The sense whose pattern alone a sentence meets, else other in its language."""
     hits = [F.col("sentence").rlike(r) for _, r in _SENSES]
     one = sum((h.cast("int") for h in hits[1:]), hits[0].cast("int")) == 1
     name = F.when(hits[0], _SENSES[0][0]).when(hits[1], _SENSES[1][0]).otherwise(_SENSES[2][0])
-    return b.sents.groupBy("lang", F.when(one, name).otherwise(F.concat(F.lit("other_"), "lang")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return F.when(one, name).otherwise(F.concat(F.lit("other_"), "lang"))
+
+
+@query(f"SELECT lang, bucket, count(*) AS n FROM ({_SENSE_SQL}) GROUP BY 1, 2", "sents")
+def sense_buckets(b: Base) -> DataFrame:
+    return b.sents.groupBy("lang", sense_of().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Further views ----------------------------------------------------------------------------------------------------------

@@ -14,10 +14,10 @@ from ..sources.store import shared_dir
 from ..streaming import ingest
 from . import retrievers
 from .base import Base
-from .catalog import _BARS_SQL, _DEMAND, _PLACED, _POOL, _REPORT, _report, long
+from .catalog import _BARS_SQL, _DEMAND, _PLACED, _POOL, _REPORT, _SENSE_SQL, _report, long, sense_of
 from .register import SQL, query
 from .registry import HashedGrams
-from .training import LEARNED
+from .training import INPUT, LEARNED, digest_sql, unit_sql
 
 # Vocabulary -------------------------------------------------------------------------------------------------------------
 
@@ -90,10 +90,40 @@ _ATTACHED = _PLACED + ", attached AS (FROM placed UNION ALL FROM a UNION ALL FRO
 def partition_suite(b: Base) -> DataFrame:
     """Three partitions side by side: the communities, these without some words, and with orphans attached to them again."""
     some = b.parts.where(~F.col("node").endswith("a"))
-    again = some.unionByName(vocab.attach_orphans(b.dictionary, some).select("node", "component"))
+    again = graph.cut(some.unionByName(vocab.attach_orphans(b.dictionary, some).select("node", "component")))
     return graph.compare(b.edges, {"whole": b.parts, "cut": some, "attached": again}).select("name", "nodes", "modularity", "recall")
 
 
+def _probe_sql(name: str, parts: str) -> str:
+    return f"""SELECT '{name}' AS name, w.node, w.degree, z.size, CASE WHEN z.size IS NOT NULL THEN (SELECT count(*) FROM near n JOIN {parts} o ON o.node = n.other WHERE n.node = w.node AND o.component = p.component) END AS inside
+      FROM probes w LEFT JOIN {parts} p ON p.node = w.node LEFT JOIN (SELECT component, count(*) AS size FROM {parts} GROUP BY 1) z ON z.component = p.component"""
+
+
+_PROBES = _ATTACHED + """, near AS (SELECT u AS node, v AS other FROM edge UNION SELECT v, u FROM edge), probes AS (SELECT node, count(*) AS degree FROM near GROUP BY 1 ORDER BY degree DESC, node LIMIT 20)"""
+
+
+@query(f"{_probe_sql('whole', 'part')} UNION ALL {_probe_sql('cut', 'placed')} UNION ALL {_probe_sql('attached', 'attached')}", "edge", "part", "top", also=_PROBES)
+def polysemy_probe(b: Base) -> DataFrame:
+    """The 20 words of most translations, and where three partitions put them."""
+    some = b.parts.where(~F.col("node").endswith("a"))
+    again = graph.cut(some.unionByName(vocab.attach_orphans(b.dictionary, some).select("node", "component")))
+    ends = b.edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    return graph.probe(b.edges, ends.orderBy(F.desc("degree"), "node").limit(20), {"whole": b.parts, "cut": some, "attached": again})
+
+
+_SENSE_SUMS = f"sv AS (SELECT bucket, {unit_sql('d')} AS x FROM (SELECT bucket, {digest_sql('sentence', 16)} AS d FROM ({_SENSE_SQL}))), ss AS (SELECT bucket, count(*) AS n, [{', '.join(f'sum(x[{i}])' for i in range(1, 17))}] AS t FROM sv GROUP BY 1)"
+
+
+@query("""SELECT a.bucket AS bucket_a, b.bucket AS bucket_b, CASE WHEN a.bucket = b.bucket THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n_pairs,
+  round(CASE WHEN a.bucket = b.bucket THEN (list_dot_product(a.t, a.t) - a.n) / (a.n * (a.n - 1))::DOUBLE ELSE list_dot_product(a.t, b.t) / (a.n * b.n)::DOUBLE END, 5) AS mean
+  FROM ss a JOIN ss b ON a.bucket <= b.bucket WHERE a.bucket <> b.bucket OR a.n > 1""", "sents", also=_SENSE_SUMS)
+def sense_matrix(b: Base) -> DataFrame:
+    """Mean similarity of sentences within each sense and between each two."""
+    s = b.sents.select(sense_of().alias("bucket"), "sentence")
+    x = INPUT.embed(s.select(F.col("sentence").alias("text"))).withColumnRenamed("text", "sentence")
+    return vectors.bucket_matrix(s.join(x, "sentence"), "bucket").withColumn("mean", F.round("mean", 5))
+
+
 @query()
 def schedule_verdict(b: Base) -> DataFrame:
     """Louvain by how resolution rises for parts that are too large: parts, words by depth, undivided parts, modularity, and the tally."""
