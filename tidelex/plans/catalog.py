@@ -391,7 +391,7 @@ def lexical_search(b: Base) -> DataFrame:
     return search.search(q.select(F.col("id").alias("qid"), "term", F.col("weight").alias("q")), d.withColumnRenamed("weight", "d"), es.count(), 5)
 
 
-@query(_RANK.format(q="tr", p="esp"), "dpost", "qword", "trstem", also="esp AS (FROM dpost WHERE lang = 'es'), tr AS (SELECT DISTINCT qid, stem AS term, 1.0::DOUBLE AS q FROM qword LEFT JOIN trans ON src = token JOIN trstem s ON s.token = coalesce(tgt, qword.token))")
+@query(_RANK.format(q="tr", p="esp"), "dpost", "qword", "trans", "trstem", also="esp AS (FROM dpost WHERE lang = 'es'), tr AS (SELECT DISTINCT qid, stem AS term, 1.0::DOUBLE AS q FROM qword LEFT JOIN trans ON src = token JOIN trstem s ON s.token = coalesce(tgt, qword.token))")
 def translate_bm25(b: Base) -> DataFrame:
     es = b.docs.where("lang = 'es'")
     q = translated(b.query_tokens.select(F.col("id").alias("qid"), F.lit(0).alias("ord"), "token"), b.translations)
