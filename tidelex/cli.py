@@ -69,7 +69,7 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     elif a.verb == "scan":
         b.counts.write.parquet(a.out)
     elif a.verb == "embed":
-        rows, seen = sample.counted(sample.points(sample.capped(b.hits, a.per_article, a.per_concept)), "rows")
+        rows, seen = sample.counted(sample.points(sample.capped_articles(b.arts, b.word_concept, a.per_article, a.per_concept)), "rows")
         store.upsert(spark, a.out, rows, 1)
         print(f"{seen.get['rows']} rows stored")
     elif a.verb == "encode":
