@@ -1,11 +1,14 @@
 """What is dealt out between tasks, and steps that have to stay near-linear."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from tidelex.operators import corpus, sample
+from tidelex.operators import corpus, sample, train
 from tidelex.plans.base import Base
 
 
@@ -44,3 +47,35 @@ def test_capped_articles_are_those_of_all_hits(spark):
         # Rows of one id may tie; each has a sentence of its own article that holds its word.
         own = {(x.lang, x.doc_id, x.sent_ord, x.word, x.sentence) for x in hits.collect()}
         assert all((x.lang, x.doc_id, x.sent_ord, x.word, x.sentence) in own for x in got)
+
+
+class Grouped:
+    """Takes the place of a table whose groups are handed to a function, to run it here."""
+
+    def groupBy(self, *_):
+        return self
+
+    def applyInPandas(self, f, schema):
+        return f
+
+
+def test_clusters_of_a_full_concept_take_little_memory():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 32)) + rng.integers(0, 3, 1500)[:, None] * 4
+    df = pd.DataFrame({"id": range(1500), "x": list(x)})
+    tracemalloc.start()
+    got = train.kmeans_best(Grouped())(("c",), df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All differences would take 576 MB.
+    assert got.k[0] == 3 and peak < 150e6
+
+
+def test_silhouette_of_blocks_against_all_distances():
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(40, 3)), rng.normal(size=(1, 3)) + 50]
+    got = train.kmeans_best(Grouped(), ks=(2,))(("c",), pd.DataFrame({"id": range(41), "x": list(x)}))
+    d = np.linalg.norm(x[:, None] - x[None], axis=-1)
+    one = np.arange(41) < 40  # the far row is alone, and counts 0
+    own, other = d[:40, :40].sum(1) / 39, d[:40, 40]
+    assert abs(got.silhouette[0] - ((other - own) / np.maximum(own, other)).sum() / 41) < 1e-12 and one.sum() == 40
