@@ -8,8 +8,10 @@ import pandas as pd
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from tidelex.operators import corpus, sample, train
+from tidelex.functions.text import focal_span, focal_tokens, token_spans
+from tidelex.operators import corpus, encode, sample, train
 from tidelex.plans.base import Base
+from tidelex.plans.registry import DigestVectors
 
 
 def plan_nodes(df, *kinds):
@@ -79,3 +81,26 @@ def test_silhouette_of_blocks_against_all_distances():
     one = np.arange(41) < 40  # the far row is alone, and counts 0
     own, other = d[:40, :40].sum(1) / 39, d[:40, 40]
     assert abs(got.silhouette[0] - ((other - own) / np.maximum(own, other)).sum() / 41) < 1e-12 and one.sum() == 40
+
+
+def test_focal_tokens_are_those_whose_spans_overlap(spark):
+    rows = [("One\ntwo", "two"), ("a one-two b", "one-two"), ("Xtwoy z", "two"), ("none", "two"), ("so", "pass"), ("pre- fix-", "-"), ("tail\n", "ail"), ("a bc", "a b"), ("x", "")]
+    df = spark.createDataFrame(rows, "sentence string, word string")
+    text = F.concat(F.lit("passage: "), "sentence")
+    got = df.select(focal_span(F.col("sentence"), F.col("word")).alias("f"), token_spans(text).alias("s"), focal_tokens(F.col("sentence"), F.col("word")).alias("t")).collect()
+    for r in got:
+        assert (r.t or []) == [s.token for s in r.s if r.f and s.start < r.f.end and s.end > r.f.start]
+
+
+def test_no_vector_is_dealt_out_with_a_text(spark):
+    docs = spark.createDataFrame([(1, "en", "one two")], "id long, lang string, text string")
+    wc = spark.createDataFrame([("en", "one", "C-1"), ("en", "two", "C-1")], "lang string, word string, concept_id string")
+    nodes = plan_nodes(encode.concept_vectors(docs, wc, DigestVectors(4)), "Aggregate", "RepartitionByExpression")
+    assert nodes and not any("id" in cols and "x" in cols for _, cols in nodes)
+
+
+def test_spans_of_many_texts_come_in_blocks(spark):
+    texts = [None, "", "a b"] + ["Ärger, ¿qué 12 x²?"] * 300
+    got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(token_spans(F.col("t")).alias("s")).collect()]
+    assert got[:3] == [[], [], [("a", 0, 1), ("b", 2, 3)]] and len(got) == 303
+    assert {tuple(x.token for x in s) for s in got[3:]} == {("ärger", "qué", "x²")}
