@@ -82,7 +82,9 @@ class DigestVectors:
         self.dim = dim
 
     def embed(self, texts: DataFrame) -> DataFrame:
-        digits = F.transform(F.sequence(F.lit(1), F.lit(self.dim)), lambda i: F.conv(F.substr(F.sha1("text"), i, F.lit(1)), 16, 10).cast("double") - 7.5)
+        places = F.sequence(F.lit(1), F.lit(self.dim))
+        # The hash is bound once, not worked out again for each place.
+        digits = F.transform(F.array(F.sha1("text")), lambda h: F.transform(places, lambda i: F.conv(F.substr(h, i, F.lit(1)), 16, 10).cast("double") - 7.5))[0]
         return texts.select("text").distinct().withColumn("x", unit(digits))
 
 
