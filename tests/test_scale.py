@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
-from tidelex.operators import corpus, encode, sample, train
+from tidelex.operators import corpus, encode, graph, sample, train
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors
 
@@ -104,3 +105,25 @@ def test_spans_of_many_texts_come_in_blocks(spark):
     got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(token_spans(F.col("t")).alias("s")).collect()]
     assert got[:3] == [[], [], [("a", 0, 1), ("b", 2, 3)]] and len(got) == 303
     assert {tuple(x.token for x in s) for s in got[3:]} == {("ärger", "qué", "x²")}
+
+
+def test_size_guesses_dont_grow_with_rounds_of_joins(spark):
+    rows = graph.cut(spark.range(20).withColumn("k", F.col("id") % 3))
+    for _ in range(6):
+        rows = graph.cut(rows.join(rows.groupBy("k").agg(F.max("id").alias("m")), "k", "left").select("id", "k"), gone=rows)
+    assert rows.count() == 20 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+
+
+def test_coupled_caps_in_blocks_of_documents_against_a_loop(spark):
+    r = random.Random(11)
+    rows = sorted({(r.choice(["en", "es"]), r.randint(0, 60), r.randint(0, 3), r.choice("abcdefghijkl")) for _ in range(900)}, key=lambda x: (x[1], x[2], x[0], x[3]))
+    concept_, word_, seen, want = Counter(), Counter(), set(), []
+    for lang, doc, sent, w in rows:
+        c = f"C-{ord(w) % 5}"
+        if (lang, doc, sent) not in seen and concept_[c] < 12 and word_[w, lang] < 4:
+            seen.add((lang, doc, sent)), want.append((lang, doc, sent, w, c))
+            concept_[c] += 1
+            word_[w, lang] += 1
+    df = spark.createDataFrame([(*x, f"C-{ord(x[3]) % 5}") for x in rows], "lang string, doc_id long, sent_ord long, word string, concept_id string").repartition(3)
+    docs = df.select("doc_id").distinct()
+    assert sorted(map(tuple, sample.coupled(df, 12, 4, docs=docs, first=4, growth=2, often=3).collect())) == sorted(want)

@@ -181,7 +181,7 @@ def augmented_rows(b: Base) -> DataFrame:
 @query()
 def coupled_fetch(b: Base) -> DataFrame:
     """One row a sentence: its first word whose concept and whose own cap are both open still."""
-    return sample.coupled(b.hits, per_concept=10, per_word=4)
+    return sample.coupled(b.hits, per_concept=10, per_word=4, docs=b.arts.select("doc_id"))
 
 
 # Retrieval and evaluation --------------------------------------------------------------------------------------------------
