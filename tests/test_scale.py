@@ -10,7 +10,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
-from tidelex.operators import corpus, encode, graph, sample, train
+from tidelex.operators import corpus, encode, graph, sample, train, vocab
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors
 
@@ -127,3 +127,10 @@ def test_coupled_caps_in_blocks_of_documents_against_a_loop(spark):
     df = spark.createDataFrame([(*x, f"C-{ord(x[3]) % 5}") for x in rows], "lang string, doc_id long, sent_ord long, word string, concept_id string").repartition(3)
     docs = df.select("doc_id").distinct()
     assert sorted(map(tuple, sample.coupled(df, 12, 4, docs=docs, first=4, growth=2, often=3).collect())) == sorted(want)
+
+
+def test_dictionaries_read_words_that_are_ranked_once(spark):
+    b = Base(spark, DATA)
+    linked = vocab.linked_dictionary(b.arts, b.ranked)
+    assert not any("documents" in f for d in (b.dictionary, linked) for f in d.inputFiles())
+    assert sorted(map(tuple, linked.collect())) == sorted(map(tuple, vocab.linked_dictionary(b.arts).collect()))
