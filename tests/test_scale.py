@@ -134,3 +134,18 @@ def test_dictionaries_read_words_that_are_ranked_once(spark):
     linked = vocab.linked_dictionary(b.arts, b.ranked)
     assert not any("documents" in f for d in (b.dictionary, linked) for f in d.inputFiles())
     assert sorted(map(tuple, linked.collect())) == sorted(map(tuple, vocab.linked_dictionary(b.arts).collect()))
+
+
+def test_ranking_stems_no_text_and_deals_out_no_score(spark):
+    ranked = Base(spark, DATA).ranked_docs()
+    assert not plan_nodes(ranked, "ArrowEvalPython", "BatchEvalPython")
+    # One shuffle deals the asked tokens out by id; the other aggregates need none but for terms, and the ranking's own.
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(qid" in plan and ", id#" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(qid" in x)
+
+
+def test_asked_rows_are_those_of_all_rows(spark):
+    docs = spark.createDataFrame([(1, "Running the runs, ran"), (1, "runs alone"), (2, None), (3, "the x1 " + "y" * 41)], "id long, text string")
+    terms = spark.createDataFrame([("run",), ("x1",), ("run",), ("none",)], "term string")
+    got, want = encode.asked_rows(docs, terms), encode.token_rows(docs).join(terms.distinct(), "term").select("id", "length", "term")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
