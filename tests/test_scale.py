@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
 from tidelex.operators import corpus, encode, graph, sample, train, vocab
+from tidelex.plans import catalog, further, retrievers
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors
 
@@ -149,3 +150,33 @@ def test_asked_rows_are_those_of_all_rows(spark):
     terms = spark.createDataFrame([("run",), ("x1",), ("run",), ("none",)], "term string")
     got, want = encode.asked_rows(docs, terms), encode.token_rows(docs).join(terms.distinct(), "term").select("id", "length", "term")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+
+
+def test_carved_words_are_those_of_a_row_s_own_language(spark):
+    docs = spark.createDataFrame([(1, "en", "cat dog cat"), (1, "es", "cat sol luna y mar")], "id long, lang string, text string")
+    wc = spark.createDataFrame([("en", "cat", "C-00002")], "lang string, word string, concept_id string")
+    rows = encode.token_rows(docs, stems=None, also=("lang",)).drop("term")
+    got = {(r.term, r.concept_id, r.lang, r.length): r.tf for r in encode.backbone_or_concept(rows, wc).collect()}
+    assert got == {(None, "C-00002", "en", 3): 2, ("dog", None, "en", 3): 1} | {(w, None, "es", 5): 1 for w in ("cat", "sol", "luna", "y", "mar")}
+    assert {r.term for r in encode.lexical_vectors(rows, wc, False).collect()} == {"c:C-00002", "t:dog", "t:cat", "t:sol", "t:luna", "t:y", "t:mar"}
+
+
+def test_vectors_are_encoded_in_one_pass(spark):
+    b = Base(spark, DATA)
+    assert not plan_nodes(encode.encode_sparse(b.lang_tokens, b.word_concept, False), "Union")[1:]  # one for the words of both languages
+
+
+def test_words_are_counted_before_they_meet_concepts(spark):
+    b = Base(spark, DATA)
+    for df in (b.counts, further.concept_union(b), catalog.lemma_match(b)):
+        joined = plan_nodes(df, "Join")
+        assert joined and not any({"id", "doc_id", "sent_ord", "words"} & set(cols) for _, cols in joined)
+    assert ["lang", "word", "n"] in [cols for _, cols in plan_nodes(b.counts, "Aggregate")]
+
+
+def test_only_asked_postings_are_kept(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(retrievers, "cut", lambda df: kept.append(graph.cut(df)) or kept[-1])
+    assert retrievers.evaluate(Base(spark, DATA), ("bm25", "lexical"), ("eng-eng",)).count() == 2
+    posts, asked = (next(x for x in kept if set(x.columns) == c) for c in ({"part", "id", "term", "d"}, {"run", "part", "qid", "term", "q"}))
+    assert posts.join(asked, ["part", "term"], "left_anti").isEmpty() and not posts.isEmpty()
