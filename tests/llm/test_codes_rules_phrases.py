@@ -227,3 +227,17 @@ def test_scores_of_large_counts(spark):
     rows = [("en", "x y", 2, a), ("en", "x", 1, l), ("en", "y", 1, r), ("en", "", 0, 10**13)]
     got = phrases.scores(spark.createDataFrame(rows, phrases.COUNTED), 10, 50).first()
     assert got.score == 1_000_000 * a * a // (l * r) and got.n == 10**13
+
+
+def test_blocks_are_small_and_give_counts_back():
+    """What shards send: counts and cells come back as they were, in a fraction of the bytes of plain rows."""
+    rng = np.random.default_rng(1)
+    names = {" ".join(f"w{i}" for i in rng.integers(0, 2000, k)) for k in rng.integers(1, 4, 40_000)} | {"", "naïve 😀"}
+    found = {x: int(n) for x, n in zip(names, rng.integers(1, 30, len(names)), strict=True)} | {"": 2**32 - 1}
+    sent = phrases.blocks("en", found, {x: i % 256 for i, x in enumerate(found)})
+    back = [r for b in phrases.opened(iter([sent]), rows=1000) for r in b.to_pylist()]
+    assert len(back) == len(found) and {r["phrase"]: r["n"] for r in back} == found and {r["lang"] for r in back} == {"en"}
+    assert sent.nbytes < 0.5 * sum(len(x.encode()) + 8 for x in found)
+    steps = np.diff(np.unique(rng.integers(0, 1 << 28, 1_000_000)), prepend=0).astype(np.uint32)
+    block = phrases.packed(phrases.by_byte(steps))
+    assert (phrases.from_bytes(phrases.unpacked(block)) == steps).all() and len(block) < 2 * len(steps)

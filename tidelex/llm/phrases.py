@@ -4,7 +4,8 @@ Words and phrases of two and three words are counted by language in three steps.
 names, so a cell's sum is never below the count of anything in it. Shards of texts send their cells, cut off at the least count, by ranges of
 cells; each range gives one bit a cell: whether its sum reaches the least count. (2) Candidates: in each shard, those whose own bit and whose parts' bits are all set (no phrase is more frequent than its parts) are compiled
 into an automaton, guarded by a space on both sides, which scans the shard's texts and counts all matches, overlapping ones too.
-(3) Counts of all shards are summed, exact for every candidate, and only then the thresholds are applied, on tables.
+(3) Shards send their counts as packed blocks, a block for each range of hashes; where a range's blocks meet, they are unpacked and counts of all
+shards are summed, exact for every candidate, and only then the thresholds are applied, on tables.
 
 The sketch has 2**bits cells whatever the input, 32 MB as bits, which is what workers get. More text fills it and lets more candidates through that
 don't reach the least count; they cost scanning and go when counts are summed, so the result doesn't depend on its size.
@@ -85,6 +86,24 @@ def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[tupl
     yield from ((x, b"\n".join(t)) for x, t in held.items())
 
 
+def packed(raw: bytes) -> bytes:
+    """Its length, then the compressed bytes."""
+    return len(raw).to_bytes(8) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes) -> bytes:
+    return pa.decompress(block[8:], int.from_bytes(block[:8]), codec="zstd", asbytes=True)
+
+
+def by_byte(steps: np.ndarray) -> bytes:
+    """Numbers of 32 bits as all their first bytes, then all second ones: steps are small, so that most of it is zeros."""
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_bytes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def sketch(texts: DataFrame, least: int, bits: int, shard_bytes: int) -> list[bytes]:
     """For each range of cells, a bit a cell: whether its sum over all texts reaches least."""
     per_range = (1 << bits) // RANGES
@@ -99,7 +118,7 @@ def sketch(texts: DataFrame, least: int, bits: int, shard_bytes: int) -> list[by
             for k in range(RANGES):
                 at = slice(cut[k], cut[k + 1])
                 if at.start < at.stop:
-                    kinds.append(k), places.append(np.diff(cell[at], prepend=np.uint32(k * per_range)).tobytes()), sums.append(n[at].tobytes())
+                    kinds.append(k), places.append(packed(by_byte(np.diff(cell[at], prepend=np.uint32(k * per_range))))), sums.append(packed(n[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(places, pa.binary()), pa.array(sums, pa.binary())], ["range", "steps", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +126,8 @@ def sketch(texts: DataFrame, least: int, bits: int, shard_bytes: int) -> list[by
         for b in batches:
             for k, steps, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 sums = total.setdefault(k, np.zeros(per_range, np.uint8 if least < 128 else np.uint32))
-                cell = np.cumsum(np.frombuffer(steps, np.uint32))
-                n = np.frombuffer(n, np.uint8 if least < 256 else np.uint32)
+                cell = np.cumsum(from_bytes(unpacked(steps)))
+                n = np.frombuffer(unpacked(n), np.uint8 if least < 256 else np.uint32)
                 sums[cell] = np.minimum(sums[cell] + n.astype(sums.dtype), least)
         for k, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], ["range", "bits"])
@@ -127,6 +146,38 @@ def matches(names: Iterable[str], body: str) -> Counter[str]:
     return Counter(map(itemgetter(1), automaton.iter(body)))
 
 
+def blocks(lang: str, found: dict[str, int], range_of: dict[str, int]) -> pa.RecordBatch:
+    """(range, lang, phrases, n): counts of a shard by the range of their hash, in the order of phrases, which then share beginnings."""
+    by: dict[int, list[str]] = {}
+    for name in found:
+        by.setdefault(range_of[name], []).append(name)
+    names, sums = [], []
+    for some in by.values():
+        some.sort()
+        names.append(packed("\n".join(some).encode()))
+        sums.append(packed(by_byte(np.fromiter(map(found.__getitem__, some), np.uint32, len(some)))))
+    lists = [pa.array(list(by), pa.int32()), pa.array([lang] * len(by), pa.string()), pa.array(names, pa.binary()), pa.array(sums, pa.binary())]
+    return pa.RecordBatch.from_arrays(lists, ["range", "lang", "phrases", "n"])
+
+
+def opened(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows (lang, phrase, n) of blocks, of so many blocks at a time as have that many rows."""
+    langs: list[str] = []
+    names: list[str] = []
+    sums: list[np.ndarray] = []
+    full = lambda: pa.RecordBatch.from_arrays([pa.array(langs), pa.array(names), pa.array(np.concatenate(sums).astype(np.int64))], ["lang", "phrase", "n"])
+    for b in batches:
+        for lang, some, n in zip(*b.columns[1:], strict=True):
+            sums.append(from_bytes(unpacked(n.as_py())))
+            names += unpacked(some.as_py()).decode().split("\n")
+            langs += [lang.as_py()] * len(sums[-1])
+            if len(names) >= rows:
+                yield full()
+                langs, names, sums = [], [], []
+    if names:
+        yield full()
+
+
 def count(texts: DataFrame, least: int, bits: int = 28, shard_bytes: int = 8 << 20) -> DataFrame:
     """texts(lang, text) without nulls -> (lang, phrase, words, n): exact counts of all words and phrases that may reach least, and of some others;
     for each language a row of no words with the number of all its words."""
@@ -135,7 +186,7 @@ def count(texts: DataFrame, least: int, bits: int = 28, shard_bytes: int = 8 <<
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for lang, body in shards(batches, shard_bytes):
-            names: set[str] = set()
+            names: dict[str, int] = {"": 0}  # and the range of each
             total = 0
             for buf, k, a, b, h, new in phrases(body, hash_text(lang)):
                 total += int(new.sum()) if k == 1 else 0
@@ -145,12 +196,13 @@ def count(texts: DataFrame, least: int, bits: int = 28, shard_bytes: int = 8 <<
                 at = np.flatnonzero(bound & new)
                 at = at[np.unique(h[at], return_index=True)[1]]
                 raw = buf.tobytes()
-                names.update(raw[i:j].decode() for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True))
-            found = matches(names, body.decode()) if names else {}
-            n = pa.array([*found.values(), total], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([*found, ""]), n], ["lang", "phrase", "n"])
+                names.update((raw[i:j].decode(), r) for i, j, r in zip(a[at].tolist(), b[at].tolist(), (cell[at] * np.uint64(RANGES) >> np.uint64(bits)).tolist(), strict=True))
+            found = matches(filter(None, names), body.decode()) if len(names) > 1 else {}
+            found[""] = total
+            yield blocks(lang, found, names)
 
-    n = texts.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    sent = texts.mapInArrow(scan, "range int, lang string, phrases binary, n binary").repartition(F.col("range"))
+    n = sent.mapInArrow(opened, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words_of = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
     return n.select("lang", "phrase", words_of.alias("words"), "n")
 
