@@ -457,3 +457,23 @@ def test_streaming_ingest_resumes_and_caps(spark, tmp_path):
     put(5, 12)
     run()
     assert ingest.stored(spark, str(tmp_path / "out")).count() == 8
+
+
+def test_ingest_reads_sentences_again_only_for_rows_that_stay(spark, tmp_path):
+    """What goes to the state holds no sentence; each stored row still has its own, also where one id comes twice."""
+    from tidelex.streaming import ingest
+
+    wc = spark.createDataFrame([("en", "bank", "C-1"), ("en", "river", "C-1"), ("en", "old", "C-2")], "lang string, word string, concept_id string")
+    text = lambda i: f"Too short here. The old bank number {'abcdef'[i]} was very large. A river near the bank {'abcdef'[i]} ran high. No concept stands in this one."
+    rows = [("en", i, text(i)) for i in range(5)] + [("en", 4, text(5)), ("en", 9, None)]
+    spark.createDataFrame(rows, ingest.ARTICLE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    arts = spark.read.schema(ingest.ARTICLE).parquet(str(tmp_path / "in"))
+    places = ingest.places_of(arts, wc)
+    assert "sentence" not in places.columns and "sentence" not in ingest.PLACES
+    columns = ["lang", "concept_id", "doc_id", "sent_ord", "word", "sentence"]
+    want = sorted(map(tuple, ingest.hits_of(arts, wc).select(columns).collect()))
+    assert sorted(map(tuple, ingest.with_sentences(places).select(columns).collect())) == want and len(want) == 24
+    ingest.ingest(spark, str(tmp_path / "in"), wc, str(tmp_path / "out"), str(tmp_path / "cp"), cap=7, per_article=1)
+    got = ingest.stored(spark, str(tmp_path / "out")).select(columns).collect()
+    assert set(map(tuple, got)) <= set(want) and {(r.concept_id, r.doc_id) for r in got} == {(c, i) for c in ("C-1", "C-2") for i in range(5)}
+    assert len(got) == 10
