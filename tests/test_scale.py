@@ -4,13 +4,15 @@ import random
 import tracemalloc
 from collections import Counter
 
+import duckdb
 import numpy as np
+import oracle
 import pandas as pd
 from oracle import DATA
 from pyspark.sql import functions as F
 
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
-from tidelex.operators import corpus, encode, graph, sample, train, vocab
+from tidelex.operators import corpus, encode, graph, sample, train, vectors, vocab
 from tidelex.plans import catalog, further, retrievers
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors
@@ -180,3 +182,21 @@ def test_only_asked_postings_are_kept(spark, monkeypatch):
     assert retrievers.evaluate(Base(spark, DATA), ("bm25", "lexical"), ("eng-eng",)).count() == 2
     posts, asked = (next(x for x in kept if set(x.columns) == c) for c in ({"part", "id", "term", "d"}, {"run", "part", "qid", "term", "q"}))
     assert posts.join(asked, ["part", "term"], "left_anti").isEmpty() and not posts.isEmpty()
+
+
+def test_mining_reads_all_rows_of_a_concept(spark, tmp_path):
+    """More rows of a concept and language than stores give to training: triplets are mined from all of them, in blocks as from one."""
+    r = np.random.default_rng(5)
+    n = [2 * i for i in range(2010)] + [2 * i + 1 for i in range(30)]
+    rows = [(i, r.normal(size=3).round(3).tolist(), 0) for i in n] + [(5001 + i, [1.0, float(i), 0.0], 1) for i in range(3)] + [(6000, None, 0), (6002, [0.0, 0.0, 0.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    grid = catalog.queries()["mining_grid"](spark, str(tmp_path))
+    assert grid.where("lang_a = 'en' and lang_b = 'en'").select("a").distinct().count() > 2000
+    oracle.check(con, grid, catalog.oracle_sql()["mining_grid"])
+    few = Base(spark, str(tmp_path)).all_vec.where("id < 300")
+    whole, blocks = (vectors.mining_grid(few, 0.05, **k) for k in ({}, {"anchors": 40, "others": 70, "step": 16}))
+    assert sorted(whole.collect()) == sorted(blocks.collect()) and whole.count() > 1000
+    for name in ("rejection_rate", "sampler_stats", "triplet_audit", "triplet_loss"):
+        oracle.check(con, catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name])

@@ -326,9 +326,9 @@ def triplet_audit(b: Base) -> DataFrame:
 
 
 @query("""SELECT v.concept_id, count(*) AS anchors, round(avg((f.a IS NULL)::INT), 6) AS rejected, round(avg(f.has_xl::INT), 6) AS with_xl, round(avg(f.margin_sl), 6) AS margin_mean, round(stddev_pop(f.margin_sl), 6) AS margin_std
-  FROM vec v LEFT JOIN five f ON f.concept_id = v.concept_id AND f.a = v.id GROUP BY 1""", "vec", "five")
+  FROM allvec v LEFT JOIN five f ON f.concept_id = v.concept_id AND f.a = v.id GROUP BY 1""", "allvec", "five")
 def sampler_stats(b: Base) -> DataFrame:
-    return vectors.sampler_stats(b.vec, vectors.five_point_grid(b.grid))
+    return vectors.sampler_stats(b.all_vec, vectors.five_point_grid(b.grid))
 
 
 @query()
