@@ -11,11 +11,12 @@ import pandas as pd
 from oracle import DATA
 from pyspark.sql import functions as F
 
+from tidelex.functions import text
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
 from tidelex.operators import corpus, encode, graph, sample, train, vectors, vocab
 from tidelex.plans import catalog, further, retrievers
 from tidelex.plans.base import Base
-from tidelex.plans.registry import DigestVectors
+from tidelex.plans.registry import DigestVectors, HashedGrams
 
 
 def plan_nodes(df, *kinds):
@@ -200,3 +201,8 @@ def test_mining_reads_all_rows_of_a_concept(spark, tmp_path):
     assert sorted(whole.collect()) == sorted(blocks.collect()) and whole.count() > 1000
     for name in ("rejection_rate", "sampler_stats", "triplet_audit", "triplet_loss"):
         oracle.check(con, catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name])
+
+
+def test_buckets_are_of_all_concepts(spark):
+    got = catalog.queries()["bucket_lookup"](spark, DATA).select(F.col("concept_id").substr(3, 20).cast("long").alias("c")).distinct().toPandas()
+    assert set(got.c % 5) == set(range(5))

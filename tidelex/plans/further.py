@@ -133,11 +133,11 @@ def schedule_verdict(b: Base) -> DataFrame:
 
 
 @query("""SELECT p.id, p.lang, p.concept_id, '' AS focal FROM (SELECT DISTINCT id, lang, concept_id FROM points) p JOIN (
-  SELECT concept_id, lang, id FROM (SELECT DISTINCT concept_id, lang, id FROM points WHERE substr(concept_id, 3)::INT % 5 = 0) QUALIFY row_number() OVER (PARTITION BY concept_id, lang ORDER BY id) <= 6) k USING (concept_id, lang, id)""", "points")
+  SELECT concept_id, lang, id FROM (SELECT DISTINCT concept_id, lang, id FROM points) QUALIFY row_number() OVER (PARTITION BY concept_id, lang ORDER BY id) <= 6) k USING (concept_id, lang, id)""", "points")
 def bucket_lookup(b: Base) -> DataFrame:
     """Stored rows by lists of ids for each concept and language, six at most of each."""
-    lists = sample.buckets(b.points.where(F.substring("concept_id", 3, 20).cast("long") % 5 == 0), 6)
-    return sample.lookup(b.points, lists).select("id", "lang", "concept_id", "focal")
+    points = graph.cut(b.points.select("id", "lang", "concept_id"))  # read twice
+    return sample.lookup(points, sample.buckets(points, 6)).select("id", "lang", "concept_id", "focal")
 
 
 @query(f"""SELECT concept_id, lang, array_to_string(list(id ORDER BY id), ' ') AS ids FROM (SELECT * FROM (
