@@ -206,3 +206,20 @@ def test_mining_reads_all_rows_of_a_concept(spark, tmp_path):
 def test_buckets_are_of_all_concepts(spark):
     got = catalog.queries()["bucket_lookup"](spark, DATA).select(F.col("concept_id").substr(3, 20).cast("long").alias("c")).distinct().toPandas()
     assert set(got.c % 5) == set(range(5))
+
+
+def test_concept_vectors_are_given_whole(spark):
+    """The pooled vector itself, not only its length, of each document and concept: counts times vectors of the concept's words."""
+    got = catalog.queries()["concept_vectors"](spark, DATA).where("id < 3").collect()
+    b = Base(spark, DATA)
+    of = {(r.lang, r.word): r.concept_id for r in b.word_concept.collect()}
+    n = Counter((r.doc_id, of[r.lang, t], t) for r in b.arts.where("doc_id < 3").select("doc_id", "lang", text.tokens(F.col("text")).alias("t")).collect() for t in r.t if (r.lang, t) in of)
+    words = spark.createDataFrame([(t,) for t in {k[2] for k in n}], "text string")
+    x = {r.text: np.array(r.x, float) for r in HashedGrams(16).embed(words).collect()}
+    want = {}
+    for (doc, c, t), k in n.items():
+        want[doc, c] = want.get((doc, c), 0) + k * x[t]
+    assert len(got) == len(want) > 10
+    for r in got:
+        v = want[r.id, r.concept_id]
+        assert np.allclose(r.x, v / max(np.linalg.norm(v), 1e-12), atol=1e-5) and abs(np.linalg.norm(r.x) - r.length) < 1e-3

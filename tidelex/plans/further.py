@@ -342,7 +342,7 @@ def sentence_vectors(b: Base) -> DataFrame:
 def concept_vectors(b: Base) -> DataFrame:
     """The pooled vectors of the concepts that documents hold, from vectors of their tokens."""
     v = encode.concept_vectors(b.arts.select(F.col("doc_id").alias("id"), "lang", "text"), b.word_concept, HashedGrams(16))
-    return v.select("id", "concept_id", F.round(norm(F.col("x")), 4).alias("length"))
+    return v.select("id", "concept_id", F.round(norm(F.col("x")), 4).alias("length"), F.transform("x", lambda e: F.round(e, 6)).alias("x"))
 
 
 
