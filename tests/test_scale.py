@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelex.functions import text
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
-from tidelex.operators import corpus, encode, graph, sample, train, vectors, vocab
+from tidelex.operators import corpus, encode, graph, inputs, sample, train, vectors, vocab
 from tidelex.plans import catalog, further, retrievers
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors, HashedGrams
@@ -223,3 +223,15 @@ def test_concept_vectors_are_given_whole(spark):
     for r in got:
         v = want[r.id, r.concept_id]
         assert np.allclose(r.x, v / max(np.linalg.norm(v), 1e-12), atol=1e-5) and abs(np.linalg.norm(r.x) - r.length) < 1e-3
+
+
+def test_copies_are_cut_once_a_row(spark):
+    """However many forms a concept has, a sentence is parted, bared and cut once for each row, and stored rows are written once for all that read them."""
+    points = spark.createDataFrame([("a", "C-1", "en", "x " * 9 + "(Bank) " + "y " * 9)], "id string, concept_id string, lang string, sentence string")
+    targets = spark.createDataFrame([("C-1", "en", w) for w in ("bank", "banks", "river")], "concept_id string, lang string, word string")
+    made = inputs.augmented_inputs(points, targets)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("array_position(", "split(", "array_join(")] == [1, 1, 1]
+    assert [r.sentence for r in made.collect()] == ["x x x x x (Bank) y y y y y"]
+    b = Base(spark, DATA)
+    assert "Window" not in b.stored._jdf.queryExecution().optimizedPlan().toString() and b.stored.count() == b.latest.count()
