@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelex.functions import text
 from tidelex.functions.text import focal_span, focal_tokens, token_spans
 from tidelex.operators import corpus, encode, graph, inputs, sample, train, vectors, vocab
-from tidelex.plans import catalog, further, retrievers
+from tidelex.plans import catalog, further, retrievers, training
 from tidelex.plans.base import Base
 from tidelex.plans.registry import DigestVectors, HashedGrams
 
@@ -235,3 +235,10 @@ def test_copies_are_cut_once_a_row(spark):
     assert [r.sentence for r in made.collect()] == ["x x x x x (Bank) y y y y y"]
     b = Base(spark, DATA)
     assert "Window" not in b.stored._jdf.queryExecution().optimizedPlan().toString() and b.stored.count() == b.latest.count()
+
+
+def test_selected_rows_are_those_of_all_that_are_selected(spark):
+    """Only the selected concepts' words are looked at; what is found is what choosing among all stored rows gives."""
+    b = Base(spark, DATA)
+    got, want = training.selected(b), b.stored.join(training.demanded(b), "concept_id", "left_semi")
+    assert 0 < got.count() < b.stored.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
